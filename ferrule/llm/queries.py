@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, substring_dedup
+from . import decontaminate, exact_dedup, ngram_join, packing, sharding, substring_dedup
 from .store import documents, table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(documents(spark, sf_dir))
@@ -19,13 +22,25 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), shards=8).withColumn("law", F.lit("key"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op5_exact_dedup, op7_sharding, op8_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
