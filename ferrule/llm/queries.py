@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, sharding, substring_dedup
+from . import decontaminate, exact_dedup, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from .labelled import remainder
 from .store import documents, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,10 +23,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), remainder(3) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return quality.score(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), remainder(5) == 0
+    network = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return toxicity.score(docs.select("doc_id", "text"), network, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=8).withColumn("law", F.lit("key"))
 
@@ -40,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op5_exact_dedup, op7_sharding, op8_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op4_quality, op5_exact_dedup, op6_toxicity, op7_sharding, op8_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
