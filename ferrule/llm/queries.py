@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_text, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, toxicity
 from .labelled import remainder
 from .store import documents, table
 
@@ -19,6 +19,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(documents(spark, sf_dir))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
@@ -48,13 +52,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op4_quality, op5_exact_dedup, op6_toxicity, op7_sharding, op8_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_decontaminate, op4_quality, op5_exact_dedup, op6_toxicity, op7_sharding, op8_substring_dedup, op9_line_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.SQL}
