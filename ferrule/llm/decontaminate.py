@@ -27,7 +27,8 @@ from .kernel import U, Words, ascii_lower, buffers, mix, multiplier, pieces, pla
 from .store import prepare
 
 GRAM = 3
-OUT = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+SPANS = "array<struct<start:long,end:long>>"
+ADDED = ["n_words", "spans", "items"]
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> Words:
@@ -167,7 +168,9 @@ def _find(index):
         low, high = np.searchsorted(hashes, distinct), np.searchsorted(hashes, distinct, "right")
         probe = Probe(distinct)
         for batch in batches:
-            buf, offsets = buffers(batch.column(1))
+            names = batch.schema.names
+            buf, offsets = buffers(batch.column(names.index("text")))
+            had = [batch.column(names.index(x)) for x in ("spans", "items")]
             for a, b in pieces(offsets):
                 words = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 found: dict[int, tuple[list, set]] = {}
@@ -187,14 +190,12 @@ def _find(index):
                                 spans, items = found.setdefault(d, ([], set()))
                                 spans.append((start - int(words.first[d]), start - int(words.first[d]) + size))
                                 items.update(x["items"][w])
-                spans, items = batch.column(3).slice(a, b - a).to_pylist(), batch.column(4).slice(a, b - a).to_pylist()
-                for d, (more, names) in found.items():
+                spans, items = (x.slice(a, b - a).to_pylist() for x in had)
+                for d, (more, ids) in found.items():
                     spans[d] = _merge([(s["start"], s["end"]) for s in spans[d] or []] + more)
-                    items[d] = sorted(names.union(items[d] or []))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words.counts, pa.int64()), pa.array(spans, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type)],
-                    ["doc_id", "text", "n_words", "spans", "items"],
-                )
+                    items[d] = sorted(ids.union(items[d] or []))
+                new = [pa.array(words.counts, pa.int64()), pa.array(spans, had[0].type), pa.array(items, had[1].type)]
+                yield pa.RecordBatch.from_arrays([new[ADDED.index(x)] if x in ADDED else batch.column(i).slice(a, b - a) for i, x in enumerate(names)], names)
 
     return run
 
@@ -212,10 +213,11 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
 def _count_words():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = buffers(batch.column(1))
+            names = batch.schema.names
+            buf, offsets = buffers(batch.column(names.index("text")))
             n = [_words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).counts for a, b in pieces(offsets)]
             counts = np.concatenate(n) if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), batch.column(3), batch.column(4)], ["doc_id", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()) if x == "n_words" else batch.column(i) for i, x in enumerate(names)], names)
 
     return run
 
@@ -225,11 +227,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
 
     Words are runs of digits, letters and non-ASCII characters, after
     lower-casing A-Z.  An item of fewer words, but not none, is one window.
-    docs has doc_id and text, benchmark item_id and text; other columns are
-    ignored.  Returns a row for each row of docs: doc_id, text, n_words, spans
-    (merged word ranges [start, end) that windows cover), items (ids, as
+    docs has text, benchmark item_id and text.  Returns docs with n_words, spans
+    (merged word ranges [start, end) that windows cover) and items (ids, as
     strings, sorted, of items with a window in the text; of an item that
-    occurs under several rows once).
+    occurs under several rows once); columns of these names are replaced, all
+    others pass.
 
     A null or empty text has no words, no spans and no items.  Items without
     id or text are ignored, and with an empty benchmark nothing is hit.
@@ -237,14 +239,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select("doc_id", "text")
-    kind = "array<struct<start:long,end:long>>"
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(kind), "items": F.array().cast("array<string>")})
+    out = docs.drop(*ADDED).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     empty = True
     for block in _blocks(benchmark, window, block_windows):
         empty = False
-        out = out.mapInArrow(_find(spark.sparkContext.broadcast(rarest(block, docs))), OUT)
-    return out.mapInArrow(_count_words(), OUT) if empty else out
+        out = out.mapInArrow(_find(spark.sparkContext.broadcast(rarest(block, docs))), kind)
+    return out.mapInArrow(_count_words(), kind) if empty else out
 
 
 def digest(found: DataFrame) -> DataFrame:

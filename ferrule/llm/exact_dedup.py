@@ -71,9 +71,18 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", run_rows: int = 100
 
 
 def drop_copies(docs: DataFrame, *, keep: str = "smallest", run_rows: int = 100_000, fan: int = 3) -> DataFrame:
-    """docs without the rows that exact_groups doesn't keep; its columns are unchanged.
+    """One row of each group: docs without the rows that exact_groups doesn't keep.
 
-    Of repeated rows of the doc_id that stays, all stay.
+    Its columns are unchanged.  Of repeated rows of the doc_id that stays, the
+    first that is met stays.
     """
-    marks = exact_groups(docs, keep=keep, run_rows=run_rows, fan=fan).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_kept_id"]), "left_semi")
+    groups = exact_groups(docs, keep=keep, run_rows=run_rows, fan=fan).where("kept")
+    marks = groups.select(_id("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    text = ascii_lower(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumns({"_id": _id("doc_id"), "_sha": F.sha2(text, 256)})
+    # rows are dealt by doc_id and digest together, so copies don't meet in one task
+    return keyed.join(marks, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+
+
+def _id(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit("none"))

@@ -24,7 +24,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
