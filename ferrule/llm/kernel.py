@@ -34,7 +34,7 @@ def _power(base: int, n: int) -> np.ndarray:
             out[filled : filled + step] = out[:step] * U(pow(base, filled, 1 << 64))
             filled += step
         have = out
-        if size <= 4 * CHUNK:
+        if size <= 2 * CHUNK + 1:
             _powers[base] = out
     return have[:n]
 
@@ -103,7 +103,7 @@ class Words:
 
     __slots__ = ("buf", "end", "first", "h", "start")
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: np.ndarray | None):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: np.ndarray | None, cuts: np.ndarray | None = None):
         if lower is not None:
             buf = lower[buf]
         self.buf = buf
@@ -111,6 +111,8 @@ class Words:
         inside = table[buf]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        if cuts is not None:  # where a word ends and the next begins, without a byte between
+            edge[cuts] = True
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1:n]
         ends = inside.copy()

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, buffers, pieces, ragged, space_words
+from .kernel import CHUNK, Words, ascii_lower, buffers, pieces, ragged, space_words
 from .sharding import numbered
 from .store import Scratch, prepare
 
-CACHED_WORDS = 1 << 21
+CACHED_WORDS = 1 << 20
 
 
 @dataclass
@@ -148,58 +148,120 @@ def _dominates(left: np.ndarray, partner: int, room: int) -> bool:
     return True
 
 
+def _units(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    """Parts of texts that are tokenized each by itself, so that few of them are distinct.
+
+    White space separates pre-tokens, and so does the place between an ASCII
+    letter and ASCII punctuation; A-Z are lower-cased, as the tokenizer does.
+    Texts that may hold special tokens, which are told before both, are only
+    cut at white space.
+    """
+    if b"<|" in buf.tobytes():
+        return Words(buf, offsets, space_words(), None)
+    letter, mark = np.zeros(256, bool), np.zeros(256, bool)
+    letter[0x41:0x5B] = letter[0x61:0x7B] = True
+    mark[0x21:0x7F] = ~letter[0x21:0x7F]
+    mark[0x30:0x3A] = False
+    cuts = np.flatnonzero(letter[buf[:-1]] & mark[buf[1:]]) + 1
+    return Words(buf, offsets, space_words(), ascii_lower(), cuts)
+
+
+_encoders: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """One a process: tasks that follow each other share what is cached."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
+
+
 class _Encoder:
-    """Token ids of words.  White space separates pre-tokens, so a text's ids are its words' ids in a row."""
+    """Token ids of units: a text's ids are its units' ids in a row."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start, self.size, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.start, self.size, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
 
     def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each word has."""
+        """Ids of all units in a row, and how many each has."""
         distinct, first, which = np.unique(words.h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHED_WORDS:
+        if len(self.hashes) + len(distinct) > CACHED_WORDS:
             self.clear()
-        index = np.array([self.known.get(x, -1) for x in distinct.tolist()], np.int64)
-        new = np.flatnonzero(index < 0)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
         if len(new):
             texts = [words.buf[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in first[new].tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            index[new] = len(self.known) + np.arange(len(new))
-            total = sum(map(len, ids))
-            while self.used + total > len(self.ids):
+            ids, size = self._encode(texts)
+            slot = len(self.hashes) + np.arange(len(new), dtype=np.int32)
+            while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while len(self.known) + len(new) > len(self.start):
+            while slot[-1] >= len(self.start):
                 self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            size = np.array(list(map(len, ids)), np.int64)
-            self.size[index[new]] = size
-            self.start[index[new]] = self.used + np.cumsum(size) - size
-            self.ids[self.used : self.used + total] = [x for row in ids for x in row]
-            self.used += total
-            self.known.update(zip(distinct[new].tolist(), index[new].tolist(), strict=True))
-        index = index[which]
-        size = self.size[index]
-        return self.ids[ragged(self.start[index], size)], size
+            self.size[slot] = size
+            self.start[slot] = self.used + np.cumsum(size) - size
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.hashes, self.slots = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.slots, at[new], slot)
+            at = np.searchsorted(self.hashes, distinct)
+        slots = self.slots[at][which]
+        size = self.size[slots]
+        return self.ids[ragged(self.start[slots], size)], size
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each has.
+
+        Words of letters alone are one pre-token each, which ends in one token
+        that closes a word, so many are encoded as one text.  Where the number
+        of such tokens tells otherwise, and for all others, each is encoded by
+        itself.
+        """
+        sizes = np.zeros(len(texts), np.int64)
+        parts: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        plain = np.array([t.isalpha() for t in texts], bool)
+        rest = [np.flatnonzero(~plain)]
+        groups = [g for g in np.array_split(np.flatnonzero(plain), -(-int(plain.sum()) // 256)) if len(g)] if plain.any() else []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g.tolist()) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.closes[ids])
+            if len(last) != len(group):
+                rest.append(group)
+                continue
+            sizes[group] = np.diff(last, prepend=-1)
+            parts.append(ids)
+            order.append(group)
+        single = np.concatenate(rest)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in single.tolist()], add_special_tokens=False)]
+        sizes[single] = list(map(len, each))
+        parts.append(np.array([x for row in each for x in row], np.uint32))
+        order.append(single)
+        at, ids = np.concatenate(order), np.concatenate(parts)
+        begin = np.empty(len(texts), np.int64)
+        begin[at] = np.cumsum(sizes[at]) - sizes[at]
+        return ids[ragged(begin, sizes)], sizes
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
-        table = space_words()
+        encoder = _encoder(path)
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
             docs = batch.column(0).to_pylist()
-            for a, b in pieces(offsets):
-                words = Words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table, None)
+            for a, b in pieces(offsets, 2 * CHUNK):  # fewer parts repeat the commonest words
+                words = _units(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids, size = encoder(words)
                 before = np.concatenate([[0], np.cumsum(size)])[words.first].tolist()
                 out: list[tuple] = []
