@@ -103,7 +103,7 @@ def is_servicing_column(content) -> Column:
     """The same over a binary column."""
     head = F.hex(F.substring(F.col(content) if isinstance(content, str) else content, 1, 16))
     low = "(?:[0-9A-F]{2}){0,7}?0[0-8]"
-    return head.rlike("^4443..01") | head.rlike(f"^504133[01]{low}") | head.rlike(f"^(?:..){{4}}504133[01]{low}")
+    return head.rlike("^4443..01") | head.rlike(f"^5041333[01]{low}") | head.rlike(f"^(?:..){{4}}5041333[01]{low}")
 
 
 _VARIABLE = re.compile(r"%([^%\s]+)%")

@@ -49,7 +49,7 @@ def organization(spark: SparkSession, machines: int, extra: int = 0) -> tuple[Da
         F.lit("2026-01-01 08:09:00").cast("timestamp").alias("finished_at"),
         F.when(F.col("m") % 13 == 12, "limited").otherwise("full").alias("coverage_mode"),
     )
-    findings = spark.sql(BASE.replace("r'", "'"), machines=m)
+    findings = spark.sql(BASE, machines=m)
     if extra:
-        findings = findings.unionByName(spark.sql(EXTRA.replace("r'", "'").replace("{extra}", str(extra)), machines=m))
+        findings = findings.unionByName(spark.sql(EXTRA.replace("{extra}", str(extra)), machines=m))
     return scans, findings
