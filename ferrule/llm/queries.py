@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_text, line_dedup, ngram_join, oracles, packing, quality, sharding, substring_dedup, toxicity
 from .labelled import remainder
 from .store import documents, table
 
@@ -16,7 +16,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_components(documents(spark, sf_dir))
+    return ngram_join.ngram_jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.SQL}
+    return dict(oracles.SQL)
