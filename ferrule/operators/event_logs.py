@@ -6,9 +6,11 @@ data map<string,string>.  The same expressions group a batch and a stream.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import command
 
@@ -77,10 +79,12 @@ def alerts(events: DataFrame) -> DataFrame:
     return _grouped(some, {"key": key}, {"program": F.col("process"), "process_tree": F.col("tree")}).withColumn("rule", F.lit("VBS-501"))
 
 
-@F.udf("struct<found boolean, script string>")
-def _engine_use(line: str | None):
-    certain = [r for r in command.analyze(line) if r.usage == command.VBSCRIPT]
-    return (bool(certain), certain[0].script if certain else None)
+_USE = T.StructType([T.StructField("found", T.BooleanType()), T.StructField("script", T.StringType())])
+
+
+def _engine_uses(lines: pd.Series) -> pd.DataFrame:
+    certain = [next((r for r in command.analyze(line) if r.usage == command.VBSCRIPT), None) for line in lines]
+    return pd.DataFrame({"found": [r is not None for r in certain], "script": [r.script if r else None for r in certain]})
 
 
 def process_starts(events: DataFrame) -> DataFrame:
@@ -90,7 +94,8 @@ def process_starts(events: DataFrame) -> DataFrame:
     # the analyser needs Python: only lines that can matter reach it
     likely = ascii_lower(line).rlike(r"vbscript|\.vb[se]|script|mshta|powershell|pwsh|cmd|comspec")
     some = some.withColumns({"line": line, "image": F.coalesce(field("Image"), F.lit("")), "parent": field("ParentImage")}).where(likely)
-    some = some.withColumn("use", _engine_use("line")).where("use.found")
+    engine_use = F.pandas_udf(_engine_uses, _USE)
+    some = some.withColumn("use", engine_use("line")).where("use.found")
     key = F.concat_ws("|", ascii_lower(F.col("image")), ascii_lower(F.coalesce("use.script", F.lit(""))))
     return _grouped(some, {"key": key}, {"program": F.col("image"), "script": F.col("use.script"), "parent": F.col("parent"), "sample": F.col("line")}).withColumn("rule", F.lit("VBS-502"))
 
