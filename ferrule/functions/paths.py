@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]"
+# What counts as white space at the ends of a path.
+BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # the shortest beginning of three bytes or more
 THREE_BYTES = r"(?:[\x00-\x7F]{2}.|[\x00-\x7F][^\x00-\x7F]|[\x{80}-\x{7FF}].|[\x{800}-\x{10FFFF}])"
 SCRIPT_EXTENSIONS = ("vbs", "vbe", "wsf", "wsc", "hta")
@@ -17,10 +18,11 @@ def _col(path) -> Column:
 
 def normalize(path) -> Column:
     r"""Backslashes, lower case, without surrounding blanks and quotes, `\\?\` and trailing backslashes beyond `X:\`."""
-    p = F.regexp_replace(_col(path), rf"^{BLANK}+|{BLANK}+$", "")
-    p = F.translate(F.regexp_replace(p, '^"+|"+$', ""), "/", "\\")
-    p = F.regexp_replace(p, r"^\\\\\?\\(?:UNC(\\))?", "$1$1")
-    return F.lower(F.regexp_replace(p, rf"(?s)^({THREE_BYTES}.*?)\\+$", "$1"))
+    # the two patterns are rare, so they stand behind cheap tests
+    p = F.translate(F.trim(F.trim(_col(path), F.lit(BLANK)), F.lit('"')), "/", "\\")
+    p = F.when(p.startswith("\\\\?\\"), F.regexp_replace(p, r"^\\\\\?\\(?:UNC(\\))?", "$1$1")).otherwise(p)
+    p = F.lower(p)
+    return F.when(p.endswith("\\"), F.regexp_replace(p, rf"(?s)^({THREE_BYTES}.*?)\\+$", "$1")).otherwise(p)
 
 
 def is_network(path) -> Column:
@@ -56,5 +58,5 @@ def is_windows_location(path) -> Column:
     p = _col(path)
     usage = p.contains("\\windows\\system32\\logfiles\\sum\\") & F.coalesce(extension(p) == "mdb", F.lit(False))
     # the first \windowsfilter\ counts: what follows its layer has to be the Windows folder
-    layer = F.regexp_extract(p, r"(?s)^.*?\\windowsfilter\\(.*)$", 1).rlike(r"^[^\\]*\\(utilityvm\\)?files\\windows\\")
+    layer = p.contains("\\windowsfilter\\") & F.regexp_extract(p, r"(?s)^.*?\\windowsfilter\\(.*)$", 1).rlike(r"^[^\\]*\\(utilityvm\\)?files\\windows\\")
     return in_component_store(p) | p.contains("\\windows\\servicing\\") | p.contains("\\windows\\softwaredistribution\\") | usage | layer

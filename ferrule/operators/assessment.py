@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -63,20 +64,24 @@ def occurrences(findings: DataFrame) -> DataFrame:
     operating system's own wherever it is.
     """
     f = findings.withColumns({"path": paths.normalize("loc_path"), "n_target": paths.normalize("target"), "is_file": F.col("loc_kind") == "file"})
-    store = f.where(F.col("is_file") & paths.in_component_store("path") & F.col("sha256").isNotNull()).select(F.col("sha256").alias("_store")).distinct()
+    likely = F.lower("loc_path").contains("winsxs")  # spares most paths the whole rule
+    store = f.where(likely & F.col("is_file") & paths.in_component_store("path") & F.col("sha256").isNotNull()).select(F.col("sha256").alias("_store")).distinct()
     f = f.join(store, f["sha256"] == store["_store"], "left")
-    windows = F.col("is_file") & (paths.is_windows_location("path") | F.col("_store").isNotNull())
+    f = f.withColumn("windows", F.col("is_file") & (F.col("_store").isNotNull() | paths.is_windows_location("path")))
+    windows = F.col("windows")
     shared = F.col("is_file") & paths.is_network("path")
-    item = F.lower(F.coalesce("loc_item", F.lit("")))
-    base = ["rule", "status", F.coalesce("reason", F.lit(""))]
-    # lengths keep the parts apart whatever they contain
-    parts = lambda *cs: F.concat(*[F.concat(F.length(c), F.lit(":"), c) for c in map(lambda x: F.col(x) if isinstance(x, str) else x, cs)])
-    key = (
-        F.when(windows, F.concat(F.lit("w"), parts(*base, paths.file_name("path"))))
-        .when(shared, F.concat(F.lit("n"), parts(*base, "path", item)))
-        .otherwise(F.concat(F.lit("l"), parts(*base, "loc_kind", "path", item, F.coalesce("n_target", F.lit("")), F.coalesce("sha256", F.lit("")))))
+    local = ~windows & ~shared
+    blank = F.lit("")
+    f = f.withColumns(
+        {
+            "_place": F.when(windows, paths.file_name("path")).otherwise(F.col("path")),
+            "_item": F.when(windows, blank).otherwise(F.lower(F.coalesce("loc_item", blank))),
+            "_local": F.when(local, F.concat_ws("\x1f", F.lit("l"), "loc_kind", F.coalesce("sha256", blank), F.coalesce("n_target", blank))).when(windows, "w").otherwise("n"),
+        }
     )
-    return f.withColumns({"origin": F.when(windows, "windows").otherwise("own"), "item_key": F.sha2(key, 256), "act_rank": rank("activation")}).drop("_store")
+    # lengths keep the parts apart whatever they contain
+    key = F.concat_ws("\x1f", "rule", "status", F.coalesce("reason", blank), F.length("_place").cast("string"), "_place", F.length("_item").cast("string"), "_item", "_local")
+    return f.withColumns({"origin": F.when(windows, "windows").otherwise("own"), "item_key": F.unhex(F.md5(key)), "act_rank": rank("activation")}).drop("_store", "_place", "_item", "_local", "windows", "is_file")
 
 
 def drafts(occ: DataFrame) -> DataFrame:
@@ -134,12 +139,11 @@ def links(occ: DataFrame, items: DataFrame) -> DataFrame:
 def propagate(items: DataFrame, edges: DataFrame) -> DataFrame:
     """items with `activation`: a script runs at least as readily as what starts it, through any chain.
 
-    Each round joins the links once, and only items whose rank rose in the last
+    edges is read once a round, so it should be a written table.  Each round joins it once, and only items whose rank rose in the last
     round are followed.  A label changes only for a stronger one.
     """
     touched = edges.select(F.col("src").alias("item_key")).union(edges.select(F.col("dst").alias("item_key"))).distinct()
     state = materialize(items.join(touched, "item_key", "left_semi").select("item_key", "first_seen", F.col("own_activation").alias("activation"), rank("own_activation").alias("r")), "activation")
-    edges = materialize(edges, "links")
     rose = state
     for _ in range(MOST_ROUNDS):
         offer = edges.join(rose.select(F.col("item_key").alias("src"), F.struct((-F.col("r")).alias("down"), "first_seen", "activation").alias("offer")), "src").groupBy("dst").agg(F.min("offer").alias("offer"))
@@ -181,14 +185,15 @@ def size_factor(size) -> Column:
 def same_content(items: DataFrame) -> DataFrame:
     """items with `same_as`: the number of the first item with the same rule, module and content, where it is another."""
     eligible = (F.col("origin") == "own") & (F.col("status") == "detected") & F.col("sha256").isNotNull()
-    module = F.lower(F.coalesce("loc_item", F.lit("")))
-    first = items.where(eligible).groupBy(F.col("rule").alias("_rule"), module.alias("_module"), F.col("sha256").alias("_sha")).agg(F.min("number").alias("_first"))
-    joined = items.join(first, eligible & (F.col("rule") == F.col("_rule")) & (module == F.col("_module")) & (F.col("sha256") == F.col("_sha")), "left")
-    return joined.withColumn("same_as", F.when(F.col("_first") < F.col("number"), F.col("_first"))).drop("_rule", "_module", "_sha", "_first")
+    # items without content to compare are each by themselves
+    alone = F.when(~eligible, F.col("number"))
+    alike = W.partitionBy("rule", F.lower(F.coalesce("loc_item", F.lit(""))), "sha256", alone)
+    first = F.min("number").over(alike)
+    return items.withColumn("same_as", F.when(eligible & (first < F.col("number")), first))
 
 
 def effort(items: DataFrame, occ: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """items with effort_kind (hours, sameAs, windows), min_hours, max_hours, size_factor, typical_script.
+    """items of same_content() with effort_kind (hours, sameAs, windows), min_hours, max_hours, size_factor, typical_script.
 
     An entry that starts scripts which no scan has found carries a typical
     script's effort, unless an earlier entry carries one for all of them.
@@ -246,9 +251,9 @@ def assess(scans: DataFrame, findings: DataFrame, rules: DataFrame | None = None
     occ = materialize(occurrences(findings.join(chosen.select("load_idx"), "load_idx", "left_semi")), "occurrences")
     draft = materialize(drafts(occ), "drafts")
     edges = materialize(links(occ, draft), "edges")
-    items = numbered(propagate(draft, edges).withColumn("risk", risk()), priority_order())
-    items = materialize(items, "numbered")
-    items = materialize(effort(same_content(items), occ, edges, rules), "items")
+    items = numbered(propagate(draft, edges).withColumn("risk", risk()), priority_order(), rows=draft.count())
+    items = materialize(same_content(items), "numbered")
+    items = materialize(effort(items, occ, edges, rules), "items")
     number = items.select("item_key", "number")
     src, dst = (number.select(F.col("item_key").alias(k), F.col("number").alias(n)) for k, n in (("src", "starter"), ("dst", "script")))
     linked = edges.join(src, "src").join(dst, "dst").select("starter", "script")

@@ -29,13 +29,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
-    """Adds 1..n in a total order, without one task for all rows.
+#: Rows that one task may sort and number.
+FEW_ROWS = 250_000
 
-    Rows are dealt in ranges of the order and written; each range is numbered
-    by itself and offset by the sizes of those before it, which is a table of
-    one row a range.
+
+def numbered(df: DataFrame, order: list[Column], name: str = "number", rows: int | None = None) -> DataFrame:
+    """Adds 1..n in a total order.
+
+    Unless `rows` says that there are few, no task has all rows: they are
+    dealt in ranges of the order and written; each range is numbered by itself
+    and offset by the sizes of those before it, which is a table of one row a
+    range.
     """
+    if rows is not None and rows <= FEW_ROWS:
+        return df.withColumn(name, F.row_number().over(W.orderBy(*[_directed(c, _bare(c)) for c in order])).cast("long"))
     columns = [F.col(f"_o{i}") for i in range(len(order))]
     spark = df.sparkSession
     keyed = df.withColumns({f"_o{i}": _bare(c) for i, c in enumerate(order)})
