@@ -102,11 +102,11 @@ def test_risk(build, rule, activation, risk):
 
 
 def test_effort(build):
-    own = [script(r"C:\Small.vbs", "s", 2000), script(r"C:\Large.vbs", "l", 60_000), task(r"\Found", r"C:\Small.vbs"), task(r"\Missing A", r"\\fs01\s\n.vbs"), task(r"\Missing B", r"\\FS01\S\N.vbs"), task(r"\Inline", "mshta.exe")]
-    got = by_path(build([("SRV-1", T, own)]), "min_hours", "max_hours", "typical_script")
-    assert got[r"C:\Small.vbs"] == (1.0, 4.0, False) and got[r"C:\Large.vbs"] == (4.0, 16.0, False) and got[r"\Found"] == (0.5, 2.0, False)
-    assert sorted(got[x] for x in (r"\Missing A", r"\Missing B")) == [(0.5, 2.0, False), (1.5, 6.0, True)]
-    assert got[r"\Inline"] == (0.5, 2.0, False)
+    own = [script(r"D:\tiny.vbs", "s", 3000), script(r"D:\big.vbs", "l", 70_000), task(r"\Known", r"D:\tiny.vbs"), task(r"\Lost 1", r"\\nas\jobs\late.vbs"), task(r"\Lost 2", r"\\NAS\Jobs\Late.VBS"), task(r"\Page", "mshta.exe")]
+    got = by_path(build([("HOST-A", T, own)]), "min_hours", "max_hours", "typical_script")
+    assert got[r"D:\tiny.vbs"] == (1.0, 4.0, False) and got[r"D:\big.vbs"] == (4.0, 16.0, False) and got[r"\Known"] == (0.5, 2.0, False)
+    assert sorted(got[x] for x in (r"\Lost 1", r"\Lost 2")) == [(0.5, 2.0, False), (1.5, 6.0, True)]
+    assert got[r"\Page"] == (0.5, 2.0, False)
 
 
 def test_unknown_rules_are_a_manual_check(build):

@@ -63,21 +63,21 @@ def test_path_parts(spark):
 
 
 CERTAIN = [
-    r"wscript.exe C:\Jobs\save.vbs",
-    r'C:\Windows\System32\cscript.exe //nologo "C:\Program Files\X\run.vbs" /v',
-    r"cscript //E:VBScript C:\Jobs\task.txt",
-    r'start "" /wait C:\Jobs\x.vbs',
-    r'cmd /c "cscript //nologo C:\x\y.vbs & exit"',
-    r"%ComSpec% /k wscript x.vbs",
-    r"""powershell -NoProfile -Command "& cscript.exe //nologo 'C:\x\y.vbs'" """,
-    r'$shell.Run("wscript.exe //B C:\x\y.vbs", 0)',
-    r'schtasks /create /tn T /tr "wscript.exe C:\x\y.vbs" /sc daily',
-    r"for /f %%a in ('cscript //nologo C:\x\q.vbs') do set R=%%a",
-    "mshta vbscript:Execute(1)",
-    "powershell -enc " + base64.b64encode(r"cscript C:\x\y.vbs".encode("utf-16-le")).decode(),
+    r"WSCRIPT D:\jobs\copy.vbs",
+    r'"C:\Windows\System32\cscript.exe" //nologo "D:\my jobs\load.vbs" -all',
+    r"cscript //e:vbscript D:\jobs\list.dat",
+    r'start "window" /min D:\jobs\copy.vbe',
+    r'cmd.exe /d /c "cscript //b D:\jobs\copy.vbs && exit 0"',
+    r"%comspec% /k wscript copy.vbs",
+    r"""pwsh -NoLogo -Command "& cscript 'D:\jobs\copy.vbs'" """,
+    r'obj.Exec("cscript.com //t:5 D:\jobs\copy.vbs")',
+    r'psexec \\pc7 -d "wscript.exe D:\jobs\copy.vbs"',
+    r"for %%i in (1 2) do wscript D:\jobs\copy.vbs %%i",
+    "rundll32 x,y vbscript:Close",
+    "powershell -ec " + base64.b64encode(r"wscript D:\jobs\copy.vbs".encode("utf-16-le")).decode(),
 ]
-POSSIBLE = [r"wscript C:\Jobs\all.wsf", r"mshta.exe C:\Tools\list.hta", "cscript %1", r"C:\Tools\setup.hta"]
-NONE = [r"wscript C:\Jobs\clean.js", "mshta javascript:alert(1)", "wscript.exe", r"copy \\srv\s\logon.vbs C:\Temp", r"del C:\Jobs\old.vbs", r"notepad C:\Jobs\save.vbs.txt", "", None]
+POSSIBLE = [r"wscript D:\jobs\many.wsf", r"mshta D:\tools\form.hta", "wscript %2", r"D:\tools\form.hta"]
+NONE = [r"cscript D:\jobs\tidy.js", "mshta about:blank", "cscript", r"xcopy D:\jobs\copy.vbs E:", r"erase copy.vbs", r"edit D:\jobs\copy.vbs.bak", " ", None]
 
 
 @pytest.mark.parametrize("line", CERTAIN)
@@ -96,9 +96,9 @@ def test_no_uses(line):
 
 
 def test_called_scripts():
-    assert command.called_scripts(r'cmd.exe /c "C:\Program Files\App\nightly job.cmd" /q') == [r"C:\Program Files\App\nightly job.cmd"]
-    assert command.called_scripts(r"powershell -File C:\x\a.ps1 & call b.bat") == [r"C:\x\a.ps1", "b.bat"]
-    assert command.called_scripts(r'schtasks /tr "cmd /c C:\x\run.cmd"') == [r"C:\x\run.cmd"]
+    assert command.called_scripts(r'cmd /c "D:\my jobs\every day.cmd" -x') == [r"D:\my jobs\every day.cmd"]
+    assert command.called_scripts(r"pwsh -File D:\jobs\one.ps1 & call two.bat & call two.bat") == [r"D:\jobs\one.ps1", "two.bat"]
+    assert command.called_scripts(r'at 10:00 "cmd /c D:\jobs\three.kix"') == [r"D:\jobs\three.kix"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -109,10 +109,10 @@ def test_analysis_never_fails(line):
 
 
 SECRETS = [
-    ('strPwd = "Summer2024!"', ["password"]),
-    ('conn.Open "DSN=x;UID=sa;PWD=hunter2"', ["connectionString"]),
-    ("set DBPASSWORD=Secret123", ["password"]),
-    ('run /pwd:"S3cret!"', ["password"]),
+    ('userPwd = "Blue7Sky"', ["password"]),
+    ('db.Open "Server=a;User=b;Password=Blue7Sky"', ["connectionString"]),
+    ("set MYSQL_PASSWORD=Blue7Sky", ["password"]),
+    ('tool -password "Blue7Sky"', ["password"]),
     ("https://user:pw1@host/x", ["urlCredentials"]),
     ("x = 1", []),
 ]
