@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import command, markup, masking, script, text
+from ..functions import command, markup, masking, paths, script, text
 from ..sources import catalog
 
 SCHEMA = (
@@ -321,6 +321,49 @@ def detect_commands(entries: DataFrame, breaks: str, review: str, source: str) -
     return columns.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
 
+MOST_CALLED = 3
+
+
+def follow_calls(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """What the batch, PowerShell and KiXtart files that commands name start, one level down.
+
+    `entries`: load_idx, entry long, line; `files`: load_idx, path, content,
+    problem.  Returns load_idx, entry, called (path), usage, script, via,
+    number and text of the line, for entries that don't run the engine
+    themselves: the first of at most three files that runs it, else the first
+    with a script of unknown language; reason where it couldn't be read.
+    """
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for load_idx, entry, line in batch.itertuples(index=False):
+                if command.strongest(command.analyze(line)) != command.VBSCRIPT:
+                    rows += [(load_idx, entry, n, called) for n, called in enumerate(command.called_scripts(line)[:MOST_CALLED])]
+            yield pd.DataFrame(rows, columns=["load_idx", "entry", "n", "called"])
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for load_idx, path, content, problem in batch.itertuples(index=False):
+                best = None
+                if not problem:
+                    code = script.code_lines(text.decode(bytes(content)), script.LANGUAGES.get(text.extension(path) or "", script.BATCH))
+                    found = ((r.usage != command.VBSCRIPT, n, line.strip(), r) for n, line in code for r in command.analyze(line))
+                    best = min(found, key=lambda x: x[:2], default=None)
+                if best or problem:
+                    rows.append((load_idx, path, best[3].usage if best else None, best[3].script if best else None, best[3].via if best else None, best[1] if best else None, best[2] if best else None, problem))
+            yield pd.DataFrame(rows, columns=["load_idx", "file", "usage", "script", "via", "number", "text", "reason"])
+
+    calls = entries.select("load_idx", "entry", "line").where("line is not null").mapInPandas(named, "load_idx long, entry long, n int, called string")
+    known = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin(*command.CALLEES)
+    uses = files.where(known).select("load_idx", "path", "content", "problem").mapInPandas(inside, "load_idx long, file string, usage string, script string, via string, number int, text string, reason string")
+    joined = calls.withColumn("_path", paths.normalize("called")).join(uses.withColumn("_path", paths.normalize("file")), ["load_idx", "_path"])
+    rank = F.when(F.col("usage") == command.VBSCRIPT, 0).when(F.col("usage").isNotNull(), 1).otherwise(2)
+    first = joined.groupBy("load_idx", "entry").agg(F.min(F.struct(rank.alias("rank"), "n", "called", "usage", "script", "via", "number", "text", "reason")).alias("f"))
+    return first.select("load_idx", "entry", *[f"f.{c}" for c in ("called", "usage", "script", "via", "number", "text", "reason")])
+
+
 def detect_consumers(consumers: DataFrame) -> DataFrame:
     """Findings of consumers that hold VBScript: columns of system.subscriptions()."""
 

@@ -208,3 +208,13 @@ def test_source_status_and_limits(spark):
         "supported boolean, elevated boolean, system_sources boolean, restricted boolean, statuses map<string,string>",
     )
     assert [r[0] for r in scans.select(detect.limitations()).collect()] == [[], ["unsupportedPlatform", "systemSourcesSkipped", "fileScopeRestricted", "sourceIncomplete"], ["notElevated", "sourceIncomplete"]]
+
+
+def test_calls_are_followed_one_level(spark):
+    rows = files(spark, ("C:\\one.cmd", b"@echo off\r\nstart other.cmd\r\ncscript %2\r\nwscript a.vbs\r\n", None), ("C:\\two.bat", b"rem\r\nmshta x.hta\r\n", None), ("C:\\locked.cmd", None, "locked"), ("C:\\none.cmd", b"dir\r\n", None))
+    lines = ['cmd /c "C:/ONE.CMD" -x', r"C:\two.bat & C:\one.cmd", r"C:\two.bat", r"C:\locked.cmd", r"C:\none.cmd", r"C:\gone.cmd", r"wscript b.vbs & C:\one.cmd", None]
+    entries = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "load_idx long, entry long, line string")
+    got = {r.entry: r for r in detect.follow_calls(entries, rows).collect()}
+    assert {k: (r.called, r.usage, r.script, r.number, r.reason) for k, r in got.items()} == {
+        0: ("C:/ONE.CMD", "vbscript", "a.vbs", 4, None), 1: (r"C:\one.cmd", "vbscript", "a.vbs", 4, None), 2: (r"C:\two.bat", "unknown", "x.hta", 2, None), 3: (r"C:\locked.cmd", None, None, None, "locked"),
+    }
