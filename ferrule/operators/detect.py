@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import command, markup, masking, paths, script, text
+from ..runtime import ship
 from ..sources import catalog
 
 SCHEMA = (
@@ -273,6 +274,7 @@ def detect_files(files: DataFrame) -> DataFrame:
     """
     from . import binary_detectors  # noqa: F401  (registers its detectors)
 
+    ship(files.sparkSession)
     known = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin(*DETECTORS) | F.regexp_extract(F.lower("path"), r"([^\\/]+)$", 1).isin(*NAMED)
     large = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("size") > MOST_CONTENT, F.lit("tooLarge"))
     some = files.where(known).select("load_idx", "path", F.when(large.isNull(), F.col("content")).alias("content"), "size", large.alias("problem"))
@@ -301,6 +303,7 @@ def detect_tasks(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield _rows(batch, inspect)
 
+    ship(files.sparkSession)
     return files.select("load_idx", "path", "content", "problem").mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
 
@@ -317,6 +320,7 @@ def detect_commands(entries: DataFrame, breaks: str, review: str, source: str) -
         for batch in batches:
             yield _rows(batch, inspect)
 
+    ship(entries.sparkSession)
     columns = entries.select("load_idx", "loc_kind", "loc_path", "loc_item", "activation", "line", "details").where("line is not null")
     return columns.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
@@ -355,6 +359,7 @@ def follow_calls(entries: DataFrame, files: DataFrame) -> DataFrame:
                     rows.append((load_idx, path, best[3].usage if best else None, best[3].script if best else None, best[3].via if best else None, best[1] if best else None, best[2] if best else None, problem))
             yield pd.DataFrame(rows, columns=["load_idx", "file", "usage", "script", "via", "number", "text", "reason"])
 
+    ship(entries.sparkSession)
     calls = entries.select("load_idx", "entry", "line").where("line is not null").mapInPandas(named, "load_idx long, entry long, n int, called string")
     known = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin(*command.CALLEES)
     uses = files.where(known).select("load_idx", "path", "content", "problem").mapInPandas(inside, "load_idx long, file string, usage string, script string, via string, number int, text string, reason string")
@@ -384,6 +389,7 @@ def detect_consumers(consumers: DataFrame) -> DataFrame:
         for batch in batches:
             yield _rows(batch, inspect)
 
+    ship(consumers.sparkSession)
     columns = consumers.select("load_idx", "loc_kind", "loc_path", "activation", "engine", "script_text", "script_file", "details")
     return columns.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import command
+from ..runtime import ship
 
 # Providers, event ids, how many records a query takes.
 ALERT_PROVIDER, ALERT_EVENT = "VBScriptDeprecationAlert", 4096
@@ -94,6 +95,7 @@ def process_starts(events: DataFrame) -> DataFrame:
     # the analyser needs Python: only lines that can matter reach it
     likely = ascii_lower(line).rlike(r"vbscript|\.vb[se]|script|mshta|powershell|pwsh|cmd|comspec")
     some = some.withColumns({"line": line, "image": F.coalesce(field("Image"), F.lit("")), "parent": field("ParentImage")}).where(likely)
+    ship(events.sparkSession)
     engine_use = F.pandas_udf(_engine_uses, _USE)
     some = some.withColumn("use", engine_use("line")).where("use.found")
     key = F.concat_ws("|", ascii_lower(F.col("image")), ascii_lower(F.coalesce("use.script", F.lit(""))))

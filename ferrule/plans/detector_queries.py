@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import command, masking, text
 from ..operators import detect
+from ..runtime import ship
 from .queries import query
 
 _B = "chr(92)"
@@ -44,6 +45,7 @@ def command_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = [(*key, r.usage, r.via, r.script or "") for *key, line in batch.itertuples(index=False) for r in known[line]]
             yield pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "usage", "via", "script"])
 
+    ship(spark)
     return _lines(spark, sf_dir).mapInPandas(run, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, usage string, via string, script string")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,6 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once a session, for operators that parse text or binary formats."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ferrule_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        name = Path(tempfile.mkdtemp(prefix="ferrule-")) / "ferrule_code.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, os.path.join(package.name, file.relative_to(package)))
+        sc.addPyFile(str(name))
+    sc._ferrule_shipped = True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
     where = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

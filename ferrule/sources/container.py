@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masking, text
 from ..operators import assessment
-from ..runtime import numbered
+from ..runtime import numbered, ship
 from . import catalog
 
 # Names in the archive, limits, the current schema.
@@ -275,6 +275,7 @@ def read_files(spark: SparkSession, paths: list[str] | str, extension: str | Non
 
     Folders are read with their subfolders; `extension` is matched whatever its case.
     """
+    ship(spark)
     # files are large and few a partition: their contents pass through Python a few at a time
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     pattern = "*" if extension is None else "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
@@ -364,4 +365,5 @@ def written(rows: DataFrame, folder: str, extension: str = "zip") -> DataFrame:
                     out.append((name, type(e).__name__))
             yield pd.DataFrame(out, columns=["file", "error"])
 
+    ship(rows.sparkSession)
     return rows.select("scan").mapInPandas(run, "file string, error string")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import markup
+from ..runtime import ship
 
 
 def parse_event(xml: str) -> tuple[int, str, int, str | None, dict[str, str]]:
@@ -54,5 +55,6 @@ def read_events(rows: DataFrame) -> DataFrame:
             out.insert(0, "load_idx", batch["load_idx"].to_numpy())
             yield out
 
+    ship(rows.sparkSession)
     got = rows.select("load_idx", "xml").mapInPandas(run, "load_idx long, record_id long, provider string, event_id int, time string, data map<string,string>")
     return got.withColumn("time", got["time"].try_cast("timestamp"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 MOST_CONTENT = 64 << 20
 # Errors of reading, and the reasons that findings give; a missing file is none.
 REASONS = {
@@ -81,6 +83,7 @@ def read_listed(spark: SparkSession, listed: list[tuple[int, str, int]], most: i
                     rows.append((load_idx, path, content, size, reason(error)))
             yield pd.DataFrame(rows, columns=["load_idx", "path", "content", "size", "problem"])
 
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     parts = max(1, min(len(listed) // 64, 10_000))
     return spark.createDataFrame(listed, "load_idx long, path string, size long").repartition(parts).mapInPandas(run, "load_idx long, path string, content binary, size long, problem string")
