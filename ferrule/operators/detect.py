@@ -27,7 +27,7 @@ SCHEMA = (
     "file_size long, sha256 string, evidence array<struct<line int, text string, masked boolean>>, details string"
 )
 RULES = {r[0]: r for r in catalog.RULES}
-MOST_SCRIPT, MOST_CONTENT, MOST_TASK = 16 << 20, 64 << 20, 1 << 20
+MOST_SCRIPT, MOST_CONTENT, MOST_TASK = 16 << 20, 64 << 20, 4 << 20
 CREDENTIALS = "VBS-901"
 
 
@@ -289,14 +289,16 @@ def detect_files(files: DataFrame) -> DataFrame:
 
 
 def detect_tasks(files: DataFrame) -> DataFrame:
-    """Findings of task definitions: load_idx, path (of the task), content, problem."""
+    """Findings of task definitions: load_idx, path (of the task), content, problem.
 
+    Definitions are read whole; one of more than 4 MiB is reported as not checkable (tooLarge).
+    """
     def inspect(batch: pd.DataFrame):
         for load_idx, path, content, problem in zip(batch["load_idx"], batch["path"], batch["content"], batch["problem"], strict=True):
             if problem:
                 yield (load_idx, "tasks"), Finding("VBS-300", loc_path=path, loc_kind="scheduledTask", reason=problem)
                 continue
-            for x in inspect_task(path, bytes(content)[:MOST_TASK]):
+            for x in inspect_task(path, bytes(content)):
                 yield (load_idx, "tasks"), x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,7 +306,9 @@ def detect_tasks(files: DataFrame) -> DataFrame:
             yield _rows(batch, inspect)
 
     ship(files.sparkSession)
-    return files.select("load_idx", "path", "content", "problem").mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
+    problem = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.length("content") > MOST_TASK, F.lit("tooLarge"))
+    some = files.select("load_idx", "path", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
+    return some.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
 
 def detect_commands(entries: DataFrame, breaks: str, review: str, source: str) -> DataFrame:

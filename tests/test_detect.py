@@ -90,6 +90,19 @@ def test_tasks(spark, enabled, activation):
     assert (out["\\Bad"].reason, out["\\Locked"].reason) == ("corrupt", "locked")
 
 
+def test_long_tasks_are_read_whole_or_reported(spark):
+    def task(n):
+        return TASK.format("true").replace("<Triggers>", f"<!--{'x' * n}--><Triggers>", 1).encode("utf-16")
+
+    longest = task((4 << 20) // 2 - len(task(0)) // 2)
+    assert len(longest) == 4 << 20
+    rows = files(spark, ("\\Long", task(600_000), None), ("\\Longest", longest, None), ("\\Larger", longest + b" \0", None))
+    out = {r.loc_path: r for r in detect.detect_tasks(rows).collect()}
+    assert {k: (r.rule, r.status, r.reason, r.target) for k, r in out.items()} == {
+        "\\Long": ("VBS-301", "detected", None, "C:\\x.vbs"), "\\Longest": ("VBS-301", "detected", None, "C:\\x.vbs"), "\\Larger": ("VBS-300", "notCheckable", "tooLarge", None),
+    }
+
+
 REGISTRY = "load_idx long, hive string, view string, key string, name string, value string, offline boolean"
 
 
