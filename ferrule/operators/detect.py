@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import ntpath
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ SCHEMA = (
 )
 RULES = {r[0]: r for r in catalog.RULES}
 MOST_SCRIPT, MOST_CONTENT, MOST_TASK = 16 << 20, 64 << 20, 4 << 20
-CREDENTIALS = "VBS-901"
+CREDENTIALS, UNREADABLE = "VBS-901", "VBS-300"
 
 
 @dataclass
@@ -182,15 +183,40 @@ def policy_scripts(file: File) -> list[Finding]:
     return out
 
 
-def report_command(line: str, uses: list[command.Reference], rules: tuple[str, str], where: dict, details: dict | None = None) -> list[Finding]:
-    """A finding for the strongest use of a command, and one for secrets in it."""
-    usage = command.strongest(uses)
+@dataclass
+class Called:
+    """What follow_calls() found behind a command."""
+
+    path: str
+    usage: str | None = None
+    script: str | None = None
+    via: str | None = None
+    number: int | None = None
+    line: str | None = None
+    reason: str | None = None
+
+
+def report_command(line: str, uses: list[command.Reference], rules: tuple[str, str], where: dict, details: dict | None = None, called: Called | None = None) -> list[Finding]:
+    """A finding for the strongest use of a command, or of the script that it calls, and one for secrets in it.
+
+    A command of no use whose called script can't be read is not checkable.
+    """
+    own = command.strongest(uses)
+    within = called.usage if called else None
+    usage = command.VBSCRIPT if command.VBSCRIPT in (own, within) else own or within
     if usage is None:
+        if called and called.reason:
+            return [Finding(UNREADABLE, kind=RULES[rules[0]][1], reason=called.reason, target=called.path, details=dict(details or {}), **where).show(None, line)]
         return []
-    best = min((r for r in uses if r.usage == usage), key=lambda r: r.script is None)
-    f = Finding(rules[0] if usage == command.VBSCRIPT else rules[1], target=best.script, **where)
-    f.details = {"via": best.via, **(details or {})}
+    f = Finding(rules[0] if usage == command.VBSCRIPT else rules[1], **where)
     f.show(None, line)
+    if own == usage:
+        best = min((r for r in uses if r.usage == usage), key=lambda r: r.script is None)
+        f.target, f.details = best.script, {"via": best.via}
+    else:
+        f.target, f.details = called.path, {"via": "script", "calledScriptStarts": called.script or called.via}
+        f.show(None, f"{text.base_name(called.path)}:{called.number}: {called.line}")
+    f.details |= details or {}
     return [f, *credentials([(None, line)], **where)]
 
 
@@ -228,19 +254,18 @@ def parse_task(content: str) -> Task | None:
     return task
 
 
-def inspect_task(path: str, content: bytes) -> list[Finding]:
+def inspect_task(path: str, content: bytes) -> list[tuple]:
+    """Actions of a task: item, activation, line as shown and as analysed, folder, details, reason."""
     task = parse_task(text.decode(content))
-    where = {"loc_path": path, "loc_kind": "scheduledTask"}
     if task is None:
-        return [Finding("VBS-300", reason="corrupt", **where)]
+        return [(path, None, "dormant", None, None, None, None, "corrupt")]
     out = []
     for n, a in enumerate(task.actions, 1):
         line = f"{a['Command']} {a['Arguments']}" if a["Arguments"] else a["Command"]
         program = a["Command"].strip().strip('"')
-        uses = command.analyze(f'"{program}" {a["Arguments"]}' if " " in program else line)
         details = {"enabled": task.enabled} | ({"triggers": ",".join(task.triggers)} if task.triggers else {})
-        at = where | {"loc_item": f"action {n}" if len(task.actions) > 1 else None, "activation": "automatic" if task.enabled else "dormant"}
-        out += report_command(line, uses, ("VBS-301", "VBS-302"), at, details)
+        item = f"action {n}" if len(task.actions) > 1 else None
+        out.append((path, item, "automatic" if task.enabled else "dormant", line, f'"{program}" {a["Arguments"]}' if " " in program else line, a["WorkingDirectory"], json.dumps(details), None))
     return out
 
 
@@ -266,17 +291,21 @@ def _inspect_files(batch: pd.DataFrame):
                 yield key, x
 
 
-def detect_files(files: DataFrame) -> DataFrame:
-    """Findings of files: load_idx, path, content binary, size long, problem string (why it can't be read, else null).
+def detect_files(files: DataFrame, cache: str | None = None) -> DataFrame:
+    r"""Findings of files: load_idx, path, content binary, size long, problem string (why it can't be read, else null).
 
     Only files that a detector knows reach Python.  A rule that doesn't exist
-    for what can't be checked takes the kind of its fallback.
+    for what can't be checked takes the kind of its fallback.  Packages in the
+    folder `cache` (C:\Windows\Installer) are left to system.installed_packages().
     """
     from . import binary_detectors  # noqa: F401  (registers its detectors)
 
     ship(files.sparkSession)
     known = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin(*DETECTORS) | F.regexp_extract(F.lower("path"), r"([^\\/]+)$", 1).isin(*NAMED)
     large = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("size") > MOST_CONTENT, F.lit("tooLarge"))
+    if cache is not None:
+        folder = F.regexp_extract(paths.normalize("path"), r"^(.*)\\[^\\]*\.msi$", 1)
+        known &= ~F.coalesce(folder == paths.normalize(F.lit(cache)), F.lit(False))
     some = files.where(known).select("load_idx", "path", F.when(large.isNull(), F.col("content")).alias("content"), "size", large.alias("problem"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,67 +317,127 @@ def detect_files(files: DataFrame) -> DataFrame:
     return some.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
 
-def detect_tasks(files: DataFrame) -> DataFrame:
+def detect_tasks(files: DataFrame, scripts: DataFrame | None = None, variables: DataFrame | None = None) -> DataFrame:
     """Findings of task definitions: load_idx, path (of the task), content, problem.
 
     Definitions are read whole; one of more than 4 MiB is reported as not checkable (tooLarge).
+    With `scripts`, calls are followed as in detect_commands().
     """
-    def inspect(batch: pd.DataFrame):
-        for load_idx, path, content, problem in zip(batch["load_idx"], batch["path"], batch["content"], batch["problem"], strict=True):
-            if problem:
-                yield (load_idx, "tasks"), Finding("VBS-300", loc_path=path, loc_kind="scheduledTask", reason=problem)
-                continue
-            for x in inspect_task(path, bytes(content)):
-                yield (load_idx, "tasks"), x
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def actions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _rows(batch, inspect)
+            rows = []
+            for load_idx, path, content, problem in batch.itertuples(index=False):
+                found = [(path, None, "dormant", None, None, None, None, problem)] if problem else inspect_task(path, bytes(content))
+                rows += [(load_idx, *x) for x in found]
+            yield pd.DataFrame(rows, columns=["load_idx", "loc_path", "loc_item", "activation", "line", "analysed", "folder", "details", "reason"])
 
     ship(files.sparkSession)
     problem = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.length("content") > MOST_TASK, F.lit("tooLarge"))
     some = files.select("load_idx", "path", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
-    return some.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
+    found = some.mapInPandas(actions, "load_idx long, loc_path string, loc_item string, activation string, line string, analysed string, folder string, details string, reason string")
+    rules = {"loc_kind": F.lit("scheduledTask"), "breaks": F.lit("VBS-301"), "review": F.lit("VBS-302"), "source": F.lit("tasks")}
+    return _report(found.withColumns(rules), scripts, variables)
+
+
+def commands(entries: DataFrame, breaks: str, review: str, source: str) -> DataFrame:
+    """Command lines with the rules that they can break, as detect_lines() takes them."""
+    folder = F.col("folder") if "folder" in entries.columns else F.lit(None).cast("string")
+    rules = [F.lit(breaks).alias("breaks"), F.lit(review).alias("review"), F.lit(source).alias("source")]
+    return entries.where("line is not null").select("load_idx", "loc_kind", "loc_path", "loc_item", "activation", "line", folder.alias("folder"), "details", *rules)
+
+
+def detect_lines(lines: DataFrame, files: DataFrame | None = None, variables: DataFrame | None = None) -> DataFrame:
+    """Findings of commands(), of one or more sources."""
+    return _report(lines.withColumns({"analysed": F.col("line"), "details": F.to_json("details"), "reason": F.lit(None).cast("string")}), files, variables)
+
+
+def detect_commands(entries: DataFrame, breaks: str, review: str, source: str, files: DataFrame | None = None, variables: DataFrame | None = None) -> DataFrame:
+    """Findings of command lines: load_idx, loc_kind, loc_path, loc_item, activation, line, details map<string,string>.
+
+    With `files` (load_idx, path, content, problem), commands are followed into
+    the scripts that they call, as follow_calls() says; `folder` of an entry is
+    where it starts, `variables` (load_idx, variables map<string,string>) are
+    its machine's.
+    """
+    return detect_lines(commands(entries, breaks, review, source), files, variables)
 
 
-def detect_commands(entries: DataFrame, breaks: str, review: str, source: str) -> DataFrame:
-    """Findings of command lines: load_idx, loc_kind, loc_path, loc_item, activation, line, details map<string,string>."""
+def _report(entries: DataFrame, files: DataFrame | None, variables: DataFrame | None) -> DataFrame:
+    called = "called string, usage string, script string, via string, number int, text string, called_reason string"
 
     def inspect(batch: pd.DataFrame):
         for r in batch.itertuples(index=False):
             where = {"loc_path": r.loc_path, "loc_kind": r.loc_kind, "loc_item": r.loc_item, "activation": r.activation}
-            for x in report_command(r.line, command.analyze(r.line), (breaks, review), where, dict(r.details or {})):
-                yield (r.load_idx, source), x
+            key = (r.load_idx, r.source)
+            if r.reason:
+                yield key, Finding(UNREADABLE, kind=RULES[r.breaks][1], reason=r.reason, **where)
+                continue
+            behind = Called(r.called, r.usage, r.script, r.via, None if pd.isna(r.number) else int(r.number), r.text, r.called_reason) if r.called else None
+            for x in report_command(r.line, command.analyze(r.analysed), (r.breaks, r.review), where, json.loads(r.details or "{}"), behind):
+                yield key, x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield _rows(batch, inspect)
 
     ship(entries.sparkSession)
-    columns = entries.select("load_idx", "loc_kind", "loc_path", "loc_item", "activation", "line", "details").where("line is not null")
+    columns = entries.select("load_idx", "source", "breaks", "review", "loc_kind", "loc_path", "loc_item", "activation", "line", "analysed", "folder", "details", "reason")
+    if files is None:
+        columns = columns.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in called.split(", ")})
+    else:
+        columns = columns.withColumn("folder", F.coalesce("folder", F.lit("")))
+        each = columns.where("analysed is not null").select("load_idx", F.col("analysed").alias("line"), "folder").distinct()
+        found = follow_calls(each, files, variables, key=("line", "folder")).withColumnsRenamed({"line": "analysed", "reason": "called_reason"})
+        columns = columns.join(found, ["load_idx", "analysed", "folder"], "left")
     return columns.mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
 
 MOST_CALLED = 3
 
 
-def follow_calls(entries: DataFrame, files: DataFrame) -> DataFrame:
+def is_network(path: str) -> bool:
+    r"""A path of a server and a share."""
+    path = re.sub(r"^\\\\\?\\UNC\\", r"\\\\", path)
+    return path[:2] in ("\\\\", "//") and path[2:4] not in ("?\\", ".\\") and len([x for x in re.split(r"[\\/]", path[2:]) if x]) >= 2
+
+
+def resolve(written: str, folder: str | None, variables: dict[str, str]) -> str | None:
+    """A path of a command as a whole path; None where a variable or the folder isn't known."""
+    path = text.expand(written.strip().strip('"'), variables)
+    if "%" in path:
+        return None
+    if is_network(path) or re.match(r"(?:\\\\\?\\)?[A-Za-z]:[\\/]", path):
+        return path
+    base = text.expand((folder or "").strip().strip('"'), variables)
+    whole = re.match(r"[A-Za-z]:[\\/]", base) or is_network(base)
+    return ntpath.join(base, path) if whole and "%" not in base else None
+
+
+def follow_calls(entries: DataFrame, files: DataFrame, variables: DataFrame | None = None, key: tuple[str, ...] = ("entry",)) -> DataFrame:
     """What the batch, PowerShell and KiXtart files that commands name start, one level down.
 
-    `entries`: load_idx, entry long, line; `files`: load_idx, path, content,
-    problem.  Returns load_idx, entry, called (path), usage, script, via,
-    number and text of the line, for entries that don't run the engine
+    `entries`: load_idx, entry long, line and perhaps folder, where they start;
+    `files`: load_idx, path, content, problem; `variables`: load_idx, variables
+    map<string,string>.  Returns load_idx, entry, called (path), usage, script,
+    via, number and text of the line, for entries that don't run the engine
     themselves: the first of at most three files that runs it, else the first
     with a script of unknown language; reason where it couldn't be read.
+
+    Files on a network are never read (networkLocation); one without a row in
+    `files` counts as gone.  Paths that keep a variable, or are relative without
+    a folder, aren't followed.  `key` are the columns that name an entry.
     """
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for load_idx, entry, line in batch.itertuples(index=False):
+            for load_idx, line, folder, known, *own in batch.itertuples(index=False):
                 if command.strongest(command.analyze(line)) != command.VBSCRIPT:
-                    rows += [(load_idx, entry, n, called) for n, called in enumerate(command.called_scripts(line)[:MOST_CALLED])]
-            yield pd.DataFrame(rows, columns=["load_idx", "entry", "n", "called"])
+                    for n, written in enumerate(command.called_scripts(line)[:MOST_CALLED]):
+                        if path := resolve(written, folder, dict(known or {})):
+                            rows.append((load_idx, *own, n, path, ntpath.normpath(path), "networkLocation" if is_network(path) else None))
+            yield pd.DataFrame(rows, columns=["load_idx", *key, "n", "called", "place", "remote"])
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,13 +453,56 @@ def follow_calls(entries: DataFrame, files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["load_idx", "file", "usage", "script", "via", "number", "text", "reason"])
 
     ship(entries.sparkSession)
-    calls = entries.select("load_idx", "entry", "line").where("line is not null").mapInPandas(named, "load_idx long, entry long, n int, called string")
-    known = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin(*command.CALLEES)
-    uses = files.where(known).select("load_idx", "path", "content", "problem").mapInPandas(inside, "load_idx long, file string, usage string, script string, via string, number int, text string, reason string")
-    joined = calls.withColumn("_path", paths.normalize("called")).join(uses.withColumn("_path", paths.normalize("file")), ["load_idx", "_path"])
+    if variables is not None:
+        entries = entries.join(variables.select("load_idx", "variables"), "load_idx", "left")
+    known = F.col("variables") if variables is not None else F.lit(None).cast("map<string,string>")
+    folder = F.col("folder") if "folder" in entries.columns else F.lit(None).cast("string")
+    own = [F.col(k).alias(f"key_{k}") for k in key]
+    kinds = ", ".join(f"{k} {entries.schema[k].dataType.simpleString()}" for k in key)
+    calls = entries.where("line is not null").select("load_idx", F.col("line").alias("_text"), folder.alias("_folder"), known.alias("_known"), *own).mapInPandas(named, f"load_idx long, {kinds}, n int, called string, place string, remote string")
+    script_file = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin(*command.CALLEES)
+    problem = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.length("content") > MOST_SCRIPT, F.lit("tooLarge"))
+    some = files.where(script_file).select("load_idx", "path", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
+    uses = some.mapInPandas(inside, "load_idx long, file string, usage string, script string, via string, number int, text string, reason string")
+    joined = calls.where("remote is null").withColumn("_path", paths.normalize("place")).join(uses.withColumn("_path", paths.normalize("file")), ["load_idx", "_path"])
+    columns = ["load_idx", *key, "n", "called", "usage", "script", "via", "number", "text", "reason"]
+    none = {"usage": "string", "script": "string", "via": "string", "number": "int", "text": "string"}
+    remote = calls.where("remote is not null").withColumns({k: F.lit(None).cast(v) for k, v in none.items()}).withColumn("reason", F.col("remote"))
     rank = F.when(F.col("usage") == command.VBSCRIPT, 0).when(F.col("usage").isNotNull(), 1).otherwise(2)
-    first = joined.groupBy("load_idx", "entry").agg(F.min(F.struct(rank.alias("rank"), "n", "called", "usage", "script", "via", "number", "text", "reason")).alias("f"))
-    return first.select("load_idx", "entry", *[f"f.{c}" for c in ("called", "usage", "script", "via", "number", "text", "reason")])
+    each = joined.select(*columns).union(remote.select(*columns))
+    first = each.groupBy("load_idx", *key).agg(F.min(F.struct(rank.alias("rank"), "n", "called", "usage", "script", "via", "number", "text", "reason")).alias("f"))
+    return first.select("load_idx", *key, *[f"f.{c}" for c in ("called", "usage", "script", "via", "number", "text", "reason")])
+
+
+def detect_packages(products: DataFrame, files: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """Findings of installed products' packages: load_idx, packed (product code), path, details (JSON); files and variables as in detect_commands()."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(x[0], *x[2:], text.expand(x[3], dict(x[1] or {}))) for x in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["load_idx", "packed", "written", "details", "place"])
+
+    def inspect(batch: pd.DataFrame):
+        from .binary_detectors import installed_package
+
+        for r in batch.itertuples(index=False):
+            content = bytes(r.content) if r.content is not None else b""
+            for x in installed_package(text.unpack_guid(r.packed) or r.packed, content, r.problem, json.loads(r.details)):
+                yield (r.load_idx, "installer"), x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _rows(batch, inspect)
+
+    ship(files.sparkSession)
+    if variables is not None:
+        products = products.join(variables.select("load_idx", "variables"), "load_idx", "left")
+    known = F.col("variables") if variables is not None else F.lit(None).cast("map<string,string>")
+    named = products.select("load_idx", known.alias("known"), "packed", "path", "details").mapInPandas(places, "load_idx long, packed string, written string, details string, place string")
+    problem = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.length("content") > MOST_CONTENT, F.lit("tooLarge"))
+    some = files.select("load_idx", paths.normalize("path").alias("_path"), F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
+    joined = named.withColumn("_path", paths.normalize("place")).join(some, ["load_idx", "_path"])
+    return joined.select("load_idx", "packed", "details", "content", "problem").mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
 
 
 def detect_consumers(consumers: DataFrame) -> DataFrame:

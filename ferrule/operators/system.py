@@ -35,7 +35,7 @@ POLICY = CURRENT + "group policy\\scripts\\"
 POLICY_STATE = CURRENT + "group policy\\state\\"
 PROGRAM_SERVICE = 0x70
 
-COLUMNS = ["load_idx", "loc_kind", "loc_path", "loc_item", "activation", "line", "details"]
+COLUMNS = ["load_idx", "loc_kind", "loc_path", "loc_item", "activation", "line", "folder", "details"]
 
 
 def _keyed(registry: DataFrame) -> DataFrame:
@@ -91,6 +91,7 @@ def services(registry: DataFrame) -> DataFrame:
     s = r.where(F.col("rest").isin("", "parameters")).groupBy("load_idx", "service").agg(
         value("", "type").alias("type"), value("", "start").alias("start"), value("", "displayname").alias("display"), value("", "imagepath").alias("image"), value("", "failurecommand").alias("failure"),
         value("parameters", "application").alias("application"), value("parameters", "appparameters").alias("parameters"),
+        value("parameters", "appdirectory").alias("directory"),
     )
     s = s.where(F.coalesce(F.try_to_number("type", F.lit("9999999999")).cast("long"), F.lit(0)).bitwiseAND(F.lit(PROGRAM_SERVICE)) != 0)
     start = F.col("start")
@@ -98,13 +99,14 @@ def services(registry: DataFrame) -> DataFrame:
     start_type = F.when(start.isin("0", "1", "2"), "automatic").when(start == "3", "manual").when(start == "4", "disabled").otherwise("unknown")
     display = F.when(F.col("display").isNotNull() & ~F.col("display").startswith("@"), F.create_map(F.lit("displayName"), F.col("display"))).otherwise(F.create_map().cast("map<string,string>"))
     wrapped = F.when(F.trim("application") != "", F.concat(F.lit('"'), F.regexp_replace(F.trim("application"), '^"+|"+$', ""), F.lit('" '), F.coalesce("parameters", F.lit(""))))
+    none = F.lit(None).cast("string")
     lines = F.array(
-        F.struct(F.lit("ImagePath").alias("item"), image_path(F.col("image")).alias("line")),
-        F.struct(F.lit("FailureCommand").alias("item"), image_path(F.col("failure")).alias("line")),
-        F.struct(F.lit("Parameters\\Application").alias("item"), wrapped.alias("line")),
+        F.struct(F.lit("ImagePath").alias("item"), image_path(F.col("image")).alias("line"), none.alias("folder")),
+        F.struct(F.lit("FailureCommand").alias("item"), image_path(F.col("failure")).alias("line"), none.alias("folder")),
+        F.struct(F.lit("Parameters\\Application").alias("item"), wrapped.alias("line"), F.col("directory").alias("folder")),
     )
     each = s.withColumns({"activation": activation, "details": F.map_concat(F.create_map(F.lit("startType"), start_type), display)}).select("*", F.explode(lines).alias("c")).where("c.line is not null")
-    return each.select("load_idx", F.lit("service").alias("loc_kind"), F.col("service").alias("loc_path"), F.col("c.item").alias("loc_item"), "activation", F.col("c.line").alias("line"), "details")
+    return each.select("load_idx", F.lit("service").alias("loc_kind"), F.col("service").alias("loc_path"), F.col("c.item").alias("loc_item"), "activation", F.col("c.line").alias("line"), F.col("c.folder").alias("folder"), "details")
 
 
 def full_script_path(script: Column, folder: Column) -> Column:
@@ -150,7 +152,7 @@ def relative_path(path: Column) -> Column:
 
 
 def subscriptions(wmi: DataFrame) -> DataFrame:
-    """Consumers that run commands or scripts: load_idx, class, loc_path, activation, engine, script text and file, line, details.
+    """Consumers that run commands or scripts: load_idx, class, loc_path, activation, engine, script text and file, line, details, folder.
 
     A consumer is bound if a binding names it; the first binding's filter tells
     the query.
@@ -170,19 +172,46 @@ def subscriptions(wmi: DataFrame) -> DataFrame:
     details = F.map_concat(F.create_map(F.lit("consumerClass"), F.col("class"), F.lit("bound"), bound.cast("string")), query)
     return found.select(
         "load_idx", "class", F.lit("wmi").alias("loc_kind"), F.concat("namespace", F.lit(":"), relative_path(F.col("path"))).alias("loc_path"), F.lit(None).cast("string").alias("loc_item"),
-        F.when(bound, "automatic").otherwise("dormant").alias("activation"), prop("ScriptingEngine").alias("engine"), prop("ScriptText").alias("script_text"), prop("ScriptFileName").alias("script_file"), line.alias("line"), details.alias("details"),
+        F.when(bound, "automatic").otherwise("dormant").alias("activation"), prop("ScriptingEngine").alias("engine"), prop("ScriptText").alias("script_text"), prop("ScriptFileName").alias("script_file"), line.alias("line"), details.alias("details"), prop("WorkingDirectory").alias("folder"),
     )
 
 
-def detect_all(registry: DataFrame, wmi: DataFrame | None = None) -> DataFrame:
-    """Findings of all entries."""
-    out = detect.detect_commands(autostart(registry), "VBS-311", "VBS-312", "autostart")
-    out = out.union(detect.detect_commands(services(registry), "VBS-321", "VBS-322", "services"))
-    out = out.union(detect.detect_commands(logon_scripts(registry), "VBS-341", "VBS-342", "logonScripts"))
+def installed_packages(registry: DataFrame, files: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """Findings of the packages that the machine keeps of its installed products.
+
+    A package without a row in `files` (load_idx, path, content, problem), or
+    one that access is denied to, gives none.
+    """
+    pattern = "^" + (CURRENT + "installer\\userdata\\").replace("\\", "\\\\") + r"[^\\]+\\products\\([^\\]+)\\installproperties$"
+    r = registry.where((F.col("hive") == "HKLM") & (F.col("view") == "native") & F.lower("key").rlike(pattern) & (F.trim("value") != ""))
+    value = lambda name: F.max(F.when(F.lower("name") == name, F.col("value")))
+    packed = F.regexp_extract("key", "(?i)" + pattern, 1)
+    products = r.groupBy("load_idx", F.lower("key").alias("key")).agg(
+        F.min(packed).alias("packed"), value("localpackage").alias("packagePath"), value("displayname").alias("productName"), value("displayversion").alias("productVersion"), value("publisher").alias("publisher"),
+    ).where(F.col("packagePath").isNotNull())
+    details = F.to_json(F.struct("packagePath", "productName", "productVersion", "publisher"))
+    products = products.select("load_idx", "packed", F.col("packagePath").alias("path"), details.alias("details"))
+    return detect.detect_packages(products, files, variables)
+
+
+def detect_all(registry: DataFrame, wmi: DataFrame | None = None, files: DataFrame | None = None, variables: DataFrame | None = None) -> DataFrame:
+    """Findings of all entries.
+
+    With `files` (load_idx, path, content, problem), commands are followed into
+    the scripts that they call, and installed packages are read; `variables`
+    (load_idx, variables map<string,string>) are the machines'.
+    """
+    lines = detect.commands(autostart(registry), "VBS-311", "VBS-312", "autostart")
+    lines = lines.union(detect.commands(services(registry), "VBS-321", "VBS-322", "services"))
+    lines = lines.union(detect.commands(logon_scripts(registry), "VBS-341", "VBS-342", "logonScripts"))
     if wmi is not None:
         found = subscriptions(wmi)
-        out = out.union(detect.detect_commands(found.where("class = 'CommandLineEventConsumer'").select(*COLUMNS), "VBS-331", "VBS-332", "wmi"))
+        lines = lines.union(detect.commands(found.where("class = 'CommandLineEventConsumer'").select(*COLUMNS), "VBS-331", "VBS-332", "wmi"))
+    out = detect.detect_lines(lines, files, variables)
+    if wmi is not None:
         out = out.union(detect.detect_consumers(found.where("class = 'ActiveScriptEventConsumer' and lower(engine) like '%vbscript%'")))
+    if files is not None:
+        out = out.union(installed_packages(registry, files, variables))
     return out
 
 

@@ -231,3 +231,52 @@ def test_calls_are_followed_one_level(spark):
     assert {k: (r.called, r.usage, r.script, r.number, r.reason) for k, r in got.items()} == {
         0: ("C:/ONE.CMD", "vbscript", "a.vbs", 4, None), 1: (r"C:\one.cmd", "vbscript", "a.vbs", 4, None), 2: (r"C:\two.bat", "unknown", "x.hta", 2, None), 3: (r"C:\locked.cmd", None, None, None, "locked"),
     }
+
+
+def called_files(spark):
+    return files(
+        spark,
+        ("C:\\jobs\\run.cmd", b"@echo off\r\nstart x.vbs\r\n", None), ("C:\\jobs\\ask.cmd", b"cscript %1\r\n", None), ("C:\\jobs\\locked.cmd", None, "locked"),
+        ("C:\\Windows\\Installer\\1.msi", builders.package({"CustomAction": ([("Action", "s"), ("Type", "h"), ("Source", "s"), ("Target", "s")], [{"Action": "A", "Type": 38, "Target": "MsgBox 1"}])}), None),
+        ("C:\\Windows\\Installer\\2.msi", b"damaged", None), ("C:\\Windows\\Installer\\3.msi", None, "accessDenied"), ("C:\\Windows\\Installer\\4.msi", None, "locked"),
+    )
+
+
+def test_commands_are_followed_into_scripts(spark):
+    services = "SYSTEM\\CurrentControlSet\\Services\\"
+    run = {"A": "C:\\jobs\\run.cmd /pwd:abc", "B": "%JOBS%\\ask.cmd", "C": "cmd /c C:/jobs/./locked.cmd", "D": "\\\\s\\d\\r.cmd", "E": "C:\\jobs\\gone.cmd", "F": "run.cmd", "G": "cscript %1 & C:\\jobs\\run.cmd", "H": "%OTHER%\\run.cmd"}
+    rows = [(0, "HKLM", "native", RUN, k, v, False) for k, v in run.items()]
+    rows += [(0, "HKLM", "native", services + "S" + k, n, v, False) for k, n, v in (("", "Type", "16"), ("\\Parameters", "Application", "cmd"), ("\\Parameters", "AppParameters", "/c run.cmd"), ("\\Parameters", "AppDirectory", "%JOBS%"))]
+    wmi = [(0, "ROOT\\subscription", "CommandLineEventConsumer", 'CommandLineEventConsumer.Name="B"', {"CommandLineTemplate": "run.cmd", "WorkingDirectory": "C:\\jobs"})]
+    wmi = spark.createDataFrame(wmi, "load_idx long, namespace string, class string, path string, properties map<string,string>")
+    variables = spark.createDataFrame([(0, {"JOBS": "C:\\jobs"})], "load_idx long, variables map<string,string>")
+    out = system.detect_all(spark.createDataFrame(rows, REGISTRY), wmi, called_files(spark), variables).collect()
+    assert {(r.rule, r.loc_item, r.kind, r.reason, r.target) for r in out} == {
+        ("VBS-311", "A", "autostart", None, "C:\\jobs\\run.cmd"), ("VBS-901", "A", "hardcodedCredential", None, None), ("VBS-312", "B", "autostart", None, "C:\\jobs\\ask.cmd"), ("VBS-300", "C", "autostart", "locked", "C:/jobs/./locked.cmd"),
+        ("VBS-300", "D", "autostart", "networkLocation", "\\\\s\\d\\r.cmd"), ("VBS-311", "G", "autostart", None, "C:\\jobs\\run.cmd"), ("VBS-321", "Parameters\\Application", "service", None, "%JOBS%\\run.cmd".replace("%JOBS%", "C:\\jobs")), ("VBS-331", None, "wmiSubscription", None, "C:\\jobs\\run.cmd"),
+    }
+    a = next(r for r in out if (r.rule, r.loc_item) == ("VBS-311", "A"))
+    assert json.loads(a.details) == {"autostartType": "run", "via": "script", "calledScriptStarts": "x.vbs"} and a.evidence[1].text == "run.cmd:2: start x.vbs"
+
+
+def test_tasks_are_followed_into_scripts(spark):
+    one = "<Task><Actions><Exec><Command>run.cmd</Command><WorkingDirectory>C:\\jobs</WorkingDirectory></Exec><Exec><Command>C:\\jobs\\locked.cmd</Command></Exec></Actions></Task>"
+    out = detect.detect_tasks(files(spark, ("\\T", one.encode(), None)), called_files(spark)).collect()
+    assert {(r.rule, r.loc_item, r.kind, r.reason, r.target, r.activation) for r in out} == {
+        ("VBS-301", "action 1", "scheduledTask", None, "C:\\jobs\\run.cmd", "automatic"), ("VBS-300", "action 2", "scheduledTask", "locked", "C:\\jobs\\locked.cmd", "automatic"),
+    }
+    assert json.loads(next(r.details for r in out if r.rule == "VBS-301")) == {"enabled": True, "via": "script", "calledScriptStarts": "x.vbs"}
+
+
+def test_installed_packages(spark):
+    key = "SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Installer\\UserData\\S-1-5-18\\Products\\{}\\InstallProperties"
+    codes = {str(i): f"{i}" * 32 for i in range(1, 6)}
+    rows = [(0, "HKLM", "native", key.format(c), "LocalPackage", f"%SystemRoot%\\Installer\\{i}.msi", False) for i, c in codes.items()]
+    rows += [(0, "HKLM", "native", key.format(codes["1"]), "DisplayName", "Product", False)]
+    variables = spark.createDataFrame([(0, {"SYSTEMROOT": "C:\\Windows"})], "load_idx long, variables map<string,string>")
+    out = system.detect_all(spark.createDataFrame(rows, REGISTRY), None, called_files(spark), variables).collect()
+    code = lambda i: "{" + "-".join(i * n for n in (8, 4, 4, 4, 12)) + "}"
+    assert {(r.rule, r.loc_kind, r.loc_path, r.loc_item, r.reason) for r in out} == {("VBS-402", "msiPackage", code("1"), "A", None), ("VBS-400", "msiPackage", code("2"), None, "corrupt"), ("VBS-400", "msiPackage", code("4"), None, "locked")}
+    assert json.loads(next(r.details for r in out if r.rule == "VBS-402"))["productName"] == "Product"
+    cached = detect.detect_files(called_files(spark).where("path like '%msi'"), "C:\\WINDOWS\\Installer\\")
+    assert cached.count() == 0
