@@ -5,6 +5,8 @@ the tree is laid out: hidden subtrees are skipped, white space collapses as in
 a browser, blocks get lines of their own (and a blank line where they have a
 margin), list items their markers and depth, and table cells line up in
 columns.  All visible text of the page is emitted; no part of it is judged.
+Formulas in MathML and the text elements of SVG count as text; drawings that
+SVG's `use` repeats are emitted where they stand, if they are shown there.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hid
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noembed noframes iframe datalist base link meta param source track audio video object canvas svg math".split())
+UNSEEN = frozenset("head title script style template noembed noframes iframe datalist base link meta param source track audio video object canvas".split()) | frozenset(
+    "svg:defs svg:symbol svg:clippath svg:mask svg:marker svg:pattern svg:title svg:desc svg:metadata svg:script svg:style math:annotation math:annotation-xml math:mphantom".split()
+)
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr fieldset".split())
 BLOCK = MARGIN | frozenset(
     "html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main nav option search section summary tr td th thead tbody tfoot caption optgroup".split()
@@ -52,6 +56,12 @@ IMPLIED = {
 }
 IN_TABLE = frozenset("table thead tbody tfoot tr".split())
 TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th script style template form".split())
+# Of elements of SVG and MathML (their tags stand behind svg: and math:), those whose content is HTML, and HTML tags that end them
+HTML_WITHIN = frozenset("svg:foreignobject svg:desc svg:title math:mi math:mo math:mn math:ms math:mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+APART = frozenset("math:mfrac math:mroot math:mtr math:mlabeledtr math:munder math:mover math:munderover".split())  # their parts don't touch
 DEEPEST = 400
 WIDEST = 60  # a cell longer than this doesn't widen its column
 
@@ -62,8 +72,17 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
+    def foreign(self) -> bool:
+        return ":" in self.tag and self.tag.startswith(("svg:", "math:"))
+
+    def html_within(self) -> bool:
+        """Start tags in it are HTML's."""
+        return self.tag in HTML_WITHIN or self.tag == "math:annotation-xml" and self.attrs.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+
     def hidden(self) -> bool:
         a = self.attrs
+        if a and self.foreign() and (a.get("display", "").strip().lower() == "none" or a.get("visibility", "").strip().lower() in ("hidden", "collapse")):
+            return True
         return self.tag in UNSEEN or bool(a) and ("hidden" in a and a["hidden"].lower() != "until-found" or (self.tag == "input" and a.get("type", "").lower() == "hidden") or bool(CONCEALED.search(a.get("style", ""))))
 
 
@@ -79,6 +98,16 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _closes_itself(raw: str) -> bool:
+    """Ends with a slash that isn't of an unquoted value."""
+    if not raw.endswith("/"):
+        return False
+    last = None
+    for last in ATTRIBUTE.finditer(raw):
+        pass
+    return last is None or last.end() < len(raw)
+
+
 class Builder:
     """Open elements as a stack; each start tag first closes what it implies the end of."""
 
@@ -92,7 +121,7 @@ class Builder:
             if tag in tags:
                 del self.stack[i:]
                 return
-            if tag in stop:
+            if tag in stop or ":" in tag and self.stack[i].html_within():
                 return
 
     def _place(self) -> list:
@@ -108,6 +137,8 @@ class Builder:
     def text(self, text: str) -> None:
         if not text:
             return
+        if self.stack[-1].tag == "colgroup" and not text.isspace():
+            self.stack.pop()
         if self.stack[-1].tag in IN_TABLE:
             if not text.isspace():
                 self._place().append(text)
@@ -115,6 +146,12 @@ class Builder:
             self.stack[-1].children.append(text)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> Node:
+        """`closed`: the tag ends with a slash, which counts in SVG and MathML only."""
+        top = self.stack[-1]
+        if top.foreign() and (not top.html_within() or top.tag.startswith("math:m") and tag in ("mglyph", "malignmark")) and not (top.tag == "math:annotation-xml" and tag == "svg"):
+            if tag not in BREAKOUT and not (tag == "font" and attrs.keys() & {"color", "face", "size"}):
+                return self._add_foreign(top.tag.partition(":")[0], tag, attrs, closed)
+            self._leave_foreign()
         if tag in ("html", "body", "head"):
             if tag == "body":
                 self._close_to({"head"}, set())
@@ -123,6 +160,10 @@ class Builder:
                 return self.stack[-1]
         elif len(self.stack) > 1 and self.stack[-1].tag == "head" and tag not in UNSEEN:
             self.stack.pop()  # the body has begun
+        if self.stack[-1].tag == "colgroup" and tag not in ("col", "template", "script", "style"):
+            self.stack.pop()
+        if tag in ("svg", "math"):
+            return self._add_foreign(tag, tag, attrs, closed)
         if tag in CLOSES_P:
             self._close_to({"p"}, {"table", "td", "th", "button", "caption"})
         if tag in IMPLIED:
@@ -139,18 +180,40 @@ class Builder:
         node = Node(tag, attrs)
         inside = self.stack[-1].tag in IN_TABLE
         (self._place() if inside and tag not in TABLE_PARTS else self.stack[-1].children).append(node)
-        if tag not in VOID and not closed and len(self.stack) < DEEPEST:
+        if tag not in VOID and not (inside and tag == "form") and len(self.stack) < DEEPEST:  # a table's form holds nothing
             self.stack.append(node)
         return node
 
+    def _add_foreign(self, kind: str, tag: str, attrs: dict[str, str], closed: bool) -> Node:
+        node = Node(f"{kind}:{tag}", attrs)
+        self._place().append(node)
+        if not closed and len(self.stack) < DEEPEST:
+            self.stack.append(node)
+        return node
+
+    def _leave_foreign(self) -> None:
+        while self.stack[-1].foreign() and not self.stack[-1].html_within():
+            self.stack.pop()
+
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
+        if self.stack[-1].foreign():
+            if tag in ("p", "br"):
+                self._leave_foreign()
+            for i in range(len(self.stack) - 1, 0, -1):
+                if not self.stack[i].foreign():
+                    break
+                if self.stack[i].tag.partition(":")[2] == tag:
+                    del self.stack[i:]
+                    return
         for i in range(len(self.stack) - 1, 0, -1):
             open_tag = self.stack[i].tag
             if open_tag == tag or tag in _HEADINGS and open_tag in _HEADINGS:
                 del self.stack[i:]
                 return
+            if ":" in open_tag and self.stack[i].html_within():
+                break
             if open_tag in SPECIAL and tag not in SPECIAL or open_tag in ("td", "th", "caption") and tag not in ("tr", "table", "thead", "tbody", "tfoot") or open_tag == "table":
                 break
         if tag == "p":
@@ -186,8 +249,8 @@ def parse(page: str) -> Node:
             builder.end(m["end"].lower())
         elif name := (m["start"] or m["loose"]):
             tag, raw = name.lower(), m["attrs"] if m["start"] else m["rest"]
-            node = builder.start(tag, _attributes(raw), raw.rstrip().endswith("/") and tag in VOID)
-            if tag in RAW:
+            node = builder.start(tag, _attributes(raw), _closes_itself(raw))
+            if tag in RAW and node.tag == tag:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 body = page[at : close.start() if close else n]
                 at = close.end() if close else n
@@ -270,9 +333,30 @@ def _number(value: str | None, usual: int) -> int:
         return usual
 
 
+def _lay_svg(node: Node, out: _Lines, within: bool, depth: int) -> None:
+    """What stands in text elements, and HTML; texts with places of their own don't touch."""
+    for child in node.children:
+        if isinstance(child, str):
+            if within:
+                out.inline(child)
+        elif child.tag == "svg:foreignobject":
+            out.block(False)
+            _lay(child, out, False, depth)
+            out.block(False)
+        elif not child.hidden():
+            text = child.tag == "svg:text"
+            apart = text or within and bool(child.attrs.keys() & {"x", "y", "dx", "dy"})
+            out.space |= apart
+            _lay_svg(child, out, within or text, depth)
+            out.space |= text
+
+
 def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
     count = _number(node.attrs.get("start"), 1) if node.tag == "ol" else 0
+    apart = node.tag in APART
     for child in node.children:
+        if apart:
+            out.space = True
         if isinstance(child, str):
             out.kept(child) if pre else out.inline(child)
             continue
@@ -281,6 +365,12 @@ def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
         tag = child.tag
         if tag == "br":
             out.line_break()
+        elif tag == "svg:svg":
+            _lay_svg(child, out, False, depth)
+        elif tag in ("math:mtr", "math:mlabeledtr") or tag == "math:math" and child.attrs.get("display", "").lower() == "block":
+            out.block(False)
+            _lay(child, out, pre, depth)
+            out.block(False)
         elif tag in ("img", "input", "wbr"):
             if tag == "input" and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 out.inline(child.attrs.get("value", ""))
@@ -327,7 +417,7 @@ def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
 def _cells(row: Node) -> list[tuple[list[str], int]]:
     out = []
     for cell in row.children:
-        if isinstance(cell, Node) and not cell.hidden():
+        if isinstance(cell, Node) and cell.tag != "form" and not cell.hidden():
             lines = _Lines()
             _lay(cell, lines, False, 0)
             text = lines.text()
@@ -340,7 +430,10 @@ def _table(table: Node) -> list[str]:
     caption, rows, todo = [], [], list(reversed(table.children))
     while todo:
         part = todo.pop()
-        if not isinstance(part, Node) or part.hidden():
+        if isinstance(part, str):
+            caption += part.split("\n") if part.strip() else []
+            continue
+        if part.hidden():
             continue
         if part.tag == "tr":
             rows.append(_cells(part))

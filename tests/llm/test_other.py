@@ -1,6 +1,7 @@
 """Extraction, classifiers, sharding and packing."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,6 +62,44 @@ def test_rendering_keeps_all_visible_words_of_any_nesting():
         assert sorted(" ".join(got).replace(".", ". ").split()) == sorted(" ".join(plain.words).replace(".", ". ").split()), (n, page)
 
 
+def test_rendering_of_formulas_and_drawings():
+    render = html_text.render
+    assert render("let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.") == "let x= 1 2."
+    assert render("<math><semantics><mi>a</mi><annotation>tex</annotation></semantics><mphantom><mi>no</mi></mphantom></math>b") == "ab"
+    assert render("a<math display=block><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable></math>b") == "a\n1 2\n3\nb"
+    assert render("a<svg viewBox='0 0 1 1'><title>no</title>no<defs><text>no</text></defs><g><text>one <tspan>two</tspan><tspan dy=1>three</tspan></text><text>four</text></g></svg> b") == "a one two three four b"
+    assert render("<svg><style>no</style><text>a</text><foreignObject><p>b</p><p>c</p></foreignObject><text>d</text></svg>e") == "a\n\nb\n\nc\n\nd e"
+    assert render("<svg><text display=none>no</text><text style='display:none'>no</text></svg>x") == "x"
+    for page in ("<body><svg width='1'/>after<p>more", "<body><math/>after<p>more", "<svg><path d='x'/><g/></svg>after<p>more", "<svg><g><p>after</svg><p>more", "<div><svg><g></div>after<p>more", "<svg><text><b>after</b></svg><p>more"):
+        assert render(page) == "after\n\nmore", page
+    assert render("<svg><a href=x/>no</svg><text>no</text></svg>") == "no" and render("<div/>a<b/>b") == "ab"
+
+
+def test_rendering_of_text_in_forms_of_tables():
+    render = html_text.render
+    assert render("<table><form>Name <tr><td>a<td>b</form></table>c") == "Name\n\na  b\n\nc"
+    assert render("<table><tr><form><td>a<td>b<tr><td>cc<td>d</table>") == "a   b\ncc  d"
+    assert render("<table><tbody><form hidden>x<tr><td>a</table>") == "x\n\na"
+    assert render("<table><colgroup>x<col><tr><td>a</table>") == "x\n\na"
+
+
+def test_rendering_keeps_all_visible_words_with_foreign_elements():
+    rng = random.Random(3)
+    tags = ["div", "p", "b", "ul", "li", "table", "tr", "td", "form", "tbody", "colgroup", "math", "mi", "mrow", "mfrac", "svg", "g", "text", "tspan", "foreignObject"]
+    for n in range(400):
+        page, words, formulas = [], [], []
+        for k in range(rng.randint(1, 40)):
+            tag = rng.choice(tags)
+            page.append(rng.choice([f"<{tag}>", f"</{tag}>", f"<{tag}/>", f" w{k} ", f"<math><mi>w{k}</mi></math>", f"<svg/><p>w{k}</p>", f"<svg><text>w{k}</text></svg>"]))
+            if f"w{k}" in page[-1]:
+                (words if "<p>" in page[-1] or "<text>" in page[-1] else formulas).append(f"w{k}")
+        page = "".join(page)
+        got = re.findall(r"w\d+", html_text.render(page))
+        assert len(got) == len(set(got)) and set(words) <= set(got), (n, page)
+        if "<svg>" not in page:  # what else stands in a drawing isn't shown
+            assert sorted(got) == sorted(words + formulas), (n, page)
+
+
 def test_rendering_is_bounded(spark):
     rows = [(1, "u", "<div>" * 5000 + "deep"), (2, "u", None), (3, None, "<a '" * 500), (4, "u", "<p>" + "word " * 20000), (4, "u", "<p>again")]
     df = spark.createDataFrame([(i, u, h, "old") for i, u, h in rows], "page_id long, url string, html string, text string")
