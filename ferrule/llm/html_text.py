@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,7 +64,8 @@ BREAKOUT = frozenset(
 )
 APART = frozenset("math:mfrac math:mroot math:mtr math:mlabeledtr math:munder math:mover math:munderover".split())  # their parts don't touch
 DEEPEST = 400
-WIDEST = 60  # a cell longer than this doesn't widen its column
+WIDEST = 60  # where cells are wrapped if blanks would outweigh the text
+MOST_PADDING, MOST_BLANKS = 1 << 16, 1 << 26
 
 
 class Node:
@@ -414,55 +416,131 @@ def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
                 out.inline('"')
 
 
-def _cells(row: Node) -> list[tuple[list[str], int]]:
+def _span(value: str | None, most: int, least: int = 1) -> int:
+    """A span as HTML reads it: digits at the start, up to a limit; 1 for what isn't one."""
+    digits = re.match(r"\s*\+?(\d{1,9})", value or "")
+    span = int(digits[1]) if digits else 1
+    return min(span, most) if span >= least else 1
+
+
+def _cells(row: Node) -> list[tuple[list[str], int, int]]:
+    """Lines, columns and rows of each cell."""
     out = []
     for cell in row.children:
         if isinstance(cell, Node) and cell.tag != "form" and not cell.hidden():
             lines = _Lines()
             _lay(cell, lines, False, 0)
             text = lines.text()
-            out.append((text.split("\n") if text else [""], max(1, min(_number(cell.attrs.get("colspan"), 1), 100))))
+            out.append((text.split("\n") if text else [""], _span(cell.attrs.get("colspan"), 1000), _span(cell.attrs.get("rowspan"), 65534, 0)))
     return out
 
 
+def _grid(groups: list[list[list[tuple[list[str], int, int]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """First column, the column after the last and lines of each row's cells: a cell of several rows keeps its columns in those below, up to the end of its group."""
+    out = []
+    for rows in groups:
+        held: list[tuple[int, int, int]] = []  # columns that are taken, and the row from which they are free
+        for n, row in enumerate(rows):
+            held = [h for h in held if h[2] > n] if row else held
+            placed, own, at, k = [], [], 0, 0
+            for lines, columns, down in row:
+                while k < len(held) and held[k][0] <= at:
+                    at = max(at, held[k][1])
+                    k += 1
+                placed.append((at, at + columns, lines))
+                if down != 1:
+                    until = n + down if down else len(rows)
+                    first = own.pop()[0] if own and own[-1][1:] == (at, until) else at
+                    own.append((first, at + columns, until))
+                at += columns
+            if own:
+                held = sorted(held + own)
+            out.append(placed)
+    return out
+
+
+def _wrapped(line: str) -> list[str]:
+    """Parts of WIDEST characters at most, cut at blanks where there are some."""
+    out = []
+    while len(line) > WIDEST:
+        at = line.rfind(" ", 1, WIDEST + 1)
+        at = at if at > 0 and line[:at].strip() else WIDEST
+        out.append(line[:at].rstrip())
+        line = line[at:].lstrip()
+    return [*out, line]
+
+
+def _places(rows: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+    """Where each column that a cell starts in begins: behind the longest line of each cell before it."""
+    starts = sorted({at for row in rows for at, _, _ in row})
+    number = {at: n for n, at in enumerate(starts)}
+    needs: dict[tuple[int, int], int] = {}
+    for row in rows:
+        for at, end, lines in row:
+            cell = number[at], bisect_left(starts, end)
+            needs[cell] = max(needs.get(cell, 0), *(len(x) for x in lines))
+    # a column begins where all cells that end before it have room
+    by_end: dict[int, list[tuple[int, int]]] = {}
+    for (first, after), width in needs.items():
+        by_end.setdefault(after, []).append((first, width))
+    begin = [0]
+    for n in range(1, len(starts) + 1):
+        begin.append(max([begin[-1] + 2, *(begin[first] + width + 2 for first, width in by_end.get(n, ()))]))
+    return {at: begin[n] for at, n in number.items()}
+
+
 def _table(table: Node) -> list[str]:
     """Caption and rows, cells padded so that columns line up."""
-    caption, rows, todo = [], [], list(reversed(table.children))
-    while todo:
-        part = todo.pop()
-        if isinstance(part, str):
-            caption += part.split("\n") if part.strip() else []
-            continue
-        if part.hidden():
-            continue
-        if part.tag == "tr":
-            rows.append(_cells(part))
-        elif part.tag in ("thead", "tbody", "tfoot", "form", "colgroup"):
-            todo += reversed(part.children)
-        else:
-            lines = _Lines()
-            _lay(part, lines, False, 0)
-            caption += lines.text().split("\n")
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
-            at += span
+    caption: list[str] = []
+    groups: list[list[list[tuple[list[str], int, int]]]] = [[]]
+
+    def collect(parts: list) -> None:
+        for part in parts:
+            if isinstance(part, str):
+                caption.extend(part.split("\n") if part.strip() else [])
+            elif part.hidden():
+                continue
+            elif part.tag == "tr":
+                groups[-1].append(_cells(part))
+            elif part.tag in ("thead", "tbody", "tfoot"):
+                groups.append([])
+                collect(part.children)
+                groups.append([])
+            elif part.tag in ("form", "colgroup"):
+                collect(part.children)
+            else:
+                lines = _Lines()
+                _lay(part, lines, False, 0)
+                caption.extend(lines.text().split("\n"))
+
+    collect(table.children)
+    rows = _grid(groups)
+    places = _places(rows)
+    size = sum(len(x) for row in rows for _, _, lines in row for x in lines)
+    if _padded(rows, places) > 8 * size + MOST_PADDING:
+        rows = [[(at, end, [y for x in lines for y in _wrapped(x)]) for at, end, lines in row] for row in rows]
+        places = _places(rows)
+        if _padded(rows, places) > MOST_BLANKS:
+            places = dict.fromkeys(places, 0)
     out = [x for x in caption if x]
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
-                room = sum(width.get(at + j, 0) for j in range(span)) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(room) + "  "
-                at += span
-            if line.strip():
-                out.append(line.rstrip())
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, length = [], 0
+            for at, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    pad = places[at] - length if places[at] > length or not parts else 2
+                    parts += [" " * pad, lines[k]]
+                    length += pad + len(lines[k])
+            if line := "".join(parts).rstrip():
+                out.append(line)
     return out
 
 
+def _padded(rows: list[list[tuple[int, int, list[str]]]], places: dict[int, int]) -> int:
+    """At most how long the rows are with their padding."""
+    return sum(places[max(at for at, _, lines in row if any(lines))] * max(len(lines) for _, _, lines in row) for row in rows if any(any(lines) for _, _, lines in row))
+
+
 def render(page: str | None) -> str:
     """The visible text of a page; nothing for a null or empty one."""
     if not page:
@@ -489,6 +567,13 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page, or one without visible text, gives an empty text.
     Other columns pass; one named text is replaced.  Elements nested deeper
     than 400 stand beside their parents, as in browsers.
+
+    Columns of a table are as wide as their longest line; spans count up to
+    HTML's limits (1,000 columns, 65,534 rows, the end of the row group), and a
+    cell of several rows stands in the first.  Cells are wrapped at 60
+    characters where padding would be more than 64 Ki characters and eight
+    times the table's text; if 64 Mi characters of padding remain even so, as
+    in tables made to exhaust memory, cells stand two blanks apart.
     """
     prepare(pages.sparkSession)
     pages = pages.drop("text")

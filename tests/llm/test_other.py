@@ -83,6 +83,55 @@ def test_rendering_of_text_in_forms_of_tables():
     assert render("<table><colgroup>x<col><tr><td>a</table>") == "x\n\na"
 
 
+def test_rendering_of_tables_lines_up():
+    render = html_text.render
+    long = "x" * 70
+    assert render(f"<table><tr><td>a<td>b<tr><td>{long}<td>c</table>") == f"a{' ' * 71}b\n{long}  c"
+    assert render("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h</table>") == "a  b   c\n   dd  e\nf  g   h"
+    assert render("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>") == "a  b  c\nd     e\nf  g"
+    assert render("<table><tr><td colspan=2 rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>") == "a     b\n      c\nd  e  f"
+    assert render("<table><tr><td colspan=2>a wide one<td>b<tr><td>c<td>d<td>e</table>") == "a wide one  b\nc  d        e"
+    assert render("<table><tr><td colspan=150>a<td>b<tr>" + "<td>c" * 150 + "<td>d</table>").split("\n")[0].index("b") == 450
+    assert render("<table><tr><td colspan=x>a<td>b<tr><td colspan=9999>c</table>") == "a  b\nc"
+    rows = [("word " * 200_000, "x"), *((f"a{i}", f"b{i}") for i in range(5000))]
+    lines = render("<table>" + "".join(f"<tr><td>{a}<td>{b}" for a, b in rows) + "</table>").split("\n")
+    assert sum(map(len, lines)) < 3_000_000 and sum(x.count("word") for x in lines) == 200_000 and {x.index("b") for x in lines if "b" in x} == {lines[0].index("x")}
+
+
+def test_tables_of_many_spans_are_bounded():
+    page = "<table><tr>" + "<td rowspan=9999>w" * 9000 + "<tr><td>x" * 9000 + "</table>"
+    text = html_text.render(page)
+    assert len(text) < 1 << 20 and text.count("w") == text.count("x") == 9000
+
+
+def test_rendering_of_random_tables_lines_up():
+    rng = random.Random(4)
+    for n in range(200):
+        wide = rng.randint(1, 5)
+        rows, taken, want = [], {}, {}
+        for y in range(rng.randint(1, 6)):
+            row, x = "<tr>", 0
+            while x < wide:
+                if taken.get((y, x)):
+                    x += 1
+                    continue
+                span = rng.randint(1, wide - x)
+                span = next((k for k in range(1, span + 1) if taken.get((y, x + k))), span)
+                down, name = rng.choice([1, 1, 1, 2, 3]), f"c{y}.{x}." + "w" * rng.choice([0, 3, 80])
+                taken |= {(y + j, x + i): True for i in range(span) for j in range(down)}
+                want[name] = x
+                row += f"<td colspan={span} rowspan={down}>{name}"
+                x += span
+            rows.append(row)
+        lines = html_text.render("<table>" + "".join(rows) + "</table>").split("\n")
+        at: dict[int, set] = {}
+        for line in lines:
+            for m in re.finditer(r"c\S+", line):
+                at.setdefault(want.pop(m[0]), set()).add(m.start())
+        assert not want and all(len(x) == 1 for x in at.values()), (n, rows)
+        assert [min(at[x]) for x in sorted(at)] == sorted({min(x) for x in at.values()}), (n, rows)
+
+
 def test_rendering_keeps_all_visible_words_with_foreign_elements():
     rng = random.Random(3)
     tags = ["div", "p", "b", "ul", "li", "table", "tr", "td", "form", "tbody", "colgroup", "math", "mi", "mrow", "mfrac", "svg", "g", "text", "tspan", "foreignObject"]
