@@ -155,8 +155,8 @@ def _qualifies(tokens: np.ndarray, first: np.ndarray, union: np.ndarray, percent
     return 100 * (hit[first[1:]] - hit[first[:-1]]) >= percent * np.diff(first)
 
 
-def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two groups (or within one): pairs of positions, right's after left's."""
+def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two groups (or within one), or every link once: pairs of positions, right's after left's."""
     sets = left + (right or [])
     sizes = np.array([len(x) for x in sets])
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -192,13 +192,16 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
         mark[own] = 0
         linked = 100 * common >= percent * (sizes[m] + sizes[theirs] - common)
         for t in theirs[linked].tolist():
-            if (x := find(m)) != (y := find(t)):
+            if every:
+                if m < t:
+                    out.append((m, t))
+            elif (x := find(m)) != (y := find(t)):
                 root[x] = y
                 out.append((m, t))
     return out
 
 
-def _open(percent: int):
+def _open(percent: int, every: bool):
     """Opens the pairs of groups of a batch."""
 
     def members(array: pa.Array, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -216,32 +219,16 @@ def _open(percent: int):
                 if batch.column(1)[i].is_valid:
                     more, right = members(batch.column(1), i)
                     ids = np.concatenate([ids, more])
-                found += [(int(ids[x]), int(ids[y])) for x, y in links_between(left, right, percent)]
+                found += [(int(ids[x]), int(ids[y])) for x, y in links_between(left, right, percent, every)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def ngram_jaccard_components(
-    docs: DataFrame, *, words: int = 5, percent: int = 80, table_bits: int = 24, group_members: int = 128, group_tokens: int = 1 << 16
-) -> DataFrame:
-    """Which texts are linked, directly or through others, by shingle sets of a Jaccard similarity of percent/100 or more.
-
-    docs has doc_id and text; other columns are ignored.  Returns a row for
-    each row: doc_id, n_shingles, component_id (the smallest doc_id that links
-    reach), set_id (equal for equal sets; null for an empty one).
-
-    A null or empty text, or one of white space, has no shingles and is linked
-    with nothing.  A text of fewer words than a shingle has is one shingle.  A
-    row without doc_id keeps its n_shingles; where all rows of its component
-    lack one, component_id is null.  Repeated rows are returned each.
-
-    group_members and group_tokens bound a group, and so what a task that
-    opens two of them holds (one text's own set may exceed group_tokens).
-    """
+def _links(docs: DataFrame, scratch: Scratch, every: bool, words: int, percent: int, table_bits: int, group_members: int, group_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's set, and links between sets: enough of them to connect what is linked, or every one."""
     spark = docs.sparkSession
     prepare(spark)
-    scratch = Scratch(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
     rows = docs.count()
     shared = spark.sparkContext.broadcast(rarity_table(docs, words, table_bits, rows))
@@ -276,11 +263,32 @@ def ngram_jaccard_components(
     a, b = (group.select(F.col("g").alias(f"g{i}"), F.col("members").alias(f"m{i}")) for i in (1, 2))
     opened = pairs.join(a, "g1").join(b, "g2", "left").select("m1", "m2")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two groups
-    edges = scratch.keep(opened.mapInArrow(_open(percent), "a long, b long"), "links")
+    edges = scratch.keep(opened.mapInArrow(_open(percent, every), "a long, b long"), "links")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     for name in ("grouped", "groups", "pairs"):
         scratch.drop(name)
+    return kept, edges
+
 
+def ngram_jaccard_components(
+    docs: DataFrame, *, words: int = 5, percent: int = 80, table_bits: int = 24, group_members: int = 128, group_tokens: int = 1 << 16
+) -> DataFrame:
+    """Which texts are linked, directly or through others, by shingle sets of a Jaccard similarity of percent/100 or more.
+
+    docs has doc_id and text; other columns are ignored.  Returns a row for
+    each row: doc_id, n_shingles, component_id (the smallest doc_id that links
+    reach), set_id (equal for equal sets; null for an empty one).
+
+    A null or empty text, or one of white space, has no shingles and is linked
+    with nothing.  A text of fewer words than a shingle has is one shingle.  A
+    row without doc_id keeps its n_shingles; where all rows of its component
+    lack one, component_id is null.  Repeated rows are returned each.
+
+    group_members and group_tokens bound a group, and so what a task that
+    opens two of them holds (one text's own set may exceed group_tokens).
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    kept, edges = _links(docs, scratch, False, words, percent, table_bits, group_members, group_tokens)
     label = components(edges, scratch)
     light = kept.select("doc_id", "n", "v")
     named = light.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("own"))
@@ -290,3 +298,16 @@ def ngram_jaccard_components(
     return light.join(reached, "v", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("v").alias("set_id")
     )
+
+
+def ngram_jaccard_links(
+    docs: DataFrame, *, words: int = 5, percent: int = 80, table_bits: int = 24, group_members: int = 128, group_tokens: int = 1 << 16
+) -> DataFrame:
+    """Every pair of different shingle sets of a Jaccard similarity of percent/100 or more, once: a < b.
+
+    Arguments as for ngram_jaccard_components(), whose set_id tells a text's
+    set; texts with equal sets are linked too, but aren't pairs here.  A family
+    of n different near copies has up to n * (n - 1) / 2 rows.
+    """
+    _, edges = _links(docs, Scratch(docs.sparkSession, "ngram-links"), True, words, percent, table_bits, group_members, group_tokens)
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

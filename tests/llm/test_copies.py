@@ -63,6 +63,24 @@ def test_links_between_agree_with_brute_force():
     assert {(a, b) for a in range(40) for b in range(40) if one[a] == one[b]} == {(a, b) for a in range(40) for b in range(40) if two[a] == two[b]}
 
 
+@pytest.mark.parametrize("options", [{}, {"table_bits": 12, "group_members": 3}])
+def test_ngram_links_are_all_there(spark, options):
+    base = [f"w{i}" for i in range(200)]
+    family = [(1000 + i, " ".join([*base[: 5 * i], f"x{i}", *base[5 * i :]])) for i in range(40)]
+    rows = fx.corpus(1) + family + [(2000, family[0][1])]
+    own = {}
+    for i, t in rows:
+        if fx.shingles(t):
+            own.setdefault(fx.shingles(t), []).append(i)
+    sets = list(own)
+    expected = {frozenset((x, y)) for k, x in enumerate(sets) for y in sets[k + 1 :] if 100 * len(x & y) >= 80 * len(x | y)}
+    ids = {r.doc_id: r.set_id for r in ngram_join.ngram_jaccard_components(fx.frame(spark, rows), **options).collect() if r.doc_id is not None}
+    name = {s: next((ids[i] for i in own[s] if i is not None), None) for s in sets}
+    got = [(r.a, r.b) for r in ngram_join.ngram_jaccard_links(fx.frame(spark, rows), **options).collect()]
+    assert len(got) == len(set(got)) == len(expected) >= 40 * 39 // 2 and all(a < b for a, b in got)
+    assert {frozenset(name[x] for x in pair) for pair in expected if all(name[x] is not None for x in pair)} <= {frozenset(x) for x in got}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (7, 6)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect())
