@@ -24,8 +24,6 @@ from ..functions import paths
 from ..runtime import Descending, materialize, numbered
 from ..sources import catalog
 
-MOST_ROUNDS = 64
-
 
 def rank(activation) -> Column:
     """How readily something runs: 6 automatic to 1 dormant; unknown values like manual."""
@@ -140,12 +138,13 @@ def propagate(items: DataFrame, edges: DataFrame) -> DataFrame:
     """items with `activation`: a script runs at least as readily as what starts it, through any chain.
 
     edges is read once a round, so it should be a written table.  Each round joins it once, and only items whose rank rose in the last
-    round are followed.  A label changes only for a stronger one.
+    round are followed.  A label changes only for a stronger one, so ranks only
+    rise, and the rounds end.
     """
     touched = edges.select(F.col("src").alias("item_key")).union(edges.select(F.col("dst").alias("item_key"))).distinct()
     state = materialize(items.join(touched, "item_key", "left_semi").select("item_key", "first_seen", F.col("own_activation").alias("activation"), rank("own_activation").alias("r")), "activation")
     rose = state
-    for _ in range(MOST_ROUNDS):
+    while True:
         offer = edges.join(rose.select(F.col("item_key").alias("src"), F.struct((-F.col("r")).alias("down"), "first_seen", "activation").alias("offer")), "src").groupBy("dst").agg(F.min("offer").alias("offer"))
         joined = state.join(offer, state["item_key"] == offer["dst"], "left")
         up = F.coalesce(-F.col("offer.down") > F.col("r"), F.lit(False))

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from ferrule.operators import coverage, finding_list, summary
-from ferrule.operators.assessment import assess, newest_scans
+from ferrule.operators.assessment import assess, newest_scans, propagate
 from ferrule.sources import catalog
 
 T = datetime(2026, 1, 1, 10)
@@ -80,6 +80,13 @@ def test_long_chains(build):
     assert set(by_path(build([("A", T, own)]), "activation").values()) == {"automatic"}
 
 
+def test_chains_of_any_length(spark):
+    n = 67
+    items = spark.createDataFrame([(i, i, "dormant" if i else "automatic") for i in range(n)], "item_key int, first_seen int, own_activation string").coalesce(1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src int, dst int").coalesce(1)
+    assert {r.activation for r in propagate(items, edges).collect()} == {"automatic"}
+
+
 def test_only_unique_names_link(build):
     own = [script(r"C:\a\x.vbs", "1"), script(r"C:\b\x.vbs", "2"), script(r"C:\b\y.vbs", "3"), task(r"\T1", r"%Dir%\x.vbs"), task(r"\T2", r"%Dir%\y.vbs"), task(r"\T3", r"C:\b\Y.VBS")]
     a = build([("A", T, own)])
