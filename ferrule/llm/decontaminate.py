@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, ascii_lower, buffers, mix, multiplier, pieces, plain_words
-from .store import prepare
+from .store import ship
 
 GRAM = 3
 SPANS = "array<struct<start:long,end:long>>"
@@ -238,7 +238,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     Repeated rows are returned each.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    ship(spark)
     out = docs.drop(*ADDED).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     empty = True

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .store import prepare
+from .store import ship
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|</\s*(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?"
@@ -575,7 +575,7 @@ def extract(pages: DataFrame) -> DataFrame:
     times the table's text; if 64 Mi characters of padding remain even so, as
     in tables made to exhaust memory, cells stand two blanks apart.
     """
-    prepare(pages.sparkSession)
+    ship(pages.sparkSession)
     pages = pages.drop("text")
     kind = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html"], "text string"])
     return pages.mapInArrow(_render, kind)

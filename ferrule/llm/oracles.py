@@ -26,7 +26,8 @@ size as materialized (select d.doc_id, count(g.g) as n from d left join grams g
 pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
 link as materialized (select a, b from pair p join size x on p.a = x.doc_id join size y on p.b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
 reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a)
-select s.doc_id, s.n as n_shingles, least(s.doc_id, coalesce((select min(b) from reach where a = s.doc_id), s.doc_id)) as component_id from size s
+select s.doc_id, s.n as n_shingles, least(s.doc_id, coalesce((select min(b) from reach where a = s.doc_id), s.doc_id)) as component_id,
+  (select count(*) from link where a = s.doc_id) as n_links from size s
 """
 
 DECONTAMINATE = rf"""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .kernel import CHUNK, Words, ascii_lower, buffers, pieces, ragged, space_words
 from .sharding import numbered
-from .store import Scratch, prepare
+from .store import Scratch, ship
 
 CACHED_WORDS = 1 << 20
 
@@ -288,7 +288,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_i
     ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) and, with
     with_ids, ids.  A null text counts as empty: its one piece is end_id.
     """
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), kind)
 

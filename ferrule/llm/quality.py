@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .kernel import U, Words, ascii_lower, buffers, from_blob, mix, pieces, space_words
 from .labelled import training_rows
-from .store import prepare
+from .store import ship
 
 BITS = 18
 
@@ -171,7 +171,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, natural: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, *, most: int = 6000, most_of_class: int = 2000) -> Model:
     """A model of `label`, from at most most + 2 * most_of_class labelled rows for which `allowed` holds."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     chosen = training_rows(docs, labels, label, allowed, most, most_of_class)
     got = sorted((r["doc_id"], bytes(r["features"]), r["y"], r["natural"]) for r in chosen.mapInArrow(_blobs, "doc_id long, features binary, y int, natural boolean").collect())
     rng = np.random.default_rng(11)
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, *, keep_text: bool = True) -> DataFrame
     text without n-grams.  Rows are kept as they are, repeated ones too.  A
     column named score is replaced.
     """
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = docs.drop("score")
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     kind = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "score double"])

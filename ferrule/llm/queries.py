@@ -16,7 +16,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set (local tests)."""
+    """The session's shared folder; one of our own only where none is set and all runs on this machine (tests)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = kept.get() if kept.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -43,7 +47,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         where = f"{self.base}/{name}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(where)
+        with small_batches(self.spark):
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, name: str) -> None:
@@ -66,10 +71,23 @@ def ship(spark: SparkSession) -> None:
     sc._ferrule_shipped = True
 
 
-def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches bound a Python worker's memory when texts are long."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of about `size` bytes for the actions within; the session's own limit holds again afterwards.
+
+    Plans that are returned unexecuted run under the session's limit (64 MB a
+    batch, unless it sets another).
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name, None)
+    spark.conf.set(name, f"{size}b")
+    try:
+        yield
+    finally:
+        if had is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, had)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,3 +109,24 @@ def shards_for(rows: int, per: int, least: int = 16) -> int:
     while n * per < rows:
         n *= 2
     return n
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", share: int = 1000, least: int = 256) -> DataFrame:
+    """left joined to right on `on`, where many rows of left may have one key, and right's keys are unique.
+
+    A key of more than 1/share of left's rows (and more than `least`) is dealt
+    to several tasks by a hash of the columns `by`; right's row goes to each of
+    them.  There are fewer than `share` such keys, so their list is broadcast
+    at any size of the tables.  left is read three times: pass a written table.
+    Keys that are null match nothing, and are dealt out as well.
+    """
+    each = max(least, left.count() // share)
+    hot = left.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > each)
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col("_rows") / each).cast("int").alias("_parts")))
+    known = F.lit(True)
+    for c in on:
+        known &= F.col(c).isNotNull()
+    parts = F.when(known, F.coalesce("_parts", F.lit(1))).otherwise(share)
+    dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    copies = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")

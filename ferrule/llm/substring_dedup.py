@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, buffers, from_blob, pieces, space_words
-from .store import Scratch, prepare, shards_for
+from .store import Scratch, shards_for, ship
 
 FLUSH = 1 << 22
 LAST = (1 << 63) - 1
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, table_bits: int = 26) -
     if window < 4 or window % 2:
         raise ValueError("window has to be even, and 4 or more")
     spark = docs.sparkSession
-    prepare(spark)
+    ship(spark)
     scratch = Scratch(spark, "substrings")
     source = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     rows = docs.count()

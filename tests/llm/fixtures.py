@@ -69,6 +69,15 @@ def components(rows) -> dict:
     return {t: least.get(find(t)) for t in texts}
 
 
+def links(rows) -> dict:
+    """Number of other rows that a text's row is linked with."""
+    sets = [shingles(t) for _, t in rows]
+    out = {}
+    for k, (_, t) in enumerate(rows):
+        out[t] = sum(100 * len(sets[k] & x) >= 80 * len(sets[k] | x) for j, x in enumerate(sets) if j != k and x and sets[k])
+    return out
+
+
 def hits(text: str | None, items: list[tuple]) -> tuple[int, int, list[str]]:
     w = PLAIN_WORD.findall((text or "").translate(LOWER))
     hit, found = set(), set()

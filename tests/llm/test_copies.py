@@ -1,9 +1,10 @@
 """Operators that find copies: n-gram join, exact dedup, substring dedup, decontamination, lines."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ferrule.llm import components, decontaminate, exact_dedup, line_dedup, ngram_join, substring_dedup
-from ferrule.llm.store import Scratch
+from ferrule.llm.store import Scratch, spread_join
 
 from . import fixtures as fx
 
@@ -14,7 +15,7 @@ EMPTY = "doc_id long, text string"
 @pytest.mark.parametrize("options", [{}, {"table_bits": 12, "group_members": 3}])
 def test_ngram_components(spark, seed, options):
     rows = fx.corpus(seed)
-    expected = fx.components(rows)
+    expected, links = fx.components(rows), fx.links(rows)
     text = {i: t for i, t in rows if i is not None}
     got = ngram_join.ngram_jaccard_components(fx.frame(spark, rows), **options).collect()
     assert len(got) == len(rows)
@@ -23,9 +24,43 @@ def test_ngram_components(spark, seed, options):
             own = text[r.doc_id]
             assert r.n_shingles == len(fx.shingles(own))
             assert r.component_id == expected.get(own, r.doc_id), own[:60] if own else own
+            assert r.n_links == links[own]
+    unnamed = [t for i, t in rows if i is None]
+    assert sorted((r.n_shingles, r.n_links) for r in got if r.doc_id is None) == sorted((len(fx.shingles(t)), links[t]) for t in unnamed)
     assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None and r.n_shingles == 0) == [(0, None)]
 
 
+def test_tiles_and_size_classes(spark, monkeypatch):
+    """Many groups behind each token, over several tiles and classes of sizes."""
+    monkeypatch.setattr(ngram_join, "TILE", 2)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: 40 + 4 * (i % 20)], f"x{i % 33}", *base[40 + 4 * (i % 20) : 60 + 3 * i % 61]])) for i in range(90)]
+    expected, links = fx.components(rows), fx.links(rows)
+    got = ngram_join.ngram_jaccard_components(fx.frame(spark, rows), group_members=1).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (expected.get(t, i), links[t]) for i, t in rows}
+    assert max(links.values()) > 10
+
+
+def test_size_classes_never_part_linked_sizes():
+    import numpy as np
+
+    for percent in (50, 80, 90, 100):
+        n = np.arange(1, 5000)
+        most = np.minimum(100 * n // percent, 4999)
+        one = ngram_join.size_classes(n, percent)
+        assert (ngram_join.size_classes(most, percent) - one <= 1).all() and (np.diff(one) >= 0).all()
+
+
+def test_near_copies_dropped(spark):
+    """Repeated ids, rows without id, repeated rows: one row of each component, all rows without words."""
+    long = " ".join(f"w{i}" for i in range(60))
+    near, other = long + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (7, near), (7, other), (None, near), (None, "alone here"), (8, None), (None, ""), (9, other), (9, other), (3, "x y"), (3, "x y")]
+    got = ngram_join.drop_near_copies(fx.frame(spark, rows))
+    assert got.columns == fx.frame(spark, rows).columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(1, long), (7, other), (0, "alone here"), (8, ""), (0, ""), (3, "x y")])
+
+
 def test_ngram_empty_and_alone(spark):
     assert ngram_join.ngram_jaccard_components(spark.createDataFrame([], EMPTY)).count() == 0
     only = ngram_join.ngram_jaccard_components(spark.createDataFrame([(7, None)], EMPTY)).collect()
@@ -88,6 +123,14 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_a_hot_key_is_dealt_to_several_tasks(spark):
+    left = Scratch(spark, "t").keep(spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), "id"), "left")
+    right = spark.createDataFrame([(7, "a"), (1, "b"), (5000, "c")], "k long, x string")
+    got = spread_join(left, right, ["k"], ["id"], "left").groupBy("x").count().collect()
+    assert {r.x: r["count"] for r in got} == {"a": 1001, "b": 1, None: 1998}
+    assert spread_join(left, right, ["k"], ["id"], "left_semi").count() == 1002
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_groups(spark, keep):
     rows = fx.corpus(3)
