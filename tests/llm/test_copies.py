@@ -187,21 +187,32 @@ def test_substrings_without_ids_and_empty(spark):
         substring_dedup.remove_repeats(spark.createDataFrame([], EMPTY), window=7)
 
 
-@pytest.mark.parametrize("block", [500_000, 7])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("bits", [22, 4])
+def test_contamination(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEVEL_BITS", bits)
+    monkeypatch.setattr(decontaminate, "bits_for", lambda n: bits)
     rows = fx.corpus(7)
     texts = [t for _, t in rows if t and len(t.split()) > 30]
-    items = [(1, " ".join(texts[0].split()[3:20])), (2, "one"), (30, "Two, WORDS"), (4, None), (5, "..."), (None, "one"), (6, "never to be found here"), (1, " ".join(texts[4].split()[:12])), (7, "mi")]
+    items = [(1, " ".join(texts[0].split()[3:20])), (2, "one"), (30, "Two, WORDS"), (4, None), (5, "..."), (None, "one"), (6, "never to be found here"), (1, " ".join(texts[4].split()[:12])), (7, "mi"), *[(100 + i, " ".join(texts[0].split()[2:19])) for i in range(5)]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.contamination(fx.frame(spark, rows), bench, block_windows=block)
+    found = decontaminate.contamination(fx.frame(spark, rows), bench)
     assert {"lang", "score", "n", "_id"} <= set(found.columns)
     got = decontaminate.digest(found).collect()
     assert len(got) == len(rows)
-    text = dict(x for x in rows if x[0] is not None)
-    for r in got:
-        if r.doc_id is not None:
-            n, hit, ids = fx.hits(text[r.doc_id], items)
-            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(ids), fx.sha(",".join(ids)), hit > 0)
+    def digest(i, t):
+        n, hit, ids = fx.hits(t, items)
+        return (-1 if i is None else i, n, hit, len(ids), fx.sha(",".join(ids)), hit > 0)
+
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(digest(*x) for x in rows)
+
+
+def test_contamination_plan_is_the_same_for_any_benchmark(spark):
+    docs = fx.frame(spark, fx.corpus(7))
+    plans = []
+    for n in (1, 400):
+        bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(n)], "item_id long, text string")
+        plans.append(decontaminate.contamination(docs, bench)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+    assert plans[0] == plans[1] == 1
 
 
 def test_contamination_of_and_by_nothing(spark):
