@@ -228,10 +228,49 @@ def test_lines_by_site(spark):
     page = lambda *lines: "<div>" + "</p><p>".join(lines) + "</div>"
     rows = [(i, f"https://User@A.example:8080/{i}", page("menu", f"own {i}", "menu", " ")) for i in range(6)]
     rows += [(10 + i, f"http://b.example/{i}", page("menu", f"own {i}")) for i in range(3)]
-    rows += [(20, None, None), (21, "no host", ""), (None, "http://a.example/x", page("menu")), rows[0]]
+    rows += [(20, None, None), (21, "no host", ""), (None, "http://a.example/x", page("menu")), rows[0], (30, "http://c.example/", page("menu", "once"))]
     df = spark.createDataFrame([(i, u, h, "t", 1) for i, u, h in rows], "page_id long, url string, html string, text string, host int")
     got = {(r.page_id, r.host): r for r in line_dedup.drop_boilerplate(df).collect()}
     assert got[1, "a.example"].text == "own 1" and got[1, "a.example"].n_dropped == 2 and got[None, "a.example"].text == ""
-    assert got[10, "b.example"].text == "menu\nown 0", "too few pages to judge"
+    assert got[10, "b.example"].text == "own 0", "small hosts are judged as well"
+    assert got[30, "c.example"].text == "menu\nonce", "one page has nothing in common with others"
     assert (got[20, ""].n_lines, got[20, ""].text) == (0, "")
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_what_a_line_is(spark):
+    cases = {
+        "<p>one <a href='x'>two</a> three</p>four<br>five": ["one two three", "four", "five"],
+        "<pre>a\n b\r\nc</pre>": ["a", "b", "c"],
+        "<script>x = 1 < 2; track(0);</script>seen<style>p{}</style><title>t</title><!-- <p>no -->": ["seen"],
+        "kept<script>never closed <p>gone": ["kept"],
+        "<table><tr><td>a<td>b</tr><TR class=x><td>c&nbsp;&amp;lt;</table>": ["a b", "c &lt;"],
+        "1 < 2 <!doctype x> 3 > 2 <b": ["1 < 2 3 > 2"],
+        "<pro>x</pro><p/>y<hr\n/>z": ["x", "y", "z"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, html string")
+    got = {r.page_id: r.lines for r in df.select("page_id", line_dedup.lines(F.col("html")).alias("lines")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_lines_by_brute_force(spark):
+    """A hot host, lines at exactly the ratio, long pages, pages full of unclosed tags."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        site = "hot" if i % 3 == 0 else f"s{rng.randrange(40)}"
+        own = [f"line {rng.randrange(8)}" if rng.random() < 0.5 else f"own {i} {j}" for j in range(rng.randrange(12))]
+        rows.append((i, site, own + own[:1]))
+    rows += [(1000 + i, "ten", ["at the ratio"] * (i < 3) + ["above it"] * (i < 4) + [f"x{i}"]) for i in range(10)]
+    rows.append((2000, "long", [f"l{j}" for j in range(50_000)]))
+    counts, total = {}, {}
+    for _, site, own in rows:
+        total[site] = total.get(site, 0) + 1
+        for x in set(own):
+            counts[site, x] = counts.get((site, x), 0) + 1
+    expected = {i: "\n".join(x for x in own if not (counts[site, x] > 1 and 10 * counts[site, x] > 3 * total[site])) for i, site, own in rows}
+    df = spark.createDataFrame([(i, f"http://{site}/", "<li>".join(own)) for i, site, own in rows] + [(3000, "http://broken/", "<a '" * 100_000 + "<script " * 50_000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
+    assert got.pop(3000) == "" and got == expected and "at the ratio" in got[1000] and "above" not in got[1000]
