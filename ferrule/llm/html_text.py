@@ -7,6 +7,10 @@ margin), list items their markers and depth, and table cells line up in
 columns.  All visible text of the page is emitted; no part of it is judged.
 Formulas in MathML and the text elements of SVG count as text; drawings that
 SVG's `use` repeats are emitted where they stand, if they are shown there.
+
+Visibility and white space follow `style` attributes and the page's own style
+sheets, as far as rules select by tag, class and id.  Time is linear in the
+page, however broken its tags are.
 """
 
 from __future__ import annotations
@@ -22,13 +26,10 @@ from pyspark.sql import DataFrame
 
 from .store import ship
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|</\s*(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
-CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+START = re.compile(r"<([a-zA-Z][^\s/>]*+)")
+TAG_END = re.compile(r"[\s/]*+>")
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|</\s*+(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?", re.S)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -81,33 +82,150 @@ class Node:
         """Start tags in it are HTML's."""
         return self.tag in HTML_WITHIN or self.tag == "math:annotation-xml" and self.attrs.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
 
-    def hidden(self) -> bool:
-        a = self.attrs
-        if a and self.foreign() and (a.get("display", "").strip().lower() == "none" or a.get("visibility", "").strip().lower() in ("hidden", "collapse")):
-            return True
-        return self.tag in UNSEEN or bool(a) and ("hidden" in a and a["hidden"].lower() != "until-found" or (self.tag == "input" and a.get("type", "").lower() == "hidden") or bool(CONCEALED.search(a.get("style", ""))))
+
+def _declarations(text: str) -> dict[str, tuple[bool, str]]:
+    """Of SHOWN properties, whether they are important, and their values; the last important one counts, else the last."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in text.split(";"):
+        name, colon, value = part.partition(":")
+        name = name.strip().lower()
+        if colon and name in SHOWN:
+            value = value.strip().lower()
+            important = value.endswith("important") and "!" in value
+            value = value.partition("!")[0].strip()
+            if value and (important or not out.get(name, (False, ""))[0]):
+                out[name] = important, value
+    return out
+
+
+SHOWN = frozenset(("display", "visibility", "white-space"))
+SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+CSS = re.compile(r"([^{};@]*+)\{([^{}]*+)\}")
+PARTS = re.compile(r"([.#])([\w-]+)")
+
+
+class Sheet:
+    """Rules of a page's style elements that select by tag, class and id, and set how an element is shown.
+
+    Rules with combinators or other selectors, and those within at-rules, don't count.
+    """
+
+    def __init__(self) -> None:
+        self.rules: dict[tuple[str, str], list[tuple]] = {}
+        self.number = 0
+
+    def add(self, css: str) -> None:
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
+        if not any(x in css.lower() for x in SHOWN):
+            return
+        for selectors, body in CSS.findall(_without_at_rules(css)):
+            set_to = _declarations(body)
+            for selector in selectors.split(",") if set_to else ():
+                m = SELECTOR.fullmatch(selector.strip())
+                if not m or not selector.strip():
+                    continue
+                named = PARTS.findall(m[2])
+                ids, classes = [x for kind, x in named if kind == "#"], [x for kind, x in named if kind == "."]
+                tag = (m[1] or "*").lower()
+                key = ("#", ids[0]) if ids else (".", classes[0]) if classes else ("", tag)
+                self.number += 1
+                self.rules.setdefault(key, []).append(((len(ids), len(classes), tag != "*", self.number), tag, frozenset(ids), frozenset(classes), set_to))
+
+    def _matching(self, node: Node) -> list[tuple]:
+        a = node.attrs
+        ids, classes = {a["id"]} if "id" in a else set(), set(a.get("class", "").split())
+        keys = [("", "*"), ("", node.tag), *[("#", x) for x in ids], *[(".", x) for x in classes]]
+        some = [r for k in keys for r in self.rules.get(k, ())]
+        return sorted((r for r in some if r[1] in ("*", node.tag) and r[2] <= ids and r[3] <= classes), key=lambda r: r[0])
+
+    def look(self, node: Node) -> dict[str, str]:
+        """Which of the properties SHOWN are set for an element, by the cascade's order."""
+        if not node.attrs and not self.rules:
+            return {}
+        layers = [r[4] for r in self._matching(node)] if self.rules else []
+        if "style" in node.attrs:
+            layers.append(_declarations(node.attrs["style"]))
+        out = {k: v for important in (False, True) for layer in layers for k, (i, v) in layer.items() if i == important}
+        if node.foreign():
+            for k in ("display", "visibility"):
+                if k in node.attrs and k not in out:
+                    out[k] = node.attrs[k].strip().lower()
+        return out
+
+
+def _without_at_rules(css: str) -> str:
+    if "@" not in css:
+        return css
+    out, depth, at = [], 0, 0
+    for m in re.finditer(r"@|[{};]", css):
+        c = m[0]
+        if depth == 0 and c == "@":
+            out.append(css[at : m.start()])
+            depth, at = -1, None  # within the head of an at-rule
+        elif depth == -1 and c == ";":
+            depth, at = 0, m.end()
+        elif depth == -1 and c == "{":
+            depth = 1
+        elif depth > 0 and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                at = m.end()
+    if at is not None:
+        out.append(css[at:])
+    return "".join(out)
+
+
+def _gone(node: Node, look: dict[str, str]) -> bool:
+    """Neither it nor anything in it is shown."""
+    if node.tag in UNSEEN or node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
+        return True
+    if "display" in look:
+        return look["display"] == "none"
+    return "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in node.attrs
+
+
+def _seen(look: dict[str, str], seen: bool) -> bool:
+    """Whether its own text is shown: visibility is inherited."""
+    set_to = look.get("visibility")
+    return seen if set_to in (None, "inherit", "unset") else set_to not in ("hidden", "collapse")
+
+
+def _shows_some(node: Node, sheet: Sheet) -> bool:
+    """Whether anything in a hidden element is made visible again."""
+    held = [node]
+    while held:
+        for child in held.pop().children:
+            if isinstance(child, Node):
+                look = sheet.look(child)
+                if not _gone(child, look):
+                    if look.get("visibility") == "visible":
+                        return True
+                    held.append(child)
+    return False
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    if not raw or raw.isspace():
-        return {}
+    return _read_attributes(ATTRIBUTE.finditer(raw))
+
+
+def _read_attributes(found) -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(raw):
-        value = m[2] or ""
-        if value[:1] in "\"'" and value:
-            value = value[1:-1]
+    for m in found:
+        value = m[2] or m[3] or m[4] or ""
         out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
     return out
 
 
-def _closes_itself(raw: str) -> bool:
-    """Ends with a slash that isn't of an unquoted value."""
-    if not raw.endswith("/"):
-        return False
-    last = None
-    for last in ATTRIBUTE.finditer(raw):
-        pass
-    return last is None or last.end() < len(raw)
+def _tag(page: str, at: int) -> tuple[int, dict[str, str], bool] | None:
+    """A start tag from behind its name: where it ends, its attributes, whether a slash ends it.  None if it doesn't end."""
+    found = []
+    while not (end := TAG_END.match(page, at)):
+        m = ATTRIBUTE.match(page, at)
+        if not m:
+            return None
+        found.append(m)
+        at = m.end()
+    return end.end(), _read_attributes(found), page[end.end() - 2] == "/" and end.end() - 2 >= end.start()
 
 
 class Builder:
@@ -227,8 +345,14 @@ class Builder:
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def parse(page: str) -> Node:
-    builder, at, n = Builder(), 0, len(page)
+def parse(page: str) -> tuple[Node, Sheet]:
+    """The tree of a page, and its style rules.
+
+    Where quotes would keep a tag open to the end of the page, it and all later
+    tags end at the next bracket, whatever quotes hold; without a bracket, the
+    rest is text.
+    """
+    builder, sheet, at, n, loose = Builder(), Sheet(), 0, len(page), False
     unescape = html.unescape
     while at < n:
         lt = page.find("<", at)
@@ -239,34 +363,46 @@ def parse(page: str) -> Node:
             builder.text(unescape(text) if "&" in text else text)
             at = lt
             continue
-        m = TOKEN.match(page, at)
-        if not m:
-            builder.text("<")
-            at += 1
-            continue
-        at = m.end()
-        if m["cdata"] is not None:
-            builder.text(m["cdata"])
-        elif m["end"]:
-            builder.end(m["end"].lower())
-        elif name := (m["start"] or m["loose"]):
-            tag, raw = name.lower(), m["attrs"] if m["start"] else m["rest"]
-            node = builder.start(tag, _attributes(raw), _closes_itself(raw))
+        if m := START.match(page, at):
+            got = None if loose else _tag(page, m.end())
+            if got is None:
+                loose = True
+                end = page.find(">", m.end())
+                if end < 0:
+                    builder.text(unescape(page[at:]))
+                    break
+                got = end + 1, _attributes(page[m.end() : end]), page[end - 1] == "/"
+            at, attrs, closed = got
+            tag = m[1].lower()
+            node = builder.start(tag, attrs, closed)
             if tag in RAW and node.tag == tag:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 body = page[at : close.start() if close else n]
                 at = close.end() if close else n
-                if body and tag in ("textarea", "title", "xmp"):
+                if tag == "style":
+                    if attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+                        sheet.add(body)
+                elif body and tag in ("textarea", "title", "xmp"):
                     node.children.append(unescape(body) if tag != "xmp" else body)
                 if builder.stack[-1] is node:
                     builder.stack.pop()
-    return builder.root
+        elif m := OTHER.match(page, at):
+            at = m.end()
+            if m["cdata"] is not None:
+                builder.text(m["cdata"])
+            elif m["end"]:
+                builder.end(m["end"].lower())
+        else:
+            builder.text("<")
+            at += 1
+    return builder.root, sheet
 
 
 class _Lines:
     """Lines under way.  `gap` is how many line ends are due before more text."""
 
-    def __init__(self) -> None:
+    def __init__(self, sheet: Sheet) -> None:
+        self.sheet = sheet
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False
@@ -287,11 +423,14 @@ class _Lines:
         self.now.append(" ".join(words))
         self.space = text[-1].isspace()
 
-    def kept(self, text: str) -> None:
-        """Preformatted text."""
+    def kept(self, text: str, spaces: bool = True) -> None:
+        """Preformatted text; without its spaces, only lines are kept."""
         for i, line in enumerate(text.replace("\r\n", "\n").split("\n")):
             if i:
                 self.line_break()
+            if not spaces:
+                self.inline(line)
+                continue
             if line:
                 self._begin()
                 self.now.append(line.expandtabs(8))
@@ -335,50 +474,67 @@ def _number(value: str | None, usual: int) -> int:
         return usual
 
 
-def _lay_svg(node: Node, out: _Lines, within: bool, depth: int) -> None:
+def _lay_svg(node: Node, out: _Lines, within: bool, depth: int, seen: bool) -> None:
     """What stands in text elements, and HTML; texts with places of their own don't touch."""
     for child in node.children:
         if isinstance(child, str):
-            if within:
+            if within and seen:
                 out.inline(child)
-        elif child.tag == "svg:foreignobject":
+            continue
+        look = out.sheet.look(child)
+        shown = _seen(look, seen)
+        if child.tag == "svg:foreignobject":
             out.block(False)
-            _lay(child, out, False, depth)
+            _lay(child, out, None, depth, shown)
             out.block(False)
-        elif not child.hidden():
+        elif not _gone(child, look):
             text = child.tag == "svg:text"
             apart = text or within and bool(child.attrs.keys() & {"x", "y", "dx", "dy"})
             out.space |= apart
-            _lay_svg(child, out, within or text, depth)
+            _lay_svg(child, out, within or text, depth, shown)
             out.space |= text
 
 
-def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
+def _space(look: dict[str, str], usual: str | None) -> str | None:
+    """How white space is kept: "all", "lines" or not at all."""
+    if "white-space" not in look:
+        return usual
+    return {"pre": "all", "pre-wrap": "all", "break-spaces": "all", "pre-line": "lines", "inherit": usual}.get(look["white-space"])
+
+
+def _lay(node: Node, out: _Lines, pre: str | None, depth: int, seen: bool = True) -> None:
     count = _number(node.attrs.get("start"), 1) if node.tag == "ol" else 0
     apart = node.tag in APART
     for child in node.children:
         if apart:
             out.space = True
         if isinstance(child, str):
-            out.kept(child) if pre else out.inline(child)
+            if seen:
+                out.kept(child, pre == "all") if pre else out.inline(child)
             continue
-        if child.hidden():
+        look = out.sheet.look(child)
+        if _gone(child, look):
+            continue
+        shown = _seen(look, seen)
+        if seen and not shown and not _shows_some(child, out.sheet):
             continue
         tag = child.tag
+        kept = _space(look, "all" if tag in ("pre", "textarea", "xmp") else pre)
         if tag == "br":
-            out.line_break()
+            if seen:
+                out.line_break()
         elif tag == "svg:svg":
-            _lay_svg(child, out, False, depth)
+            _lay_svg(child, out, False, depth, shown)
         elif tag in ("math:mtr", "math:mlabeledtr") or tag == "math:math" and child.attrs.get("display", "").lower() == "block":
             out.block(False)
-            _lay(child, out, pre, depth)
+            _lay(child, out, kept, depth, shown)
             out.block(False)
         elif tag in ("img", "input", "wbr"):
-            if tag == "input" and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            if shown and tag == "input" and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 out.inline(child.attrs.get("value", ""))
         elif tag == "table":
             out.block(True)
-            rows = _table(child)
+            rows = _table(child, out.sheet, shown)
             if rows:
                 out._begin()
                 out.lines += [(out.prefix + " " * len(out.marker) + r).rstrip() for r in rows]
@@ -390,14 +546,14 @@ def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
             count = _number(child.attrs.get("value"), count)
             out.marker = f"{count}. " if node.tag == "ol" else "- "
             count += 1
-            _lay(child, out, pre, depth)
+            _lay(child, out, kept, depth, shown)
             out.block(False)
             out.prefix, out.marker = held
             if out.marker:
                 out.marker = " " * len(out.marker)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.block(depth == 0)
-            _lay(child, out, pre, depth + 1)
+            _lay(child, out, kept, depth + 1, shown)
             out.block(depth == 0)
         elif tag in BLOCK or tag == "textarea":
             margin = tag in MARGIN
@@ -405,15 +561,21 @@ def _lay(node: Node, out: _Lines, pre: bool, depth: int) -> None:
             held = out.prefix
             if tag in ("blockquote", "dd"):
                 out.prefix += "    "
-            _lay(child, out, pre or tag in ("pre", "textarea", "xmp"), depth)
+            _lay(child, out, kept, depth, shown)
             out.block(margin)
             out.prefix = held
         else:
-            if tag == "q":
+            # an inline element that a style makes a block stands on lines of its own
+            apart_block = look.get("display") in ("block", "flex", "grid", "table", "list-item", "flow-root")
+            if apart_block:
+                out.block(False)
+            if tag == "q" and shown:
                 out.inline('"')
-            _lay(child, out, pre, depth)
-            if tag == "q":
+            _lay(child, out, kept, depth, shown)
+            if tag == "q" and shown:
                 out.inline('"')
+            if apart_block:
+                out.block(False)
 
 
 def _span(value: str | None, most: int, least: int = 1) -> int:
@@ -423,13 +585,13 @@ def _span(value: str | None, most: int, least: int = 1) -> int:
     return min(span, most) if span >= least else 1
 
 
-def _cells(row: Node) -> list[tuple[list[str], int, int]]:
+def _cells(row: Node, sheet: Sheet, seen: bool) -> list[tuple[list[str], int, int]]:
     """Lines, columns and rows of each cell."""
     out = []
     for cell in row.children:
-        if isinstance(cell, Node) and cell.tag != "form" and not cell.hidden():
-            lines = _Lines()
-            _lay(cell, lines, False, 0)
+        if isinstance(cell, Node) and cell.tag != "form" and not _gone(cell, look := sheet.look(cell)):
+            lines = _Lines(sheet)
+            _lay(cell, lines, _space(look, None), 0, _seen(look, seen))
             text = lines.text()
             out.append((text.split("\n") if text else [""], _span(cell.attrs.get("colspan"), 1000), _span(cell.attrs.get("rowspan"), 65534, 0)))
     return out
@@ -489,31 +651,34 @@ def _places(rows: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
     return {at: begin[n] for at, n in number.items()}
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node, sheet: Sheet, seen: bool) -> list[str]:
     """Caption and rows, cells padded so that columns line up."""
     caption: list[str] = []
     groups: list[list[list[tuple[list[str], int, int]]]] = [[]]
 
-    def collect(parts: list) -> None:
+    def collect(parts: list, seen: bool) -> None:
         for part in parts:
             if isinstance(part, str):
-                caption.extend(part.split("\n") if part.strip() else [])
-            elif part.hidden():
+                caption.extend(part.split("\n") if seen and part.strip() else [])
+                continue
+            look = sheet.look(part)
+            if _gone(part, look):
                 continue
-            elif part.tag == "tr":
-                groups[-1].append(_cells(part))
+            shown = _seen(look, seen)
+            if part.tag == "tr":
+                groups[-1].append(_cells(part, sheet, shown))
             elif part.tag in ("thead", "tbody", "tfoot"):
                 groups.append([])
-                collect(part.children)
+                collect(part.children, shown)
                 groups.append([])
             elif part.tag in ("form", "colgroup"):
-                collect(part.children)
+                collect(part.children, shown)
             else:
-                lines = _Lines()
-                _lay(part, lines, False, 0)
+                lines = _Lines(sheet)
+                _lay(part, lines, _space(look, None), 0, shown)
                 caption.extend(lines.text().split("\n"))
 
-    collect(table.children)
+    collect(table.children, seen)
     rows = _grid(groups)
     places = _places(rows)
     size = sum(len(x) for row in rows for _, _, lines in row for x in lines)
@@ -545,10 +710,10 @@ def render(page: str | None) -> str:
     """The visible text of a page; nothing for a null or empty one."""
     if not page:
         return ""
-    out = _Lines()
-    root = parse(page)
-    if not root.hidden():
-        _lay(root, out, False, 0)
+    root, sheet = parse(page)
+    out, look = _Lines(sheet), sheet.look(root)
+    if not _gone(root, look):
+        _lay(root, out, _space(look, None), 0, _seen(look, True))
     return out.text()
 
 

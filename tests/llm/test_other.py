@@ -335,3 +335,24 @@ def test_tokens_of_awkward_texts():
         for out in packing._pieces(TOKENIZER, 4096, 1, True)(iter([batch])):
             for d, ids in zip(out.column(0).to_pylist(), out.column(5).to_pylist(), strict=True):
                 assert ids == [*tokenizer.encode(some[d] or "", add_special_tokens=False).ids, 1]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for part in ("<a '", "<a ", "<a x='", '<a x=">"', "<script ", "<!--", "<style>@{", "<style>.a{", "</a "):
+        begin = time.perf_counter()
+        html_text.render(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - begin < 10, part
+
+
+def test_styles_decide_what_is_seen():
+    render = html_text.render
+    sheet = "<style>.x{display:none} #y{visibility:hidden} p.v,.u{display:none} /* .q{display:none} */ @media print{.w{display:none}} .x#z{display:block} div .r{display:none}</style>"
+    assert render(sheet + "<p class=x>no</p><p class='a x' id=z>yes</p><div class=v>div</div><p class=v>no</p><i class=u>no</i><p class=q>q</p><p class=w>w</p><p class=r>r</p>").split() == ["yes", "div", "q", "w", "r"]
+    assert render(sheet + "<div id=y>no <b style='visibility:visible'>yes</b> no</div><div id=y>no<p>no</p></div>after").split() == ["yes", "after"]
+    assert render("<p hidden>no</p><p hidden style='display:block'>yes</p><p style='display:none;display:block'>two</p><p style='display:none!important;display:block'>no</p>").split() == ["yes", "two"]
+    assert render("<style media=print>p{display:none}</style><p>a</p><style>p{display:none}</style>") == ""
+    assert render("<div style='white-space:pre'>a   b\n c</div><pre style='white-space:normal'>d   e\nf</pre><p style='white-space:pre-line'>g  h\ni</p>") == "a   b\n c\n\nd e f\n\ng h\ni"
+    assert render("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>").split() == ["yes"]
+    assert render("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
