@@ -133,14 +133,14 @@ class Words:
         """Words a..b-1, joined by one space."""
         return b" ".join(self.buf[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of words i..i+k-1 for each i, and whether they lie within one text."""
+    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of words i..i+k-1 for each i, and whether they lie within one text.  Salts give independent hashes."""
         n = len(self.h)
         if n < k:
             return np.zeros(0, U), np.zeros(0, bool)
-        g = self.h[: n - k + 1] * multiplier(0)
+        g = self.h[: n - k + 1] * multiplier(salt << 32)
         for j in range(1, k):
-            g += self.h[j : n - k + 1 + j] * multiplier(j)
+            g += self.h[j : n - k + 1 + j] * multiplier((salt << 32) + j)
         last = np.repeat(self.first[1:], self.counts)[: n - k + 1]
         return mix(g), np.arange(n - k + 1) + k <= last
 

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import CHUNK, Words, ascii_lower, buffers, pieces, ragged, space_words
-from .sharding import numbered
-from .store import Scratch, ship
+from .sharding import TIE, numbered, tied
+from .store import Scratch, shards_for, ship
 
 CACHED_WORDS = 1 << 20
 
@@ -306,7 +306,7 @@ def _locate(plan):
     return run
 
 
-def pack(items: DataFrame, order: list[str], *, capacity: int = 4096, slices: int = 64) -> DataFrame:
+def pack(items: DataFrame, order: list[str], *, capacity: int = 4096, slice_rows: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to items, which have a `length` of 1 to `capacity`.
 
     `order` are columns that tell items apart; items that they don't tell
@@ -317,7 +317,7 @@ def pack(items: DataFrame, order: list[str], *, capacity: int = 4096, slices: in
     spark = items.sparkSession
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(make_plan(counts, capacity))
-    ranked = numbered(items, ["length"], order, slices)
+    ranked = numbered(items, ["length"], order, shards_for(sum(counts.values()), slice_rows, 32))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
     return ranked.select(*items.columns, F.col("slot").cast("long").alias("slot")).mapInArrow(_locate(plan), f"{fields}, sequence_id long, offset long")
 
@@ -330,5 +330,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end
     each.  Only texts of more than `capacity` tokens are cut.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    items = scratch.keep(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id), "pieces")
-    return pack(items, ["doc_id", "piece", "start", "ids_crc32"], capacity=capacity)
+    items = scratch.keep(tied(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id)), "pieces")
+    return pack(items, ["doc_id", "piece", "start", "ids_crc32", TIE], capacity=capacity).drop(TIE)

@@ -1,7 +1,8 @@
 """Quality classifier: a linear support vector machine over naive Bayes features.
 
-Features are indicators of hashed n-grams of whole texts: words, the shapes of
-words and of pairs of them, and which of the last words a word repeats.  Each
+Features are indicators of hashed n-grams of whole texts: words and pairs of
+them, the shapes of words and of pairs of them, and which of the last words a
+word repeats.  Each
 is scaled by the log-ratio of its smoothed shares of the two classes' counts,
 and the vector by the root of the number of its features.  The hinge loss is
 minimised by dual coordinate descent; a logistic curve, fitted on rows that the
@@ -52,11 +53,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for back in (1, 2, 3):
         if n > back:
             same[back:] += ((h[back:] == h[:-back]) & (owner[back:] == owner[:-back])).astype(np.int64) << (back - 1)
-    pair, valid = shape.grams(2)
+    (two, both), (pair, valid) = words.grams(2), shape.grams(2)
     size = np.minimum(np.log2(words.counts + 1).astype(np.int64), 16)
     every = np.arange(len(offsets) - 1)
-    hashed = [mix(h ^ U(0x11)), mix(shape.h ^ U(0x22)), mix(pair[valid] ^ U(0x33)), mix(same.astype(U) + U(0x44 << 32)), mix(size.astype(U) + U(0x55 << 32))]
-    owners = [owner, np.repeat(every, shape.counts), np.repeat(every, shape.counts)[: len(pair)][valid], owner, every]
+    hashed = [mix(h ^ U(0x11)), mix(shape.h ^ U(0x22)), mix(pair[valid] ^ U(0x33)), mix(same.astype(U) + U(0x44 << 32)), mix(size.astype(U) + U(0x55 << 32)), mix(two[both] ^ U(0x66))]
+    owners = [owner, np.repeat(every, shape.counts), np.repeat(every, shape.counts)[: len(pair)][valid], owner, every, owner[: len(two)][both]]
     code = np.concatenate([(o.astype(U) << U(BITS)) | (x >> U(64 - BITS)) for o, x in zip(owners, hashed, strict=True)])
     code = np.unique(code)
     return (code & U((1 << BITS) - 1)).astype(np.uint32), np.searchsorted(code >> U(BITS), np.arange(len(offsets)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, shards_for
 
 
 @dataclass(frozen=True)
@@ -75,12 +75,21 @@ def place(key: Column, tree: Node) -> Column:
     return out
 
 
+#: A column that tells equal rows apart.  It isn't the same when a task is repeated, so it has to be written before it is used.
+TIE = "_tie"
+
+
+def tied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(TIE, F.monotonically_increasing_id())
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str], parts: int = 256) -> DataFrame:
     """Adds `slot`: gapless numbers from 0 within each value of `by`.
 
     Rows are numbered within `parts` slices of each value, dealt by a hash of
     `order`, and slices are offset by the sizes of those before them, so no
-    value's rows meet in one task.  rows is read twice.
+    value's rows meet in one task, if `order` tells rows apart: TIE does.  rows
+    is read twice; pass a written table.
     """
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     sizes = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
@@ -93,7 +102,7 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], parts: int = 256)
     return joined.withColumn("slot", F.col("_base") + F.row_number().over(W.partitionBy(*by, "_slice").orderBy(*order)) - 1).drop("_slice", "_at", "_base", *[f"_by_{c}" for c in by])
 
 
-def assign(docs: DataFrame, *, shards: int = 8, grown: int | None = None, tree: Node | None = None, slices: int = 256) -> DataFrame:
+def assign(docs: DataFrame, *, shards: int = 8, grown: int | None = None, tree: Node | None = None, slice_rows: int = 100_000) -> DataFrame:
     """Which shard each row is in, and its place there.
 
     docs has doc_id and text; other columns are ignored.  Returns a row for
@@ -115,5 +124,5 @@ def assign(docs: DataFrame, *, shards: int = 8, grown: int | None = None, tree:
         place(key, tree or layout(shards)).cast("int").alias("shard"),
         place(key, more).cast("int").alias("grown_shard"),
     )
-    placed = Scratch(docs.sparkSession, "shards").keep(placed, "placed")
-    return numbered(placed, ["shard"], ["doc_id", "size", "text_crc32"], slices)
+    placed = Scratch(docs.sparkSession, "shards").keep(tied(placed), "placed")
+    return numbered(placed, ["shard"], ["doc_id", "size", "text_crc32", TIE], shards_for(placed.count(), slice_rows, 32)).drop(TIE)

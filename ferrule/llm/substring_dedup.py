@@ -10,14 +10,15 @@ reference block of that place, so only windows over anchors can be repeats.
    repeat at all and which are anchors; it is all that is broadcast, and false
    bits only cost work.
 2. Anchors are extended over rolling windows that repeat to maximal runs.  Each
-   window of a run that holds an anchor is dealt out by its full hash, each
-   task sending only its own earliest place of a hash; the earliest of all is
-   found, and goes back to its text.
+   window of a run that holds an anchor is dealt out by a hash of 128 bits of
+   all its words, each task sending only its own earliest place of a hash; the
+   earliest of all is found, and goes back to its text.
 3. A text's windows in runs, without those that are the first of their kind,
    are repeats; the words that they cover are removed.
 
 Nothing is cut off: popular passages cost each task one entry a window, not
-one a copy, and no pairs of copies are made.
+one a copy, and no pairs of copies are made.  Among n windows, two that differ
+share a hash of 128 bits with a chance of about n**2 / 2**129.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Words, buffers, from_blob, pieces, space_words
-from .store import Scratch, shards_for, ship
+from .kernel import U, Words, buffers, from_blob, mix, pieces, space_words
+from .store import Scratch, shards_for, ship, small_batches
 
 FLUSH = 1 << 22
 LAST = (1 << 63) - 1
@@ -111,7 +112,8 @@ def _hits(bits: int, table_bits: int):
 def _anchor_table(texts: DataFrame, window: int, table_bits: int, rows: int) -> bytes:
     bits = min(max(4, (shards_for(rows, 2000) - 1).bit_length()), table_bits - 6)
     dealt = texts.mapInArrow(_deal_anchors(window, bits), "bucket int, rolled binary, again binary, blocks binary")
-    slices = dealt.groupBy("bucket").applyInPandas(_hits(bits, table_bits), "bucket int, cells binary").collect()
+    with small_batches(texts.sparkSession):
+        slices = dealt.groupBy("bucket").applyInPandas(_hits(bits, table_bits), "bucket int, cells binary").collect()
     table = np.zeros((2, 1 << bits, 1 << (table_bits - bits - 3)), np.uint8)
     for row in slices:
         table[:, row["bucket"]] = np.frombuffer(zlib.decompress(bytes(row["cells"])), np.uint8).reshape(2, -1)
@@ -138,13 +140,14 @@ def _candidates(words: Words, window: int, table: np.ndarray, table_bits: int) -
     return start[anchors[start + inside] > anchors[start]]
 
 
-ENTRY = np.dtype([("h", np.uint64), ("doc", np.int64), ("text", np.int64), ("at", np.int64)])
+ENTRY = np.dtype([("h", np.uint64), ("h2", np.uint64), ("doc", np.int64), ("text", np.int64), ("at", np.int64)])
 
 
 def _earliest(entries: np.ndarray) -> np.ndarray:
     """Of equal hashes the entry of the smallest document, text and place."""
-    entries = entries[np.lexsort([entries["at"], entries["text"], entries["doc"], entries["h"]])]
-    return entries[np.concatenate([[True], entries["h"][1:] != entries["h"][:-1]])] if len(entries) else entries
+    entries = entries[np.lexsort([entries["at"], entries["text"], entries["doc"], entries["h2"], entries["h"]])]
+    new = (entries["h"][1:] != entries["h"][:-1]) | (entries["h2"][1:] != entries["h2"][:-1])
+    return entries[np.concatenate([[True], new])] if len(entries) else entries
 
 
 def _deal(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -156,20 +159,20 @@ def _deal(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(entries)], strict=True):
         part = entries[a:b]
         own, which = np.unique(part[["doc", "text"]], return_inverse=True)
-        out.append((part["h"].tobytes(), which.astype(np.uint32).tobytes(), part["at"].astype(np.uint32).tobytes(), own["doc"].tobytes(), own["text"].tobytes()))
-    columns = [pa.array([x[i] for x in out], pa.binary()) for i in range(5)]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], ["bucket", "h", "which", "at", "doc", "text"])
+        out.append((part["h"].tobytes(), part["h2"].tobytes(), which.astype(np.uint32).tobytes(), part["at"].astype(np.uint32).tobytes(), own["doc"].tobytes(), own["text"].tobytes()))
+    columns = [pa.array([x[i] for x in out], pa.binary()) for i in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], ["bucket", "h", "h2", "which", "at", "doc", "text"])
 
 
-DEALT = "bucket int, h binary, which binary, at binary, doc binary, text binary"
+DEALT = "bucket int, h binary, h2 binary, which binary, at binary, doc binary, text binary"
 
 
 def _gather(pdf: pd.DataFrame) -> np.ndarray:
     parts = []
-    for h, which, at, doc, text in zip(pdf["h"], pdf["which"], pdf["at"], pdf["doc"], pdf["text"], strict=True):
+    for h, h2, which, at, doc, text in zip(pdf["h"], pdf["h2"], pdf["which"], pdf["at"], pdf["doc"], pdf["text"], strict=True):
         which = from_blob(which, np.uint32)
         part = np.empty(len(which), ENTRY)
-        part["h"], part["at"] = from_blob(h), from_blob(at, np.uint32)
+        part["h"], part["h2"], part["at"] = from_blob(h), from_blob(h2), from_blob(at, np.uint32)
         part["doc"], part["text"] = from_blob(doc, np.int64)[which], from_blob(text, np.int64)[which]
         parts.append(part)
     return np.concatenate(parts)
@@ -186,7 +189,7 @@ def _deal_windows(window: int, table_bits: int, bits: int, shared):
                     continue
                 own = np.searchsorted(words.first, start, "right") - 1
                 part = np.empty(len(start), ENTRY)
-                part["h"], part["at"] = words.grams(window)[0][start], start - words.first[own]
+                part["h"], part["h2"], part["at"] = words.grams(window)[0][start], words.grams(window, 1)[0][start], start - words.first[own]
                 part["doc"], part["text"] = doc[a:b][own], text[a:b][own]
                 held.append(part)
                 size += len(part)
@@ -206,8 +209,10 @@ def _firsts(parts: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = _earliest(_gather(pdf))
-        first["h"] = 0
-        return _deal(first, first["doc"] % parts).to_pandas()
+        first["h"] = first["h2"] = 0
+        # by a hash, so that neither regular doc_ids nor many rows without one meet in few buckets
+        own = mix(first["doc"].astype(U) ^ mix(first["text"].astype(U))) % U(parts)
+        return _deal(first, own.astype(np.int64)).to_pandas()
 
     return run
 

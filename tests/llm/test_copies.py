@@ -178,6 +178,15 @@ def test_substrings(spark, seed, bits):
         assert (r.n_words, r.n_removed, r.kept) == expected[r.doc_id, text[r.doc_id]]
 
 
+def test_substrings_of_equal_ids(spark):
+    """Documents of one doc_id are ordered by their texts' hashes; those without id come last, equally."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(4, words("p", 25) + " x"), (4, words("p", 25) + " y z"), (None, "a " + words("q", 22)), (None, words("q", 22) + " b"), (4096, words("q", 22)), (8192, words("q", 21))]
+    got = {(r.doc_id, r.kept): r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, EMPTY)).collect()}
+    assert {got[k] for k in got if k[0] == 4} == {0, 25} and got[4096, words("q", 22)] == 0 and got[8192, ""] == 21
+    assert got[None, "a"] == got[None, "b"] == 22
+
+
 def test_substrings_without_ids_and_empty(spark):
     long = " ".join(f"w{i}" for i in range(30))
     got = substring_dedup.remove_repeats(spark.createDataFrame([(None, long), (5, long), (6, None)], EMPTY)).collect()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from ferrule.llm import html_text, packing, quality, sharding, toxicity
-from ferrule.llm.labelled import remainder
+from ferrule.llm.labelled import remainder, training_rows
 from ferrule.llm.queries import TOKENIZER
 
 from . import fixtures as fx
@@ -210,6 +210,76 @@ def test_classifiers_without_labels(spark, module, label):
     assert {r.score for r in module.score(docs, model).collect()} == {0.5}
 
 
+def test_naive_bayes_ratios_by_hand():
+    rng = random.Random(2)
+    rows = [sorted(rng.sample(range(40), rng.randint(0, 9))) for _ in range(60)]
+    y = np.array([rng.random() < 0.4 for _ in rows]).astype(np.int64)
+    got = quality.ratios([np.array(r, np.uint32) for r in rows], y)
+    count = [[1 + sum(f in r for r, label in zip(rows, y, strict=True) if label == c) for f in range(40)] for c in (0, 1)]
+    whole = [sum(own) + len(got) - 40 for own in count]  # features that no row has count once
+    expected = np.array([np.log(b / whole[1]) - np.log(a / whole[0]) for a, b in zip(*count, strict=True)] + [np.log(whole[0] / whole[1])] * (len(got) - 40))
+    assert np.allclose(got, expected)
+
+
+def test_features_are_of_words_and_pairs():
+    def found(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return set(quality.features(raw, np.array([0, len(raw)]))[0].tolist())
+
+    assert found("one two three") != found("two one three"), "order counts through pairs of words"
+    assert len(found("")) == 1
+
+
+def test_repeated_ids_do_not_outgrow_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None)], EMPTY)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    got = training_rows(docs, labels, "quality", remainder(3) >= 0, 10, 5).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in got) == [(1, "text 0", 1), (2, "", 0)]
+
+
+def test_convolution_and_its_gradient_by_hand():
+    rng = np.random.default_rng(1)
+    net = toxicity.Network.new(dims=3, each=2)
+    net.embed = rng.normal(0, 1, (30, 3))
+    net.filters, net.bias, net.out = [f.astype(np.float64) for f in net.filters], rng.normal(0, 0.1, 6), net.out.astype(np.float64)
+    net.out_bias = 0.3
+    texts = [np.stack([rng.integers(0, 20, n), rng.integers(20, 30, n)]) for n in (1, 2, 5, 9)]
+    y, weight = np.array([1, 0, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def logit(text):
+        x = [net.embed[a] + net.embed[b] for a, b in text.T.tolist()]
+        best = []
+        for k, f in enumerate(net.filters):
+            for c in range(f.shape[2]):
+                best.append(max(0.0, max(net.bias[2 * k + c] + sum(float(x[p + j] @ f[j][:, c]) for j in range(len(f)) if p + j < len(x)) for p in range(len(x)))))
+        return float(np.dot(best, net.out)) + net.out_bias
+
+    def loss():
+        z = np.array([logit(t) for t in texts])
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() / len(y))
+
+    first = np.concatenate([[0], np.cumsum([t.shape[1] for t in texts])])
+    assert np.allclose(net.logits(np.concatenate(texts, 1), first), [logit(t) for t in texts])
+    gradients = {}
+    toxicity._step(net, texts, y, weight, lambda name, value, gradient, rows=None: gradients.__setitem__(name, (gradient, rows)), np.zeros(30, bool))
+    gradients["out"] = gradients["out"][0] - 1e-4 * net.out, None  # its own decay isn't of the loss
+
+    def slope(array, index):
+        held, array[index] = array[index], array[index] + 1e-5
+        high = loss()
+        array[index] = held - 1e-5
+        low = loss()
+        array[index] = held
+        return (high - low) / 2e-5
+
+    for name, array in [("bias", net.bias), ("out", net.out), *[(f"filter{k}", f) for k, f in enumerate(net.filters)]]:
+        assert np.allclose(gradients[name][0], [slope(array, i) for i in np.ndindex(array.shape)] if array.ndim == 1 else np.reshape([slope(array, i) for i in np.ndindex(array.shape)], array.shape), atol=2e-4), name
+    change, rows = gradients["embed"]
+    full = np.zeros_like(net.embed)
+    full[rows] = change
+    assert np.allclose(full, np.reshape([slope(net.embed, i) for i in np.ndindex(net.embed.shape)], net.embed.shape), atol=2e-4)
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(1)
     rows = [rng.choice(50, 8, False) for _ in range(300)]
@@ -236,6 +306,39 @@ def test_shards(spark):
     assert sharding.assign(fx.frame(spark, [])).count() == 0
 
 
+def test_descent_by_hand(spark):
+    """The tree's draws again in plain Python."""
+    import math
+
+    import xxhash
+
+    def place(key: str, node) -> int:
+        while node.children:
+            def draw(child):
+                seed = xxhash.xxh64(key.encode(), seed=42).intdigest()
+                return -math.log(((xxhash.xxh64(child.name.encode(), seed=seed).intdigest() >> 11) + 0.5) / 2**53) / child.total
+
+            node = min(node.children, key=draw)
+        return node.shard
+
+    leaf = lambda i, w=1.0: sharding.Node(f"s{i}", weight=w, shard=i)
+    own = sharding.Node("root", children=(sharding.Node("a", children=(leaf(0, 2.0), leaf(1, 0.5), leaf(2))), leaf(3, 3.0)))
+    df = spark.createDataFrame([(i, "x") for i in [*range(300), None]], EMPTY)
+    for tree in (sharding.layout(8), sharding.layout(9), own):
+        got = {r.doc_id: r.shard for r in sharding.assign(df, tree=tree).collect()}
+        assert got == {i: place("none" if i is None else str(i), tree) for i in got} and len(set(got.values())) == len(tree.leaves())
+
+
+def test_slots_of_equal_rows(spark):
+    rows = [(1, "same")] * 500 + [(i, None) for i in range(50)]
+    got = sharding.assign(spark.createDataFrame(rows, EMPTY), slice_rows=5).collect()
+    for s in range(8):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    packed = packing.pack_documents(spark.createDataFrame(rows, EMPTY), TOKENIZER).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(rows)
+
+
 def test_shards_move_only_where_weights_change(spark):
     keys = spark.range(20000).select(__import__("pyspark.sql.functions", fromlist=["col"]).col("id").cast("string").alias("k"))
     from pyspark.sql import functions as F

@@ -40,6 +40,24 @@ def test_stages(spark):
     assert sorted(map(tuple, run.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_rows_without_id_and_repeated_ids_lose_their_near_copies(spark):
+    """Each stage defines what becomes of rows without doc_id, of repeated doc_ids and of repeated rows."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (7, long + " more"), (7, "another text"), (None, long + " end"), (None, "alone"), (9, None), (5, "alone"), (5, "alone")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name, df):
+        return corpus_pipeline.Scratch(spark, "t").keep(stages[name](spark, df, SF), "s")
+
+    distinct = kept("exact_dedup", docs)
+    assert sorted((r.doc_id or 0, r.text or "") for r in distinct.collect()) == sorted([(1, long), (7, long + " more"), (7, "another text"), (0, long + " end"), (5, "alone"), (9, "")])
+    apart = kept("ngram_join", distinct)
+    assert sorted((r.doc_id or 0, r.text or "") for r in apart.collect()) == sorted([(1, long), (7, "another text"), (5, "alone"), (9, "")])
+    clean = kept("decontaminate", apart)
+    assert clean.count() == 4 and clean.columns == docs.columns and kept("packing", clean).count() == 4
+
+
 def test_an_empty_corpus_passes_all_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
