@@ -1,4 +1,10 @@
-"""A training corpus in five stages: quality, exact copies, near copies, benchmark leaks, packing."""
+"""A training corpus in five stages: quality, exact copies, near copies, benchmark leaks, packing.
+
+Null texts count as empty.  Rows without doc_id pass all stages like others;
+of copies and near copies, a row with a doc_id is kept before one without.
+Rows that share a doc_id are judged each by its own text.  Of rows that repeat
+in doc_id and text, one stays.
+"""
 
 from __future__ import annotations
 
@@ -25,11 +31,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of near copies connect: that of the smallest doc_id."""
-    linked = ngram_join.ngram_jaccard_components(docs)
-    # a document without shingles is linked with nothing, and so is its own component
-    stays = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").select(*docs.columns)
+    """One document of each group that links of near copies connect, that of the smallest doc_id; all without words."""
+    return ngram_join.drop_near_copies(docs)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each reads what the one before has written."""
-    scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
+    """All stages over the documents; each reads what the one before has written, which is then dropped."""
+    scratch, docs, before = Scratch(spark, "pipeline"), documents(spark, sf_dir), None
+    for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        if i > 1:
-            scratch.drop(STAGES[i - 1][0])
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
 
 
