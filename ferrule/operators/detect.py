@@ -28,7 +28,7 @@ SCHEMA = (
     "file_size long, sha256 string, evidence array<struct<line int, text string, masked boolean>>, details string"
 )
 RULES = {r[0]: r for r in catalog.RULES}
-MOST_SCRIPT, MOST_CONTENT, MOST_TASK = 16 << 20, 64 << 20, 4 << 20
+MOST_SCRIPT, MOST_CONTENT, MOST_TASK, MOST_LINK = 16 << 20, 64 << 20, 4 << 20, 1 << 20
 CREDENTIALS, UNREADABLE = "VBS-901", "VBS-300"
 
 
@@ -108,12 +108,14 @@ class File:
 Detector = Callable[[File], list[Finding]]
 DETECTORS: dict[str, list[tuple[Detector, str]]] = {}
 NAMED: dict[str, list[tuple[Detector, str]]] = {}
+MOST: dict[Detector, int] = {}
 
 
-def detector(*extensions: str, names: tuple[str, ...] = (), fallback: str):
-    """Registers a detector for extensions and file names; `fallback` is the rule for what it can't check."""
+def detector(*extensions: str, names: tuple[str, ...] = (), fallback: str, most: int = MOST_CONTENT):
+    """Registers a detector for extensions and file names; `fallback` is the rule for what it can't check, such as files of more than `most` bytes."""
 
     def add(f: Detector) -> Detector:
+        MOST[f] = most
         for e in extensions:
             DETECTORS.setdefault(e, []).append((f, fallback))
         for n in names:
@@ -126,7 +128,7 @@ def detector(*extensions: str, names: tuple[str, ...] = (), fallback: str):
 _SCRIPT_RULES = {"vbs": "VBS-101", "vbe": "VBS-102", "wsf": "VBS-103", "wsc": "VBS-104", "hta": "VBS-105"}
 
 
-@detector(*_SCRIPT_RULES, fallback="VBS-100")
+@detector(*_SCRIPT_RULES, fallback="VBS-100", most=MOST_SCRIPT)
 def script_files(file: File) -> list[Finding]:
     if text.is_servicing_data(file.content):
         return []
@@ -143,7 +145,7 @@ def script_files(file: File) -> list[Finding]:
     return [out, *credentials(found.lines, **file.where())]
 
 
-@detector("bat", "cmd", "ps1", "kix", fallback="VBS-200")
+@detector("bat", "cmd", "ps1", "kix", fallback="VBS-200", most=MOST_SCRIPT)
 def invocations(file: File) -> list[Finding]:
     if text.is_servicing_data(file.content):
         return []
@@ -174,7 +176,7 @@ def read_ini(content: str) -> list[tuple[str, int, str, str]]:
     return [(s, i, v["cmdline"], v.get("parameters", "")) for (s, i), v in sorted(out.items()) if v.get("cmdline")]
 
 
-@detector(names=("scripts.ini", "psscripts.ini"), fallback="VBS-341")
+@detector(names=("scripts.ini", "psscripts.ini"), fallback="VBS-341", most=MOST_SCRIPT)
 def policy_scripts(file: File) -> list[Finding]:
     out = []
     for section, index, program, parameters in read_ini(text.decode(file.content)):
@@ -269,6 +271,14 @@ def inspect_task(path: str, content: bytes) -> list[tuple]:
     return out
 
 
+def _safely(inspect, path: str, content: bytes) -> list[tuple]:
+    """One definition must not stop the others."""
+    try:
+        return inspect(path, content)
+    except Exception:
+        return [(path, None, "dormant", None, None, None, None, "internalError")]
+
+
 def _rows(batch: pd.DataFrame, inspect) -> pd.DataFrame:
     rows = [(*key, *f.row()) for key, f in inspect(batch)]
     return pd.DataFrame(rows, columns=["load_idx", "source", *[c.split()[0] for c in re.split(r", (?![^<]*>)", SCHEMA)]])
@@ -280,8 +290,8 @@ def _inspect_files(batch: pd.DataFrame):
         chosen = DETECTORS.get(text.extension(path) or "", []) + NAMED.get(name, [])
         for f, fallback in chosen:
             key = (load_idx, f.__name__)
-            if problem:
-                yield key, Finding(fallback, loc_path=path, reason=problem, file_size=size)
+            if why := problem or ("tooLarge" if size > MOST[f] else None):
+                yield key, Finding(fallback, loc_path=path, reason=why, file_size=size)
                 continue
             try:
                 found = f(File(path, bytes(content), int(size)))
@@ -328,7 +338,7 @@ def detect_tasks(files: DataFrame, scripts: DataFrame | None = None, variables:
         for batch in batches:
             rows = []
             for load_idx, path, content, problem in batch.itertuples(index=False):
-                found = [(path, None, "dormant", None, None, None, None, problem)] if problem else inspect_task(path, bytes(content))
+                found = [(path, None, "dormant", None, None, None, None, problem)] if problem else _safely(inspect_task, path, bytes(content))
                 rows += [(load_idx, *x) for x in found]
             yield pd.DataFrame(rows, columns=["load_idx", "loc_path", "loc_item", "activation", "line", "analysed", "folder", "details", "reason"])
 
@@ -374,7 +384,11 @@ def _report(entries: DataFrame, files: DataFrame | None, variables: DataFrame |
                 yield key, Finding(UNREADABLE, kind=RULES[r.breaks][1], reason=r.reason, **where)
                 continue
             behind = Called(r.called, r.usage, r.script, r.via, None if pd.isna(r.number) else int(r.number), r.text, r.called_reason) if r.called else None
-            for x in report_command(r.line, command.analyze(r.analysed), (r.breaks, r.review), where, json.loads(r.details or "{}"), behind):
+            try:
+                found = report_command(r.line, command.analyze(r.analysed), (r.breaks, r.review), where, json.loads(r.details or "{}"), behind)
+            except Exception:  # one entry must not stop the others
+                found = [Finding(UNREADABLE, kind=RULES[r.breaks][1], reason="internalError", **where)]
+            for x in found:
                 yield key, x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -443,13 +457,9 @@ def follow_calls(entries: DataFrame, files: DataFrame, variables: DataFrame | No
         for batch in batches:
             rows = []
             for load_idx, path, content, problem in batch.itertuples(index=False):
-                best = None
-                if not problem:
-                    code = script.code_lines(text.decode(bytes(content)), script.LANGUAGES.get(text.extension(path) or "", script.BATCH))
-                    found = ((r.usage != command.VBSCRIPT, n, line.strip(), r) for n, line in code for r in command.analyze(line))
-                    best = min(found, key=lambda x: x[:2], default=None)
-                if best or problem:
-                    rows.append((load_idx, path, best[3].usage if best else None, best[3].script if best else None, best[3].via if best else None, best[1] if best else None, best[2] if best else None, problem))
+                found = Called(path, reason=problem) if problem else _inside(path, bytes(content))
+                if found.usage or problem:
+                    rows.append((load_idx, path, found.usage, found.script, found.via, found.number, found.line, problem))
             yield pd.DataFrame(rows, columns=["load_idx", "file", "usage", "script", "via", "number", "text", "reason"])
 
     ship(entries.sparkSession)
@@ -474,6 +484,82 @@ def follow_calls(entries: DataFrame, files: DataFrame, variables: DataFrame | No
     return first.select("load_idx", *key, *[f"f.{c}" for c in ("called", "usage", "script", "via", "number", "text", "reason")])
 
 
+STARTUP = r"\\start menu\\programs\\startup\\[^\\]+$"
+START = {"autostartType": "startupFolder"}
+AUTOSTART = ("VBS-311", "VBS-312")
+
+
+def _inside(path: str, content: bytes) -> Called:
+    """The strongest use in a batch, PowerShell or KiXtart file, the first of equal ones."""
+    code = script.code_lines(text.decode(content), script.LANGUAGES.get(text.extension(path) or "", script.BATCH))
+    uses = ((r.usage != command.VBSCRIPT, n, line.strip(), r) for n, line in code for r in command.analyze(line))
+    best = min(uses, key=lambda x: x[:2], default=None)
+    return Called(path) if best is None else Called(path, best[3].usage, best[3].script, best[3].via, best[1], best[2])
+
+
+def _started(path: str, content: bytes, problem: str | None, size: int) -> list[Finding]:
+    """What a script in a startup folder gives as an entry of its own."""
+    where = {"loc_path": path, "activation": "automatic"}
+    extension = text.extension(path)
+    direct = [command.Reference(command.VBSCRIPT, path, "direct")]
+    if extension in ("vbs", "vbe"):
+        return report_command(path, direct, AUTOSTART, where, START)
+    problem = problem or ("tooLarge" if size > MOST_SCRIPT else None)
+    if extension in ("wsf", "wsc", "hta"):
+        if problem:
+            return [Finding(UNREADABLE, kind=RULES[AUTOSTART[0]][1], reason=problem, details=dict(START), **where)]
+        return report_command(path, direct, AUTOSTART, where, START) if script.analyze(extension, text.decode(content)).vbscript else []
+    return report_command(path, [], AUTOSTART, where, START, Called(path, reason=problem) if problem else _inside(path, content))
+
+
+def detect_startup(files: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """Findings of what lies in startup folders, as entries that start by themselves: load_idx, path, content, size, problem.
+
+    Links are followed to the commands that they hold, and these into the
+    scripts that they call, which `files` has too.
+    """
+
+    def scripts(batch: pd.DataFrame):
+        for load_idx, path, content, size, problem in batch.itertuples(index=False):
+            try:
+                found = _started(path, b"" if content is None else bytes(content), problem, int(size))
+            except Exception:  # one file must not stop the others
+                found = [Finding(UNREADABLE, kind=RULES[AUTOSTART[0]][1], reason="internalError", loc_path=path, activation="automatic")]
+            for x in found:
+                yield (load_idx, "autostart"), x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _rows(batch, scripts)
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..sources.formats import shell_link
+
+        for batch in batches:
+            rows = []
+            for load_idx, path, content, size, problem in batch.itertuples(index=False):
+                target = arguments = folder = None
+                problem = problem or ("tooLarge" if size > MOST_LINK else None)
+                if not problem:
+                    try:
+                        link = shell_link.parse(bytes(content))
+                        target, arguments, folder = link.target or "", link.arguments or "", link.folder
+                    except Exception as e:
+                        problem = "corrupt" if isinstance(e, shell_link.DamagedFile) else "internalError"
+                line = None if problem else f"{target} {arguments}".strip()
+                rows.append((load_idx, path, line, None if problem else f'"{target.strip(chr(34))}" {arguments}', folder, problem))
+            yield pd.DataFrame(rows, columns=["load_idx", "loc_path", "line", "analysed", "folder", "reason"])
+
+    ship(files.sparkSession)
+    kind = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1)
+    some = files.where(F.lower(F.translate("path", "/", "\\")).rlike(STARTUP)).select("load_idx", "path", "content", "size", "problem")
+    direct = some.where(kind.isin("vbs", "vbe", "wsf", "wsc", "hta", "bat", "cmd", "ps1", "kix")).mapInPandas(run, f"load_idx long, source string, {SCHEMA}")
+    entries = some.where(kind == "lnk").mapInPandas(links, "load_idx long, loc_path string, line string, analysed string, folder string, reason string")
+    fixed = {"loc_kind": "file", "activation": "automatic", "breaks": AUTOSTART[0], "review": AUTOSTART[1], "source": "autostart", "details": json.dumps(START)}
+    entries = entries.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"loc_item": F.lit(None).cast("string")})
+    return direct.union(_report(entries, files, variables))
+
+
 def detect_packages(products: DataFrame, files: DataFrame, variables: DataFrame | None = None) -> DataFrame:
     """Findings of installed products' packages: load_idx, packed (product code), path, details (JSON); files and variables as in detect_commands()."""
 
@@ -508,17 +594,24 @@ def detect_packages(products: DataFrame, files: DataFrame, variables: DataFrame
 def detect_consumers(consumers: DataFrame) -> DataFrame:
     """Findings of consumers that hold VBScript: columns of system.subscriptions()."""
 
+    def consumer(r, where: dict) -> list[Finding]:
+        f = Finding("VBS-331", target=r.script_file, **where)
+        f.details = {"scriptingEngine": r.engine, **dict(r.details or {})}
+        if r.script_file:
+            f.show(None, f"ScriptFileName = {r.script_file}")
+        code = script.code_lines(r.script_text or "", script.VBSCRIPT)
+        for line, value in script.evidence(code):
+            f.show(line, value)
+        return [f, *credentials(code, **where)]
+
     def inspect(batch: pd.DataFrame):
         for r in batch.itertuples(index=False):
             where = {"loc_path": r.loc_path, "loc_kind": r.loc_kind, "activation": r.activation}
-            f = Finding("VBS-331", target=r.script_file, **where)
-            f.details = {"scriptingEngine": r.engine, **dict(r.details or {})}
-            if r.script_file:
-                f.show(None, f"ScriptFileName = {r.script_file}")
-            code = script.code_lines(r.script_text or "", script.VBSCRIPT)
-            for line, value in script.evidence(code):
-                f.show(line, value)
-            for x in [f, *credentials(code, **where)]:
+            try:
+                found = consumer(r, where)
+            except Exception:  # one consumer must not stop the others
+                found = [Finding(UNREADABLE, kind=RULES["VBS-331"][1], reason="internalError", **where)]
+            for x in found:
                 yield (r.load_idx, "wmi"), x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,8 @@ def norm(x: str) -> str:
     p = f"""replace(trim(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '"'), '/', {B})"""
     p = f"case when starts_with({p}, concat({B},{B},'?',{B},'UNC',{B})) then concat({B},{B},substr({p},9)) when starts_with({p}, concat({B},{B},'?',{B})) then substr({p},5) else {p} end"
     bare = f"rtrim({p}, {B})"
-    return f"lower(concat({bare}, repeat({B}, greatest(least(strlen({p}) - strlen({bare}), 3 - strlen({bare})), 0))))"
+    # concat() ignores null, so that null would become an empty path
+    return f"case when {x} is not null then lower(concat({bare}, repeat({B}, greatest(least(strlen({p}) - strlen({bare}), 3 - strlen({bare})), 0)))) end"
 
 
 def name(x: str) -> str:

@@ -11,9 +11,10 @@ import io
 import json
 import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from . import catalog
 MIMETYPE, RESULT = "mimetype", "result.json"
 MOST_ENTRIES, MOST_MIMETYPE, MOST_RESULT = 16, 256, 256 * 1024 * 1024
 MOST_FINDINGS, MOST_SOURCES = 500_000, 10_000
+FLUSH = 16 << 20  # characters of scans that a task holds before it hands them on
 SCHEMA_VERSION = 1
 #: Any vendor's scan results; a reader can be given a narrower pattern.
 MEDIA_TYPE = r"application/vnd\.[a-z0-9.-]+\.result\+zip"
@@ -245,7 +247,7 @@ def discover(paths: list[str], extension: str) -> tuple[list[str], list[tuple[st
         try:
             if os.path.isdir(path) and (path in given or not os.path.islink(path)):
                 todo += [e.path for e in os.scandir(path) if not e.is_symlink() or not e.is_dir()]
-            elif path in given or path.lower().endswith("." + extension.lower()):
+            elif path in given or not extension or path.lower().endswith("." + extension.lower()):
                 os.stat(path)
                 found.add(path)
         except OSError as e:
@@ -253,19 +255,49 @@ def discover(paths: list[str], extension: str) -> tuple[list[str], list[tuple[st
     return sorted(found), sorted(errors)
 
 
+_READ = ["file", "error", "error_detail", "unknown_values", "scan"]
+_KINDS = "file string, error string, error_detail string, unknown_values int, scan string"
+
+
+def _read_one(path: str, content: bytes, media_type: str) -> tuple:
+    try:
+        scan = read(content, media_type)
+        for f in scan.get("findings", []):
+            f["details"] = json.dumps(f.get("details") or {}, ensure_ascii=False, sort_keys=True)
+        return path, None, None, unknown_values(scan), json.dumps(scan, ensure_ascii=False)
+    except FormatError as e:
+        return path, e.code, e.detail, None, None
+
+
 def _read_all(media_type: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([_read_one(path, bytes(content), media_type)], columns=_READ)
+
+    return run
+
+
+def _open_all(media_type: str):
+    """Opens listed files one after another; results go on before they are many."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, size = [], 0
+            for path, problem in zip(batch["file"], batch["problem"], strict=True):
+                if problem:
+                    rows.append((path, "unreadable", problem, None, None))
+                    continue
                 try:
-                    scan = read(bytes(content), media_type)
-                    for f in scan.get("findings", []):
-                        f["details"] = json.dumps(f.get("details") or {}, ensure_ascii=False, sort_keys=True)
-                    rows.append((path, None, None, unknown_values(scan), json.dumps(scan, ensure_ascii=False)))
-                except FormatError as e:
-                    rows.append((path, e.code, e.detail, None, None))
-            yield pd.DataFrame(rows, columns=["file", "error", "error_detail", "unknown_values", "scan"])
+                    with open(path, "rb") as f:
+                        rows.append(_read_one(path, f.read(), media_type))
+                except OSError as e:
+                    rows.append((path, "unreadable", type(e).__name__, None, None))
+                size += len(rows[-1][4] or "")
+                if size > FLUSH:
+                    yield pd.DataFrame(rows, columns=_READ)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=_READ)
 
     return run
 
@@ -273,24 +305,45 @@ def _read_all(media_type: str):
 def read_files(spark: SparkSession, paths: list[str] | str, extension: str | None = None, media_type: str = MEDIA_TYPE) -> DataFrame:
     """One row a file: file, error, error_detail, unknown_values, and the scan's fields (null where it is rejected).
 
-    Folders are read with their subfolders; `extension` is matched whatever its case.
+    Folders are read with their subfolders; `extension` is matched whatever its
+    case.  Paths of the file system are listed here, by discover(), and opened
+    in tasks, so all executors have to share them; what can't be listed or
+    opened is a row with the error `unreadable`.  Paths with a scheme of another
+    store go through Spark's binary source, which leaves out names that begin
+    with a dot or an underscore.
     """
     ship(spark)
-    # files are large and few a partition: their contents pass through Python a few at a time
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not any(re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]+://", p) for p in paths):
+        found, errors = discover([re.sub(r"^file:(?://)?(?=/)", "", p) for p in paths], extension or "")
+        listed = [(p, None) for p in found] + errors
+        rows = spark.createDataFrame(listed, "file string, problem string").repartition(max(1, min(len(listed) // 32, 10_000)))
+        rows = rows.mapInPandas(_open_all(media_type), _KINDS)
+        return rows.withColumn("scan", F.from_json("scan", SCHEMA)).select("file", "error", "error_detail", "unknown_values", "scan.*")
     pattern = "*" if extension is None else "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths).select("path", "content")
-    rows = files.mapInPandas(_read_all(media_type), "file string, error string, error_detail string, unknown_values int, scan string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+    return read_contents(files.select(F.col("path").alias("file"), "content"), media_type)
+
+
+def read_contents(files: DataFrame, media_type: str = MEDIA_TYPE) -> DataFrame:
+    """The same of containers in a table: file, content."""
+    ship(files.sparkSession)
+    rows = files.select(F.col("file").alias("path"), "content").mapInPandas(_read_all(media_type), _KINDS)
     return rows.withColumn("scan", F.from_json("scan", SCHEMA)).select("file", "error", "error_detail", "unknown_values", "scan.*")
 
 
-def imported(rows: DataFrame, machine_limit: int | None = None) -> DataFrame:
-    """rows of read_files with `outcome`: error, duplicate, overLimit or accepted, and `load_idx` of those accepted.
+def imported(rows: DataFrame, machine_limit: int | None = None, loaded: DataFrame | None = None) -> DataFrame:
+    """rows of read_files with `outcome`: error, alreadyLoaded, duplicate, overLimit or accepted.
 
     In order of files: a scan that was seen before is a duplicate; beyond the
     limit, scans of further machines are over it.  A scan belongs to one machine.
-    load_idx orders accepted scans by lower-case host name, then file.
+    `loaded` (file) are files of an earlier import: they are not taken again.
     """
+    if loaded is not None:
+        again = loaded.select("file").distinct().withColumn("_again", F.lit(True))
+        rows = rows.join(again, "file", "left")
+        kept = imported(rows.where("_again is null").drop("_again"), machine_limit)
+        return kept.unionByName(rows.where("_again").drop("_again").withColumn("outcome", F.lit("alreadyLoaded")))
     good = rows.where("error is null").select("file", F.col("scanId").alias("_scan"), *[c.alias(f"_m{i}") for i, c in enumerate(_machine())])
     first = good.groupBy("_scan").agg(F.min("file").alias("_first"), *[F.min(f"_m{i}").alias(f"_m{i}") for i in range(3)])
     machines = first.groupBy("_m0", "_m1", "_m2").agg(F.min("_first").alias("_seen"))
@@ -311,7 +364,10 @@ def _machine():
 def load_order(rows: DataFrame) -> DataFrame:
     """Accepted rows with load_idx from 0."""
     accepted = rows.where("outcome = 'accepted'")
-    return numbered(accepted, [F.lower("machine.hostname"), F.col("file")], "load_idx").withColumn("load_idx", F.col("load_idx") - 1)
+    # a file has one row, so names alone are sorted, not scans
+    names = accepted.select("file", F.lower("machine.hostname").alias("_host"))
+    order = numbered(names, [F.col("_host"), F.col("file")], "load_idx").select("file", (F.col("load_idx") - 1).alias("load_idx"))
+    return accepted.join(order, "file")
 
 
 def tables(loaded: DataFrame) -> dict[str, DataFrame]:
@@ -344,9 +400,25 @@ def assess_files(spark: SparkSession, paths: list[str] | str, extension: str | N
 def written(rows: DataFrame, folder: str, extension: str = "zip") -> DataFrame:
     """Writes each row's `scan` (JSON) as a container into a folder that the executors share; never over an existing file.
 
-    Returns file and error of each row.  Names are <host>_<yyyymmdd-hhmmss>Z.<extension>.
+    Returns file and error of each row.  Names are <host>_<yyyymmdd-hhmmss>Z.<extension>,
+    in UTC.  A file appears whole or not at all; one that is there already with
+    the same content, such as of a task that ran before, is no error.
     """
 
+    def put(name: str, data: bytes) -> None:
+        part = os.path.join(folder, f".{uuid.uuid4().hex}.part")
+        try:
+            with open(part, "xb") as f:
+                f.write(data)
+            os.link(part, os.path.join(folder, name))
+        except FileExistsError:
+            with open(os.path.join(folder, name), "rb") as f:
+                if f.read() != data:
+                    raise
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -354,12 +426,11 @@ def written(rows: DataFrame, folder: str, extension: str = "zip") -> DataFrame:
                 name = None
                 try:
                     scan = json.loads(value)
-                    at = parse_time(scan["startedAt"]).astimezone(tz=None)
+                    at = parse_time(scan["startedAt"]).astimezone(timezone.utc)
                     host = re.sub(r"[^A-Za-z0-9._-]", "_", scan["machine"]["hostname"]) or "machine"
                     name = f"{host}_{at:%Y%m%d-%H%M%S}Z.{extension}"
                     data = to_bytes(scan)
-                    with open(os.path.join(folder, name), "xb") as f:
-                        f.write(data)
+                    put(name, data)
                     out.append((name, None))
                 except (FormatError, OSError, ValueError, KeyError) as e:
                     out.append((name, type(e).__name__))

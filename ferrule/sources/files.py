@@ -17,7 +17,8 @@ REASONS = {
     "PermissionError": "accessDenied", "IsADirectoryError": "unsupportedFormat", "BlockingIOError": "locked", "TimeoutError": "networkLocation",
     "TooLarge": "tooLarge", "CloudPlaceholder": "cloudPlaceholder", "Encrypted": "encrypted", "NetworkPath": "networkLocation", "OSError": "corrupt",
 }
-SKIPPED_FOLDERS = ("onedrive", "dropbox", "google drive", "icloud drive")
+# Attributes of entries that a cloud service fills when they are read: offline, recall on data access.
+ON_DEMAND = 0x1000 | 0x400000
 
 
 def reason(error: str | None) -> str | None:
@@ -34,11 +35,17 @@ def reason_column(error) -> Column:
     return out.otherwise("corrupt")
 
 
-def walk(roots: list[str], extensions: set[str], names: frozenset[str] = frozenset(), cloud: tuple[str, ...] = SKIPPED_FOLDERS) -> tuple[list[tuple[str, int]], list[tuple[str, str]], int]:
+def on_demand(about: os.stat_result) -> bool:
+    return bool(getattr(about, "st_file_attributes", 0) & ON_DEMAND)
+
+
+def walk(roots: list[str], extensions: set[str], names: frozenset[str] = frozenset()) -> tuple[list[tuple[str, int]], list[tuple[str, str]], int]:
     """Files of the extensions or names below the roots with their sizes, errors, and how many entries there were.
 
-    Links are never followed, folders that a cloud service fills on demand are
-    left out, and only names decide which files are looked at further.
+    Links are never followed.  Folders and files that a cloud service fills on
+    demand, which their attributes tell where the file system has such, are
+    reported (CloudPlaceholder) and not opened.  Only names decide which files
+    are looked at further.
     """
     found, errors, entries = [], [], 0
     todo = list(roots)
@@ -50,11 +57,16 @@ def walk(roots: list[str], extensions: set[str], names: frozenset[str] = frozens
                     entries += 1
                     if e.is_symlink():
                         continue
-                    if e.is_dir(follow_symlinks=False):
-                        if not e.name.lower().startswith(cloud):
-                            todo.append(e.path)
-                    elif e.name.rpartition(".")[2].lower() in extensions or e.name.lower() in names:
-                        found.append((e.path, e.stat(follow_symlinks=False).st_size))
+                    folder_entry = e.is_dir(follow_symlinks=False)
+                    if not folder_entry and e.name.rpartition(".")[2].lower() not in extensions and e.name.lower() not in names:
+                        continue
+                    about = e.stat(follow_symlinks=False)
+                    if on_demand(about):
+                        errors.append((e.path, "CloudPlaceholder"))
+                    elif folder_entry:
+                        todo.append(e.path)
+                    else:
+                        found.append((e.path, about.st_size))
         except OSError as e:
             errors.append((folder, type(e).__name__))
     return sorted(found), sorted(errors), entries
@@ -84,13 +96,15 @@ def read_listed(spark: SparkSession, listed: list[tuple[int, str, int]], most: i
             yield pd.DataFrame(rows, columns=["load_idx", "path", "content", "size", "problem"])
 
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     parts = max(1, min(len(listed) // 64, 10_000))
     return spark.createDataFrame(listed, "load_idx long, path string, size long").repartition(parts).mapInPandas(run, "load_idx long, path string, content binary, size long, problem string")
 
 
 def read_store(spark: SparkSession, paths: list[str] | str, extensions: set[str], load_idx: int = 0, most: int = MOST_CONTENT) -> DataFrame:
-    """The same from any store that Spark reads, by the binary source; contents of larger files aren't read."""
+    """The same from any store that Spark reads, by the binary source; contents of larger files aren't read.
+
+    That source leaves out files and folders whose names begin with a dot or an underscore; walk() and read_listed() don't.
+    """
     pattern = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in sorted(extensions)) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
     small = rows.where(F.col("length") <= most).select(F.lit(load_idx).cast("long").alias("load_idx"), "path", "content", F.col("length").alias("size"), F.lit(None).cast("string").alias("problem"))

@@ -12,6 +12,7 @@ from .vba_project import Project, read_project, storages
 
 PASSWORD, RIGHTS, CORRUPT, UNSUPPORTED, TOO_LARGE = "passwordProtected", "encrypted", "corrupt", "unsupportedFormat", "tooLarge"
 DEEPEST, MOST_PROJECTS, MOST_PART = 2, 32, 64 << 20
+MORE_PROJECTS = (TOO_LARGE, f"more than {MOST_PROJECTS} projects")
 FILE_PASS = 0x2F
 
 
@@ -59,7 +60,10 @@ def _binary(data: bytes, embedded: str | None) -> Document:
         document.obstacles.append((RIGHTS if rights else PASSWORD, "encrypted package"))
         return document
     document.encrypted = _is_encrypted(file)
-    for path, storage in storages(file)[:MOST_PROJECTS]:
+    found = storages(file)
+    if len(found) > MOST_PROJECTS:
+        document.obstacles.append(MORE_PROJECTS)
+    for path, storage in found[:MOST_PROJECTS]:
         try:
             document.projects.append(Found(path or "VBA", read_project(file, storage), embedded=embedded))
         except DamagedFile as e:
@@ -99,9 +103,12 @@ def _open_xml(data: bytes, depth: int, embedded: str | None) -> Document:
                         p.storage = info.filename
                 else:
                     found = analyze(part, info.filename, depth + 1, info.filename)
-                    found.obstacles = [o for o in found.obstacles if o[0] in (PASSWORD, RIGHTS)]
-                document.projects += found.projects[: MOST_PROJECTS - len(document.projects)]
+                    found.obstacles = [o for o in found.obstacles if o[0] in (PASSWORD, RIGHTS) or o == MORE_PROJECTS]
+                room = MOST_PROJECTS - len(document.projects)
+                document.projects += found.projects[:room]
                 document.obstacles += found.obstacles
+                if len(found.projects) > room and MORE_PROJECTS not in document.obstacles:
+                    document.obstacles.append(MORE_PROJECTS)
     except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, OSError) as e:
         document.obstacles.append((CORRUPT, type(e).__name__))
     return document

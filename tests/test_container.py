@@ -2,6 +2,8 @@ import io
 import json
 import zipfile
 
+from types import SimpleNamespace
+
 import pytest
 
 from ferrule.operators import finding_list, report, summary
@@ -125,7 +127,21 @@ def test_written_once(spark, tmp_path):
     assert [r.error for r in got] == [None, "FormatError"]
     assert container.read(next(tmp_path.glob("SRV-1_*.zip")).read_bytes())["machine"]["hostname"] == "SRV-1"
     again = container.written(rows.limit(1), str(tmp_path)).collect()
-    assert [r.error for r in again] == ["FileExistsError"]
+    assert [r.error for r in again] == [None], "a task that is repeated finds its own file"
+    other = spark.createDataFrame([(json.dumps(changed(machine__domain="other.example")),)], "scan string")
+    assert [r.error for r in container.written(other, str(tmp_path)).collect()] == ["FileExistsError"]
+    assert [f.name for f in tmp_path.iterdir()] == ["SRV-1_20260102-080000Z.zip"], "no parts are left"
+
+
+def test_names_with_a_dot_or_underscore_and_files_loaded_before(spark, tmp_path):
+    for name in ("_a.scan", ".b.scan", "c.scan"):
+        (tmp_path / name).write_bytes(container.to_bytes(changed(scanId=f"0b9c3e0e-5a0c-4f67-9f55-3d1f2e8a7c{len(list(tmp_path.iterdir())):02}")))
+    rows = container.read_files(spark, [str(tmp_path), str(tmp_path / "gone")], "scan")
+    got = {r.file.rpartition("/")[2]: r.outcome for r in container.imported(rows).collect()}
+    assert got == {"_a.scan": "accepted", ".b.scan": "accepted", "c.scan": "accepted", "gone": "error"}
+    before = rows.where("file like '%c.scan'").select("file")
+    got = {r.file.rpartition("/")[2]: r.outcome for r in container.imported(rows, loaded=before).collect()}
+    assert got["c.scan"] == "alreadyLoaded" and got["_a.scan"] == "accepted"
 
 
 def test_reports(spark, folder, tmp_path):
@@ -157,10 +173,11 @@ def test_listing_and_reading(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x = 1")
     (tmp_path / "loop").symlink_to(tmp_path)
     found, errors, entries = files.walk([str(tmp_path), str(tmp_path / "none")], {"vbs"}, frozenset({"scripts.ini"}))
-    assert [f.rpartition("/")[2] for f, _ in found] == ["a.VBS", "b.vbs", "scripts.ini"] and [e for _, e in errors] == ["FileNotFoundError"] and entries == 7
+    assert [f.rpartition("/")[2] for f, _ in found] == ["e.vbs", "a.VBS", "b.vbs", "scripts.ini"] and [e for _, e in errors] == ["FileNotFoundError"] and entries == 8
+    assert files.on_demand(SimpleNamespace(st_file_attributes=0x400020)) and not files.on_demand(SimpleNamespace(st_file_attributes=0x20))
     listed = [(0, f, s) for f, s in found] + [(0, str(tmp_path / "gone.vbs"), 1), (0, str(tmp_path / "big.vbs"), 1 << 40)]
     got = {r.path.rpartition("/")[2]: r for r in files.read_listed(spark, listed).collect()}
-    assert set(got) == {"a.VBS", "b.vbs", "scripts.ini", "big.vbs"} and got["big.vbs"].problem == "tooLarge" and bytes(got["a.VBS"].content) == b"x = 1"
+    assert set(got) == {"a.VBS", "b.vbs", "scripts.ini", "e.vbs", "big.vbs"} and got["big.vbs"].problem == "tooLarge" and bytes(got["a.VBS"].content) == b"x = 1"
     stored = files.read_store(spark, str(tmp_path / "d"), {"vbs", "ini"}).collect()
     assert sorted(r.path.rpartition("/")[2] for r in stored) == ["b.vbs", "scripts.ini"]
     from pyspark.sql import functions as F

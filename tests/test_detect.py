@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 
 from ferrule.operators import detect, event_logs, system
@@ -280,3 +281,24 @@ def test_installed_packages(spark):
     assert json.loads(next(r.details for r in out if r.rule == "VBS-402"))["productName"] == "Product"
     cached = detect.detect_files(called_files(spark).where("path like '%msi'"), "C:\\WINDOWS\\Installer\\")
     assert cached.count() == 0
+
+
+def test_limits_of_files_by_detector(spark, monkeypatch):
+    """Of each detector the size that is read and the next one, which is reported."""
+    from ferrule.operators import binary_detectors  # noqa: F401
+
+    assert {f.__name__: detect.MOST[f] for f in detect.MOST}.items() >= {"script_files": 16 << 20, "invocations": 16 << 20, "policy_scripts": 16 << 20, "shortcuts": 1 << 20, "packages": 64 << 20}.items()
+    monkeypatch.setitem(detect.MOST, detect.script_files, 10)
+    monkeypatch.setitem(detect.MOST, detect.invocations, 10)
+    batch = pd.DataFrame([(0, path, b"x = 1", size, None) for path in ("a.vbs", "b.cmd") for size in (10, 11)], columns=["load_idx", "path", "content", "size", "problem"])
+    found = [(f.rule, f.loc_path, f.reason) for _, f in detect._inspect_files(batch)]
+    assert ("VBS-100", "a.vbs", "tooLarge") in found and ("VBS-200", "b.cmd", "tooLarge") in found and ("VBS-101", "a.vbs", None) in found and len(found) == 3
+
+
+def test_one_entry_does_not_stop_others(spark, monkeypatch):
+    def broken(path, content):
+        if content == b"bad":
+            raise RuntimeError
+        return []
+
+    assert detect._safely(broken, "t", b"bad")[0][-1] == "internalError" and detect._safely(broken, "t", b"good") == []
