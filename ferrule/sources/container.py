@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masking, text
 from ..operators import assessment
-from ..runtime import numbered, ship
+from ..runtime import materialize, numbered, ship
 from . import catalog
 
 # Names in the archive, limits, the current schema.
@@ -392,8 +392,9 @@ def tables(loaded: DataFrame) -> dict[str, DataFrame]:
 
 
 def assess_files(spark: SparkSession, paths: list[str] | str, extension: str | None = None, machine_limit: int | None = None) -> assessment.Assessment:
-    """From files to an assessment."""
-    got = tables(load_order(imported(read_files(spark, paths, extension), machine_limit)))
+    """From files to an assessment.  Files are opened and parsed once; what follows reads the columns that it needs."""
+    rows = materialize(read_files(spark, paths, extension), "scans")
+    got = tables(load_order(imported(rows, machine_limit)))
     return assessment.assess(got["scans"], got["findings"], machine_limit=machine_limit)
 
 

@@ -1,10 +1,12 @@
-"""A synthetic organization of any size, as tables."""
+"""A synthetic organization of any size, as tables or as containers in a folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import container
+
 #: Findings by role: number, rule, kind, place, target, activation.  {m} is the machine, {s} one of its servers.
 BASE = """
 select m as load_idx, k as pos, concat('f', cast(k + 1 as string)) as finding_id, rule, kind, classification, status, reason, activation, loc_kind, loc_path, loc_item, target, file_size, sha256
@@ -53,3 +55,26 @@ def organization(spark: SparkSession, machines: int, extra: int = 0) -> tuple[Da
     if extra:
         findings = findings.unionByName(spark.sql(EXTRA.replace("{extra}", str(extra)), machines=m))
     return scans, findings
+
+
+def write_containers(spark: SparkSession, folder: str, machines: int, extra: int = 0) -> int:
+    """Writes the organization's scans into a folder that the executors share; how many there are."""
+    scans, findings = organization(spark, machines, extra)
+    file = F.when(F.col("file_size").isNotNull(), F.struct(F.col("file_size").alias("size"), "sha256"))
+    place = F.struct(F.col("loc_kind").alias("type"), F.col("loc_path").alias("path"), F.col("loc_item").alias("item"))
+    shown = F.struct("pos", F.col("finding_id").alias("id"), "rule", "kind", "classification", "status", "reason", "activation", place.alias("location"), "target", file.alias("file"))
+    lists = findings.groupBy("load_idx").agg(F.sort_array(F.collect_list(shown)).alias("found"))
+    lists = lists.select("load_idx", F.transform("found", lambda x: x.dropFields("pos")).alias("findings"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lit = lambda **x: F.struct(*[F.lit(v).alias(k) for k, v in x.items()])
+    machine = F.struct("hostname", "domain", F.col("machine_id").alias("machineId"), lit(family="windows").alias("os"))
+    scan = F.struct(
+        F.lit(container.WRITTEN_TYPE).alias("format"), F.lit(container.SCHEMA_VERSION).alias("schemaVersion"), F.format_string("00000000-0000-4000-8000-%012d", "load_idx").alias("scanId"),
+        text("started_at").alias("startedAt"), text("finished_at").alias("finishedAt"), lit(product="sample", component="sample", version="1", rulesAsOf="2026-01-01", platform="windows").alias("generator"),
+        machine.alias("machine"), lit(localDrives=True, systemSources=True).alias("scope"), F.struct(F.col("coverage_mode").alias("mode"), F.lit(True).alias("elevated")).alias("coverage"), "findings",
+    )
+    rows = scans.join(lists, "load_idx").select(F.to_json(scan).alias("scan"))
+    problems = container.written(rows, folder).where("error is not null").collect()
+    if problems:
+        raise RuntimeError(f"{len(problems)} scans could not be written, the first: {problems[0]}")
+    return machines
