@@ -1,10 +1,11 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Rows are dealt to 2**depth runs by their doc_id (`run_rows` rows a run, about).
-A run holds a sorted entry for each digest: the identifier to keep and how many rows it stands for.  In binomial
+Rows are dealt to 2**depth runs by doc_id and digest (`run_rows` rows a run,
+about), so rows without doc_id don't meet in one.  A run holds a sorted entry for each digest: the identifier to keep and how many rows it stands for.  In binomial
 rounds, runs that differ in `fan` bits of their number exchange entries: each
 takes over those whose digest has its own bits there, merges what it receives
-in digest order and keeps the best identifier of each digest.  After the last
+in digest order (Spark sorts what a run has received again, as it has no
+operator that merges sorted ones) and keeps the best identifier of each digest.  After the last
 round every run holds, complete, one range of the digests.  A round moves each
 entry once, and copies shrink to an entry a run before the first exchange, so a
 group of copies of any size costs a task one entry a run.
@@ -63,7 +64,7 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", run_rows: int = 100
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     entries = scratch.keep(_entries(docs), "entries")
     depth = (shards_for(entries.count(), run_rows, 64) - 1).bit_length()
-    runs = entries.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << depth)).cast("int").alias("run"), *VERIFIED, F.col("doc_id").alias("keep_id"))
+    runs = entries.select(F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(1 << depth)).cast("int").alias("run"), *VERIFIED, F.col("doc_id").alias("keep_id"))
     runs = _merge(runs, keep, F.count("*"))
     for low in range(0, depth, fan):
         runs = _round(runs, low, min(fan, depth - low), keep)
