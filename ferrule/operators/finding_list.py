@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import catalog
+
 USUAL, MOST = 100, 500
 SHOWN_OCCURRENCES = 200
 
@@ -54,7 +56,7 @@ def page(items: DataFrame, occurrences: DataFrame, machines: DataFrame, query: Q
 
 
 def detail(items: DataFrame, occurrences: DataFrame, machines: DataFrame, links: DataFrame, number: int) -> dict[str, DataFrame]:
-    """The item, its first occurrences and how many there are, what it starts and what starts it."""
+    """The item, its first occurrences and how many there are, what it starts and what starts it, and what is published about its rule."""
     own = occurrences.where(F.col("number") == number).join(machines.select("load_idx", "hostname"), "load_idx")
     at = F.row_number().over(W.partitionBy("number").orderBy("load_idx", "loc_path", F.col("loc_item").asc_nulls_first(), "pos"))
     return {
@@ -62,6 +64,7 @@ def detail(items: DataFrame, occurrences: DataFrame, machines: DataFrame, links:
         "occurrences": own.withColumn("at", at).where(F.col("at") <= SHOWN_OCCURRENCES).select("at", "hostname", "loc_kind", "loc_path", "loc_item", "target", "activation"),
         "more": own.agg(F.greatest(F.count("*") - SHOWN_OCCURRENCES, F.lit(0)).alias("more")),
         "starts": links.where(F.col("starter") == number).select("script").orderBy("script"),
+        "sources": items.where(F.col("number") == number).join(F.broadcast(catalog.rule_sources(items.sparkSession)), "rule").select("place", "publisher", "title", "url", "checked").orderBy("place"),
         "started_by": links.where(F.col("script") == number).select("starter").orderBy("starter"),
     }
 

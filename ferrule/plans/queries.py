@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import assessment, coverage, finding_list, summary
+from ..sources import catalog
 from . import fleet
 from .oracles import norm, over
 
@@ -149,6 +150,21 @@ def finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("hostname", "loc_path", "activation", F.col("at").cast("long").alias("at"))
 
 
+def _values(rows: list[tuple]) -> str:
+    quote = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(quote, r))})" for r in rows)
+
+
+_OF_RULES = _values([(rule, place, name) for rule, names in catalog.RULE_SOURCES.items() for place, name in enumerate(names)])
+
+
+@query(over(f"""select number, cast(place as bigint) as place, s.title, s.url from items i join (values {_OF_RULES}) r(rule, place, id) on i.rule = r.rule
+  join (values {_values(catalog.SOURCES)}) s(id, publisher, title, url, checked) on r.id = s.id where origin = 'own'"""))
+def finding_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = assessed(spark, sf_dir).own.select("number", "rule")
+    return items.join(F.broadcast(catalog.rule_sources(spark)), "rule").select("number", "place", "title", "url")  # rows of the catalog
+
+
 @query(fleet.plain(f"select count(*) as machines, count(*) filter (coverage_mode = 'full') as \"full\", count(*) filter (coverage_mode <> 'full') as limited from ({fleet.SCANS})"))
 def coverage_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.modes(fleet.scans(spark, sf_dir))

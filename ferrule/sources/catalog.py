@@ -1,4 +1,4 @@
-"""The rule catalog: kind, class, effort and hint of each rule."""
+"""The rule catalog: kind, class, effort, hint and published sources of each rule."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The rules that scan results refer to, in order of their ids.
 # id, kind, classification, least and most hours, basis, hint
@@ -48,6 +49,70 @@ RULES = [
     ("VBS-632", "officeMacro", "review", 0.25, 2.0, "fixed", "wshObjects"),
     ("VBS-901", "hardcodedCredential", "review", 0.5, 2.0, "fixed", "credentials"),
 ]
+# Published sources of the rules (id, publisher, title, address, checked on), and which of them each rule rests on.
+SOURCES = [
+    ("ms-deprecated-features", "Microsoft", "Deprecated features for Windows client", "https://learn.microsoft.com/en-us/windows/whats-new/deprecated-features", "2026-09-26"),
+    ("ms-vbscript-timeline", "Microsoft", "VBScript deprecation: Timelines and next steps (Windows IT Pro Blog)", "https://techcommunity.microsoft.com/blog/windows-itpro-blog/vbscript-deprecation-timelines-and-next-steps/4148301", "2026-09-26"),
+    ("ms-vbscript-detection", "Microsoft", "VBScript deprecation: Detection strategies for Windows (Windows IT Pro Blog)", "https://techcommunity.microsoft.com/blog/windows-itpro-blog/vbscript-deprecation-detection-strategies-for-windows/4414325", "2026-09-26"),
+    ("ms-vbscript-status-2026-09", "Microsoft", "Windows Insiders – State of VBScript deprecation – September 2026 (Microsoft Community Hub)", "https://techcommunity.microsoft.com/discussions/windowsserverinsiders/blog-windows-insiders---state-of-vbscript-deprecation---september-2026/4525768", "2026-09-26"),
+    ("ms-wscript-command", "Microsoft", "wscript (Windows commands)", "https://learn.microsoft.com/en-us/windows-server/administration/windows-commands/wscript", "2026-09-26"),
+    ("ms-wsh-script-element", "Microsoft", "<script> Element (Windows Script Host)", "https://learn.microsoft.com/en-us/previous-versions/windows/internet-explorer/ie-developer/windows-scripting/dzfdccyf(v=vs.84)", "2026-09-26"),
+    ("ms-script-encoder", "Microsoft", "Script Encoder Syntax", "https://learn.microsoft.com/en-us/previous-versions/windows/internet-explorer/ie-developer/windows-scripting/xw61tsx7(v=vs.84)", "2026-09-26"),
+    ("ms-hta", "Microsoft", "Introduction to HTML Applications (HTAs)", "https://learn.microsoft.com/en-us/previous-versions/ms536496(v=vs.85)", "2026-09-26"),
+    ("ms-task-exec", "Microsoft", "Exec (actionGroup) Element – Task Scheduler Schema", "https://learn.microsoft.com/en-us/windows/win32/taskschd/taskschedulerschema-exec-actiongroup-element", "2026-09-26"),
+    ("ms-run-keys", "Microsoft", "Run and RunOnce Registry Keys", "https://learn.microsoft.com/en-us/windows/win32/setupapi/run-and-runonce-registry-keys", "2026-09-26"),
+    ("ms-wmi-activescript", "Microsoft", "ActiveScriptEventConsumer class", "https://learn.microsoft.com/en-us/windows/win32/wmisdk/activescripteventconsumer", "2026-09-26"),
+    ("ms-gpscr-scripts-ini", "Microsoft", "[MS-GPSCR]: Scripts.ini Syntax", "https://learn.microsoft.com/en-us/openspecs/windows_protocols/ms-gpscr/ff1fd13e-1e18-4160-9b50-0263e108e5e1", "2026-09-26"),
+    ("ms-msi-ca-types", "Microsoft", "Summary List of All Custom Action Types (Windows Installer)", "https://learn.microsoft.com/en-us/windows/win32/msi/summary-list-of-all-custom-action-types", "2026-09-26"),
+    ("ms-msi-ca-type-6", "Microsoft", "Custom Action Type 6 (Windows Installer)", "https://learn.microsoft.com/en-us/windows/win32/msi/custom-action-type-6", "2026-09-26"),
+    ("ms-msi-ca-return", "Microsoft", "Custom Action Return Processing Options (Windows Installer)", "https://learn.microsoft.com/en-us/windows/win32/msi/custom-action-return-processing-options", "2026-09-26"),
+    ("ms-sysmon", "Microsoft", "Sysmon (Sysinternals)", "https://learn.microsoft.com/en-us/sysinternals/downloads/sysmon", "2026-09-26"),
+    ("ms-vba-vbscript", "Microsoft", "Prepare your VBA projects for VBScript deprecation in Windows (Microsoft 365 Developer Blog)", "https://devblogs.microsoft.com/microsoft365dev/how-to-prepare-vba-projects-for-vbscript-deprecation/", "2026-09-26"),
+    ("ms-script-control", "Microsoft", "Adding a ScriptControl (Visual Basic 6.0 documentation)", "https://learn.microsoft.com/en-us/previous-versions/visualstudio/visual-studio-6.0/aa227400(v=vs.60)", "2026-09-26"),
+    ("ms-execscript", "Microsoft", "execScript method (Internet Explorer platform APIs)", "https://learn.microsoft.com/en-us/previous-versions/windows/internet-explorer/ie-developer/platform-apis/aa741364(v=vs.85)", "2026-09-26"),
+    ("ms-ovba", "Microsoft", "[MS-OVBA]: Office VBA File Format Structure", "https://learn.microsoft.com/en-us/openspecs/office_file_formats/ms-ovba/575462ba-bf67-4190-9fac-c275523c75fc", "2026-09-26"),
+    ("ms-offcrypto", "Microsoft", "[MS-OFFCRYPTO]: Office Document Cryptography Structure", "https://learn.microsoft.com/en-us/openspecs/office_file_formats/ms-offcrypto/3c34d72a-1a61-4b52-a893-196f9157f083", "2026-09-26"),
+    ("mitre-cwe-798", "MITRE", "CWE-798: Use of Hard-coded Credentials", "https://cwe.mitre.org/data/definitions/798.html", "2026-09-26"),
+]
+RULE_SOURCES = {
+    "VBS-100": ("ms-vbscript-timeline",),
+    "VBS-101": ("ms-deprecated-features", "ms-vbscript-timeline",),
+    "VBS-102": ("ms-deprecated-features", "ms-vbscript-timeline", "ms-script-encoder",),
+    "VBS-103": ("ms-deprecated-features", "ms-vbscript-timeline", "ms-wsh-script-element",),
+    "VBS-104": ("ms-deprecated-features", "ms-vbscript-timeline", "ms-wsh-script-element",),
+    "VBS-105": ("ms-deprecated-features", "ms-vbscript-timeline", "ms-hta",),
+    "VBS-200": ("ms-vbscript-timeline",),
+    "VBS-201": ("ms-deprecated-features", "ms-vbscript-timeline", "ms-wscript-command",),
+    "VBS-202": ("ms-wsh-script-element", "ms-hta",),
+    "VBS-211": ("ms-deprecated-features", "ms-vbscript-timeline", "ms-wscript-command",),
+    "VBS-212": ("ms-wsh-script-element", "ms-hta",),
+    "VBS-300": ("ms-vbscript-timeline",),
+    "VBS-301": ("ms-vbscript-detection", "ms-task-exec", "ms-vbscript-timeline",),
+    "VBS-302": ("ms-task-exec", "ms-wsh-script-element",),
+    "VBS-311": ("ms-run-keys", "ms-vbscript-timeline",),
+    "VBS-312": ("ms-run-keys", "ms-wsh-script-element",),
+    "VBS-321": ("ms-vbscript-detection", "ms-vbscript-timeline",),
+    "VBS-322": ("ms-wsh-script-element",),
+    "VBS-331": ("ms-wmi-activescript", "ms-vbscript-timeline",),
+    "VBS-332": ("ms-wmi-activescript", "ms-wsh-script-element",),
+    "VBS-341": ("ms-gpscr-scripts-ini", "ms-vbscript-detection", "ms-vbscript-timeline",),
+    "VBS-342": ("ms-gpscr-scripts-ini", "ms-wsh-script-element",),
+    "VBS-400": ("ms-vbscript-detection",),
+    "VBS-401": ("ms-vbscript-detection", "ms-msi-ca-types", "ms-msi-ca-type-6",),
+    "VBS-402": ("ms-msi-ca-return", "ms-msi-ca-types",),
+    "VBS-500": ("ms-vbscript-detection",),
+    "VBS-501": ("ms-vbscript-status-2026-09", "ms-vbscript-timeline",),
+    "VBS-502": ("ms-vbscript-detection", "ms-sysmon",),
+    "VBS-503": ("ms-vbscript-detection", "ms-sysmon",),
+    "VBS-600": ("ms-vba-vbscript", "ms-offcrypto", "ms-ovba",),
+    "VBS-601": ("ms-vba-vbscript", "ms-vbscript-timeline",),
+    "VBS-611": ("ms-script-control", "ms-execscript", "ms-deprecated-features", "ms-vbscript-timeline",),
+    "VBS-612": ("ms-script-control", "ms-execscript",),
+    "VBS-621": ("ms-vba-vbscript", "ms-wscript-command", "ms-vbscript-timeline",),
+    "VBS-622": ("ms-wsh-script-element", "ms-hta",),
+    "VBS-632": ("ms-vba-vbscript", "ms-vbscript-timeline",),
+    "VBS-901": ("mitre-cwe-798",),
+}
 # Kinds in the order of reports, activations from the weakest, other closed vocabularies.
 KINDS = (
     "scriptFile", "scriptInvocation", "shortcut", "scheduledTask", "autostart", "service",
@@ -71,7 +136,14 @@ SCHEMA = "rule string, rule_kind string, rule_class string, min_hours double, ma
 
 def rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """The catalog as a table of a few dozen rows."""
-    return spark.createDataFrame([(*r[:7], list(r[7]) if len(r) > 7 else []) for r in (rows or RULES)], SCHEMA)
+    return spark.createDataFrame([(*r[:7], list(r[7]) if len(r) > 7 else list(RULE_SOURCES.get(r[0], ()))) for r in (rows or RULES)], SCHEMA)
+
+
+def rule_sources(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    """What is published about each rule: rule, place (from 0), publisher, title, url, checked."""
+    known = spark.createDataFrame(SOURCES, "id string, publisher string, title string, url string, checked string")
+    each = rules(spark, rows).select("rule", F.posexplode("sources").alias("place", "id"))
+    return each.join(F.broadcast(known), "id").select("rule", F.col("place").cast("long").alias("place"), "publisher", "title", "url", "checked")  # two dozen rows
 
 
 def load(path: str) -> list[tuple]:
