@@ -29,6 +29,17 @@ def is_network(path) -> Column:
     return _col(path).startswith("\\\\")
 
 
+def refusal(path) -> Column:
+    r"""Why a path that an entry names isn't opened: networkPath, devicePath (`\\.\`, a volume) or relativePath; null for one of a local drive.
+
+    Entries are followed on their own machine only, and never to what may block.
+    """
+    p = F.translate(_col(path), "/", "\\")
+    drive = p.rlike(r"^(?:\\\\\?\\)?[A-Za-z]:\\")
+    share = p.rlike(r"(?i)^\\\\(?:\?\\UNC\\)?(?![?.]\\)[^\\]+\\+[^\\]")
+    return F.when(drive, F.lit(None)).when(share, "networkPath").when(p.startswith("\\\\"), "devicePath").otherwise("relativePath")
+
+
 def is_absolute(path) -> Column:
     """A whole local or network path without variables."""
     p = _col(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import detect, system
 from .queries import query
 
@@ -164,3 +165,14 @@ from {{orders}}
 def startup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _run(spark, sf_dir, STARTUP).withColumns({"content": F.encode("content", "utf-8"), "size": F.octet_length("content").cast("long")})
     return _shown(detect.detect_startup(files))
+
+
+_NAMED = f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_partkey % 9 when 0 then concat('C:', {_B}, 'x.vbs') when 1 then concat({_B}, {_B}, '?', {_B}, 'D:', {_B}, 'x.vbs') when 2 then '//server/share/x.vbs'
+  when 3 then concat({_B}, {_B}, '?', {_B}, 'UNC', {_B}, 'server', {_B}, 'share', {_B}, 'x.vbs') when 4 then concat({_B}, {_B}, '.', {_B}, 'pipe', {_B}, 'x') when 5 then concat({_B}, {_B}, '?', {_B}, 'Volume1', {_B}, 'x.vbs')
+  when 6 then 'x.vbs' when 7 then 'C:x.vbs' else concat({_B}, 'x.vbs') end as path from {{lineitem}}"""
+
+
+@query(f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 9 in (2, 3) then 'networkPath' when l_partkey % 9 in (4, 5) then 'devicePath' when l_partkey % 9 > 5 then 'relativePath' else 'local' end as refused from lineitem""")
+def path_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_NAMED, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(paths.refusal("path"), F.lit("local")).alias("refused"))

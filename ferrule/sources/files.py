@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,7 +76,8 @@ def walk(roots: list[str], extensions: set[str], names: frozenset[str] = frozens
 def read_listed(spark: SparkSession, listed: list[tuple[int, str, int]], most: int = MOST_CONTENT) -> DataFrame:
     """Contents of listed files (load_idx, path, size) that every executor can open: load_idx, path, content, size, problem.
 
-    A file that has gone in the meantime has no row.
+    A file that has gone in the meantime has no row.  What has become a link or
+    a device isn't opened.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,11 +86,18 @@ def read_listed(spark: SparkSession, listed: list[tuple[int, str, int]], most: i
             for load_idx, path, size in zip(batch["load_idx"], batch["path"], batch["size"], strict=True):
                 content, error = None, None
                 try:
-                    if size > most:
+                    about = None if size > most else os.lstat(path)
+                    if about is None or about.st_size > most:
                         error = "TooLarge"
+                    elif on_demand(about):
+                        error = "CloudPlaceholder"
+                    elif not stat.S_ISREG(about.st_mode):
+                        error = "NotRegular"  # a link, which isn't followed, or a device
                     else:
                         with open(path, "rb") as f:
                             content = f.read(most + 1)
+                        if len(content) > most:  # it has grown
+                            content, error = None, "TooLarge"
                 except OSError as e:
                     error = type(e).__name__
                 if error != "FileNotFoundError":
