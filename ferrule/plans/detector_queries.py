@@ -54,10 +54,10 @@ def masked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).withColumn("line", masking.mask_column("line"))
 
 
-@query("select doc_id, len(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) - case when regexp_matches(text, '[\\r\\n]$') and length(text) > 0 then 1 else 0 end as n_lines from documents where text is not null")
+@query("select doc_id, case when text is null then 0 else len(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) - case when regexp_matches(text, '[\\r\\n]$') and length(text) > 0 then 1 else 0 end end as n_lines from documents")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    return docs.select("doc_id", F.size(text.lines_column("text")).cast("long").alias("n_lines"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(text.lines_column("text"))).cast("long").alias("n_lines"))
 
 
 _FILES = f"""
