@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import divergence, line_dedup, prefix_trie
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,4 +78,6 @@ SQL = {
     "op5_exact_dedup": EXACT_DEDUP,
     "op8_substring_dedup": SUBSTRING_DEDUP,
     "op9_line_dedup": line_dedup.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }

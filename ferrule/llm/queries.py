@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, ngram_join, oracles, packing, quality, sharding, substring_dedup, toxicity
+from . import decontaminate, divergence, exact_dedup, html_text, line_dedup, ngram_join, oracles, packing, prefix_trie, quality, sharding, simhash, substring_dedup, toxicity
 from .labelled import remainder
 from .store import documents, table
 
@@ -60,8 +60,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_decontaminate, op4_quality, op5_exact_dedup, op6_toxicity, op7_sharding, op8_substring_dedup, op9_line_dedup, op10_packing)}
+    named = (
+        op1_ngram_join, op2_html_text, op3_decontaminate, op4_quality, op5_exact_dedup, op6_toxicity, op7_sharding, op8_substring_dedup, op9_line_dedup, op10_packing,
+        op11_simhash, op12_divergence, op13_prefix_trie,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

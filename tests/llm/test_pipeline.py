@@ -69,6 +69,6 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
