@@ -290,11 +290,11 @@ def _inspect_files(batch: pd.DataFrame):
         chosen = DETECTORS.get(text.extension(path) or "", []) + NAMED.get(name, [])
         for f, fallback in chosen:
             key = (load_idx, f.__name__)
-            if why := problem or ("tooLarge" if size > MOST[f] else None):
-                yield key, Finding(fallback, loc_path=path, reason=why, file_size=size)
-                continue
             try:
-                found = f(File(path, bytes(content), int(size)))
+                if why := problem or ("tooLarge" if size > MOST.get(f, MOST_CONTENT) else None):
+                    found = [Finding(fallback, loc_path=path, reason=why, file_size=size)]
+                else:
+                    found = f(File(path, bytes(content), int(size)))
             except Exception:  # one file must not stop the others
                 found = [Finding(fallback, loc_path=path, reason="internalError", file_size=size)]
             for x in found:

@@ -14,22 +14,25 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import masking, text
 from ..operators import assessment
 from ..runtime import materialize, numbered, ship
-from . import catalog
+from . import catalog, listing
 
 # Names in the archive, limits, the current schema.
 MIMETYPE, RESULT = "mimetype", "result.json"
 MOST_ENTRIES, MOST_MIMETYPE, MOST_RESULT = 16, 256, 256 * 1024 * 1024
 MOST_FINDINGS, MOST_SOURCES = 500_000, 10_000
-FLUSH = 16 << 20  # characters of scans that a task holds before it hands them on
+PART = 32 << 20  # bytes of containers that a task reads
+ROWS = 5_000  # rows that a task holds before it hands them on
 SCHEMA_VERSION = 1
 #: Any vendor's scan results; a reader can be given a narrower pattern.
 MEDIA_TYPE = r"application/vnd\.[a-z0-9.-]+\.result\+zip"
@@ -69,15 +72,19 @@ SHAPE = {
     },
 }
 
-SCHEMA = """format string, schemaVersion int, scanId string, startedAt timestamp, finishedAt timestamp,
+#: What a container holds, as rows: one of part `scan`, and one for each finding, source and limitation.
+SCHEMA = """file string, part string, pos bigint, error string, error_detail string, unknown_values int,
+format string, schemaVersion int, scanId string, startedAt timestamp, finishedAt timestamp,
 generator struct<product string, component string, version string, rulesAsOf string, platform string>,
 machine struct<hostname string, fqdn string, domain string, machineId string, os struct<family string, name string, version string, build bigint, displayVersion string, edition string, productType string, architecture string>>,
 scope struct<localDrives boolean, paths array<string>, networkPaths array<string>, systemSources boolean>,
-coverage struct<mode string, elevated boolean, limitations array<struct<code string, detail string>>,
-  sources array<struct<source string, status string, reason string, roots array<string>, entries bigint, inspected bigint, errors bigint, skipped bigint, errorSamples array<string>, durationMs bigint, timeRange struct<`from` timestamp, `to` timestamp>>>>,
-findings array<struct<id string, rule string, kind string, classification string, status string, reason string, activation string,
+coverage struct<mode string, elevated boolean>, n_findings bigint,
+finding struct<id string, rule string, kind string, classification string, status string, reason string, activation string,
   location struct<type string, path string, item string>, target string, file struct<size bigint, modifiedAt timestamp, sha256 string, network boolean>,
-  evidence array<struct<line int, text string, masked boolean>>, details string>>"""
+  evidence array<struct<line int, text string, masked boolean>>, details string>,
+source struct<source string, status string, reason string, roots array<string>, entries bigint, inspected bigint, errors bigint, skipped bigint, errorSamples array<string>, durationMs bigint, timeRange struct<`from` timestamp, `to` timestamp>>,
+limitation struct<code string, detail string>"""
+PARTS = ("scan", "finding", "source", "limitation")
 
 
 def parse_time(value: str) -> datetime:
@@ -237,124 +244,107 @@ def to_bytes(scan: dict, media_type: str = WRITTEN_TYPE) -> bytes:
     return out.getvalue()
 
 
-def discover(paths: list[str], extension: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Files as they are given, and files of the extension in folders below; links to folders aren't followed.  And what couldn't be read."""
-    found, errors = set(), []
-    todo = list(paths)
-    given = set(paths)
-    while todo:
-        path = todo.pop()
-        try:
-            if os.path.isdir(path) and (path in given or not os.path.islink(path)):
-                todo += [e.path for e in os.scandir(path) if not e.is_symlink() or not e.is_dir()]
-            elif path in given or not extension or path.lower().endswith("." + extension.lower()):
-                os.stat(path)
-                found.add(path)
-        except OSError as e:
-            errors.append((path, type(e).__name__))
-    return sorted(found), sorted(errors)
-
-
-_READ = ["file", "error", "error_detail", "unknown_values", "scan"]
-_KINDS = "file string, error string, error_detail string, unknown_values int, scan string"
+def _times(value: dict, *names: str) -> dict:
+    return value | {n: parse_time(value[n]) for n in names if value.get(n) is not None}
 
 
-def _read_one(path: str, content: bytes, media_type: str) -> tuple:
+def rows_of(path: str, content: bytes, media_type: str = MEDIA_TYPE) -> Iterator[dict]:
+    """A container's rows: the scan's first, then those of its lists.  One that is rejected is a row with an error."""
     try:
         scan = read(content, media_type)
-        for f in scan.get("findings", []):
-            f["details"] = json.dumps(f.get("details") or {}, ensure_ascii=False, sort_keys=True)
-        return path, None, None, unknown_values(scan), json.dumps(scan, ensure_ascii=False)
     except FormatError as e:
-        return path, e.code, e.detail, None, None
-
-
-def _read_all(media_type: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([_read_one(path, bytes(content), media_type)], columns=_READ)
-
-    return run
-
-
-def _open_all(media_type: str):
-    """Opens listed files one after another; results go on before they are many."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, size = [], 0
-            for path, problem in zip(batch["file"], batch["problem"], strict=True):
-                if problem:
-                    rows.append((path, "unreadable", problem, None, None))
-                    continue
-                try:
-                    with open(path, "rb") as f:
-                        rows.append(_read_one(path, f.read(), media_type))
-                except OSError as e:
-                    rows.append((path, "unreadable", type(e).__name__, None, None))
-                size += len(rows[-1][4] or "")
-                if size > FLUSH:
-                    yield pd.DataFrame(rows, columns=_READ)
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=_READ)
-
-    return run
+        yield {"file": path, "part": "scan", "error": e.code, "error_detail": e.detail}
+        return
+    coverage, found = scan["coverage"], scan.get("findings", [])
+    yield _times(scan, "startedAt", "finishedAt") | {"file": path, "part": "scan", "unknown_values": unknown_values(scan), "n_findings": len(found)}
+    for i, f in enumerate(found):
+        file = f.get("file")
+        details = json.dumps(f.get("details") or {}, ensure_ascii=False, sort_keys=True)
+        yield {"file": path, "part": "finding", "pos": i, "finding": f | {"file": file and _times(file, "modifiedAt"), "details": details}}
+    for i, x in enumerate(coverage.get("sources", [])):
+        yield {"file": path, "part": "source", "pos": i, "source": x | {"timeRange": x.get("timeRange") and _times(x["timeRange"], "from", "to")}}
+    for i, x in enumerate(coverage.get("limitations", [])):
+        yield {"file": path, "part": "limitation", "pos": i, "limitation": x}
+
+
+def batches_of(found: Iterator[tuple[str, str | None, bytes | None]], schema: pa.Schema, media_type: str) -> Iterator[pa.RecordBatch]:
+    """Containers (path, problem, content) to Arrow batches of their rows; a batch has at most ROWS rows."""
+    rows = []
+    for path, problem, content in found:
+        for row in [{"file": path, "part": "scan", "error": "unreadable", "error_detail": problem}] if problem else rows_of(path, content, media_type):
+            rows.append(row)
+            if len(rows) >= ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_files(spark: SparkSession, paths: list[str] | str, extension: str | None = None, media_type: str = MEDIA_TYPE) -> DataFrame:
-    """One row a file: file, error, error_detail, unknown_values, and the scan's fields (null where it is rejected).
-
-    Folders are read with their subfolders; `extension` is matched whatever its
-    case.  Paths of the file system are listed here, by discover(), and opened
-    in tasks, so all executors have to share them; what can't be listed or
-    opened is a row with the error `unreadable`.  Paths with a scheme of another
-    store go through Spark's binary source, which leaves out names that begin
-    with a dot or an underscore.
+    """The rows of containers: files as they are given, and files of the extension (any case; all without one) in folders below.
+
+    Folders are listed in tasks, links to folders aren't followed, and each
+    container is opened once a reading of the result, by a data source whose
+    partitions are planned by bytes.  What can't be listed or opened is a row
+    with the error `unreadable`; names that begin with a dot or an underscore
+    count like others.  All executors have to share the paths.
     """
-    ship(spark)
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if not any(re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]+://", p) for p in paths):
-        found, errors = discover([re.sub(r"^file:(?://)?(?=/)", "", p) for p in paths], extension or "")
-        listed = [(p, None) for p in found] + errors
-        rows = spark.createDataFrame(listed, "file string, problem string").repartition(max(1, min(len(listed) // 32, 10_000)))
-        rows = rows.mapInPandas(_open_all(media_type), _KINDS)
-        return rows.withColumn("scan", F.from_json("scan", SCHEMA)).select("file", "error", "error_detail", "unknown_values", "scan.*")
-    pattern = "*" if extension is None else "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
-    return read_contents(files.select(F.col("path").alias("file"), "content"), media_type)
+    from .container_source import load
+
+    found = listing.tree(spark, paths, {extension} if extension else None, file_links=True)
+    return load(spark, listing.planned(listing.files(found), bytes_each=PART), media_type)
 
 
 def read_contents(files: DataFrame, media_type: str = MEDIA_TYPE) -> DataFrame:
     """The same of containers in a table: file, content."""
     ship(files.sparkSession)
-    rows = files.select(F.col("file").alias("path"), "content").mapInPandas(_read_all(media_type), _KINDS)
-    return rows.withColumn("scan", F.from_json("scan", SCHEMA)).select("file", "error", "error_detail", "unknown_values", "scan.*")
+    kinds = files.sparkSession.createDataFrame([], SCHEMA).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((path.as_py(), None, content.as_py() or b"") for batch in batches for path, content in zip(*batch.columns, strict=True))
+        return batches_of(each, to_arrow_schema(kinds), media_type)
 
+    return files.select("file", "content").mapInArrow(run, SCHEMA)
 
-def imported(rows: DataFrame, machine_limit: int | None = None, loaded: DataFrame | None = None) -> DataFrame:
-    """rows of read_files with `outcome`: error, alreadyLoaded, duplicate, overLimit or accepted.
+
+def imported(rows: DataFrame, machine_limit: int | None = None, loaded: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The scans of read_files' rows, a row a file, with `outcome`: error, alreadyLoaded, duplicate, overLimit or accepted.
 
     In order of files: a scan that was seen before is a duplicate; beyond the
     limit, scans of further machines are over it.  A scan belongs to one machine.
     `loaded` (file) are files of an earlier import: they are not taken again.
+    `known` (scan_id, _m0, _m1, _m2) are scans and machines that were accepted
+    before: they count for duplicates and for the limit.  rows are read more
+    than once: pass a written table.
     """
+    if "part" in rows.columns:
+        rows = rows.where("part = 'scan'").drop("part", "pos", "finding", "source", "limitation")
     if loaded is not None:
         again = loaded.select("file").distinct().withColumn("_again", F.lit(True))
         rows = rows.join(again, "file", "left")
-        kept = imported(rows.where("_again is null").drop("_again"), machine_limit)
+        kept = imported(rows.where("_again is null").drop("_again"), machine_limit, None, known)
         return kept.unionByName(rows.where("_again").drop("_again").withColumn("outcome", F.lit("alreadyLoaded")))
-    good = rows.where("error is null").select("file", F.col("scanId").alias("_scan"), *[c.alias(f"_m{i}") for i, c in enumerate(_machine())])
-    first = good.groupBy("_scan").agg(F.min("file").alias("_first"), *[F.min(f"_m{i}").alias(f"_m{i}") for i in range(3)])
-    machines = first.groupBy("_m0", "_m1", "_m2").agg(F.min("_first").alias("_seen"))
+    good = rows.where("error is null").select("file", F.col("scanId").alias("_scan"), *[c.alias(m) for c, m in zip(_machine(), MACHINE, strict=True)])
+    if known is not None:
+        good = good.join(known.select(F.col("scan_id").alias("_scan")).distinct(), "_scan", "left_anti")
+    first = good.groupBy("_scan").agg(F.min("file").alias("_first"), *[F.min(m).alias(m) for m in MACHINE])
     if machine_limit is not None:
-        inside = machines.orderBy("_seen").limit(machine_limit).withColumn("_inside", F.lit(True))
-        first = first.join(inside.drop("_seen"), ["_m0", "_m1", "_m2"], "left")
+        new, left = first.groupBy(*MACHINE).agg(F.min("_first").alias("_seen")), machine_limit
+        had = None
+        if known is not None:
+            had = known.select(*MACHINE).distinct()
+            new, left = new.join(had, MACHINE, "left_anti"), max(machine_limit - had.count(), 0)
+        inside = new.orderBy("_seen").limit(left).drop("_seen")
+        first = first.join((inside if had is None else inside.union(had)).withColumn("_inside", F.lit(True)), MACHINE, "left")
     else:
         first = first.withColumn("_inside", F.lit(True))
     out = rows.join(first.select("_scan", "_first", "_inside"), rows["scanId"] == F.col("_scan"), "left")
-    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("_inside").isNull(), "overLimit").when(F.col("file") != F.col("_first"), "duplicate").otherwise("accepted")
-    return out.withColumn("outcome", outcome).drop("_scan", "_first", "_inside")
+    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("_scan").isNull(), "duplicate").when(F.col("_inside").isNull(), "overLimit")
+    return out.withColumn("outcome", outcome.when(F.col("file") != F.col("_first"), "duplicate").otherwise("accepted")).drop("_scan", "_first", "_inside")
+
+
+#: A machine's key in import tables.
+MACHINE = ["_m0", "_m1", "_m2"]
 
 
 def _machine():
@@ -370,31 +360,35 @@ def load_order(rows: DataFrame) -> DataFrame:
     return accepted.join(order, "file")
 
 
-def tables(loaded: DataFrame) -> dict[str, DataFrame]:
-    """The tables that the assessment takes: scans, findings, sources, limitations."""
+def tables(loaded: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables that the assessment takes, of load_order()'s scans and read_files' rows: scans, findings, sources, limitations."""
     scans = loaded.select(
         "load_idx", "file", F.col("scanId").alias("scan_id"), "machine.hostname", "machine.domain", F.col("machine.machineId").alias("machine_id"),
         F.col("startedAt").alias("started_at"), F.col("finishedAt").alias("finished_at"), F.col("coverage.mode").alias("coverage_mode"),
     )
-    f = loaded.select("load_idx", F.posexplode("findings").alias("pos", "f"))
-    findings = f.select(
-        "load_idx", F.col("pos").cast("long").alias("pos"), F.col("f.id").alias("finding_id"), "f.rule", "f.kind", "f.classification", "f.status", "f.reason", "f.activation",
-        F.col("f.location.type").alias("loc_kind"), F.col("f.location.path").alias("loc_path"), F.col("f.location.item").alias("loc_item"), "f.target",
-        F.col("f.file.size").alias("file_size"), F.col("f.file.sha256").alias("sha256"), F.col("f.evidence").alias("evidence"), F.col("f.details").alias("details"),
+    order = loaded.select("file", "load_idx")
+
+    def part(name: str, *columns) -> DataFrame:
+        # a file may hold a large share of all findings: its rows stay where they are if the order is small, and AQE splits them if not
+        return rows.where(F.col("part") == name).select("file", *columns).join(order, "file").drop("file")
+
+    f = "finding"
+    findings = part(
+        f, "pos", F.col(f"{f}.id").alias("finding_id"), f"{f}.rule", f"{f}.kind", f"{f}.classification", f"{f}.status", f"{f}.reason", f"{f}.activation",
+        F.col(f"{f}.location.type").alias("loc_kind"), F.col(f"{f}.location.path").alias("loc_path"), F.col(f"{f}.location.item").alias("loc_item"), f"{f}.target",
+        F.col(f"{f}.file.size").alias("file_size"), F.col(f"{f}.file.sha256").alias("sha256"), F.col(f"{f}.evidence").alias("evidence"), F.col(f"{f}.details").alias("details"),
     )
-    s = loaded.select("load_idx", F.explode("coverage.sources").alias("s"))
-    sources = s.select(
-        "load_idx", "s.source", "s.status", "s.reason", *[F.coalesce(f"s.{c}", F.lit(0)).alias(c) for c in ("entries", "inspected", "errors", "skipped")],
-        F.col("s.timeRange.from").alias("time_from"), F.col("s.timeRange.to").alias("time_to"), F.col("s.errorSamples").alias("error_samples"),
+    sources = part(
+        "source", "source.source", "source.status", "source.reason", *[F.coalesce(f"source.{c}", F.lit(0)).alias(c) for c in ("entries", "inspected", "errors", "skipped")],
+        F.col("source.timeRange.from").alias("time_from"), F.col("source.timeRange.to").alias("time_to"), F.col("source.errorSamples").alias("error_samples"),
     )
-    limits = loaded.select("load_idx", F.explode("coverage.limitations").alias("l")).select("load_idx", "l.code", "l.detail")
-    return {"scans": scans, "findings": findings, "sources": sources, "limitations": limits}
+    return {"scans": scans, "findings": findings, "sources": sources, "limitations": part("limitation", "limitation.code", "limitation.detail")}
 
 
 def assess_files(spark: SparkSession, paths: list[str] | str, extension: str | None = None, machine_limit: int | None = None) -> assessment.Assessment:
     """From files to an assessment.  Files are opened and parsed once; what follows reads the columns that it needs."""
     rows = materialize(read_files(spark, paths, extension), "scans")
-    got = tables(load_order(imported(rows, machine_limit)))
+    got = tables(load_order(imported(rows, machine_limit)), rows)
     return assessment.assess(got["scans"], got["findings"], machine_limit=machine_limit)
 
 
@@ -404,8 +398,11 @@ def written(rows: DataFrame, folder: str, extension: str = "zip") -> DataFrame:
     Returns file and error of each row.  Names are <host>_<yyyymmdd-hhmmss>Z.<extension>,
     in UTC.  A file appears whole or not at all; one that is there already with
     the same content, such as of a task that ran before, is no error.
+    container_source.save() writes all or none.
     """
 
+    from .container_source import name_of
+
     def put(name: str, data: bytes) -> None:
         part = os.path.join(folder, f".{uuid.uuid4().hex}.part")
         try:
@@ -427,9 +424,7 @@ def written(rows: DataFrame, folder: str, extension: str = "zip") -> DataFrame:
                 name = None
                 try:
                     scan = json.loads(value)
-                    at = parse_time(scan["startedAt"]).astimezone(timezone.utc)
-                    host = re.sub(r"[^A-Za-z0-9._-]", "_", scan["machine"]["hostname"]) or "machine"
-                    name = f"{host}_{at:%Y%m%d-%H%M%S}Z.{extension}"
+                    name = name_of(scan, extension)
                     data = to_bytes(scan)
                     put(name, data)
                     out.append((name, None))

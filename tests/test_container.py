@@ -1,13 +1,15 @@
 import io
 import json
+import re
 import zipfile
-
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ferrule.operators import finding_list, report, summary
-from ferrule.sources import catalog, container, event_xml, files
+from ferrule.sources import catalog, container, container_source, event_xml, files, import_state, listing, stores
 
 SCAN = {
     "format": container.WRITTEN_TYPE, "schemaVersion": 1, "scanId": "0b9c3e0e-5a0c-4f67-9f55-3d1f2e8a7c11",
@@ -114,11 +116,109 @@ def test_import(spark, folder):
     assert {r.loc_path: r.machines for r in a.items.collect()} == {"C:\\a.vbs": 3, "C:\\b.xls": 3}
 
 
-def test_discovery(folder):
+def test_discovery(spark, folder):
+    """Files of the extension, links to files, files as they are given; links to folders aren't followed."""
     (folder / "link").symlink_to(folder / "sub")
-    found, errors = container.discover([str(folder), str(folder / "g.txt"), str(folder / "none")], "scan")
-    assert [f.rpartition("/")[2] for f in found] == ["a.SCAN", "c.scan", "e.scan", "f.scan", "g.txt", "h.scan", "b.scan", "d.scan"]
-    assert [e for _, e in errors] == ["FileNotFoundError"]
+    (folder / "z.scan").symlink_to(folder / "a.SCAN")
+    listed = listing.tree(spark, [str(folder), str(folder / "g.txt"), str(folder / "none"), str(folder / "sub")], {"scan"}, file_links=True)
+    rows = {r.path.removeprefix(str(folder) + "/"): r for r in listing.files(listed).collect()}
+    assert set(rows) == {"a.SCAN", "c.scan", "e.scan", "f.scan", "h.scan", "sub/b.scan", "sub/d.scan", "g.txt", "z.scan", "none"}
+    assert rows["none"].problem == "FileNotFoundError" and rows["h.scan"].size == 7 and rows["h.scan"].problem is None
+    assert "z.scan" not in {r.path.rpartition("/")[2] for r in listing.tree(spark, str(folder), {"scan"}).collect()}
+    assert listing.tree(spark, []).collect() == []
+    rows = container.read_files(spark, [str(folder / "link"), str(folder / "none")], "scan")
+    assert sorted((r.file.rpartition("/")[2], r.error) for r in rows.where("part = 'scan'").collect()) == [("b.scan", None), ("d.scan", None), ("none", "unreadable")]
+
+
+def test_rows_of_a_container(spark, folder):
+    """Each list is rows of its own part; a container is opened once for all of them."""
+    rows = container.read_files(spark, str(folder / "a.SCAN"), "scan")
+    parts = {p: [r for r in rows.collect() if r.part == p] for p in container.PARTS}
+    assert [r.n_findings for r in parts["scan"]] == [len(SCAN["findings"])] and [r.finding.id for r in parts["finding"]] == [f["id"] for f in SCAN["findings"]]
+    assert len(parts["source"]) == len(SCAN["coverage"].get("sources", [])) and parts["scan"][0].startedAt is not None
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ferrule-containers") == 1
+    got = container.tables(container.load_order(container.imported(rows)), rows)
+    assert got["scans"].count() == 1 and [r.finding_id for r in got["findings"].orderBy("pos").collect()] == [f["id"] for f in SCAN["findings"]]
+
+
+def test_parts_are_planned_by_bytes(spark):
+    listed = spark.createDataFrame([(f"/x{i}", 100 if i else 10_000, None) for i in range(200)], "path string, size long, problem string")
+    assert len(listing.planned(listed, bytes_each=1000).inputFiles()) > 20 and len(listing.planned(listed, files_each=10).inputFiles()) > 10
+    assert listing.planned(listed, bytes_each=1000).count() == 200 and listing.planned(listed.where("false")).count() == 0
+
+
+def test_a_deep_tree_and_many_folders(spark, tmp_path):
+    deep = tmp_path
+    for i in range(12):
+        deep = deep / f"_l{i}"
+        deep.mkdir()
+        (deep / ".x.scan").write_bytes(b"1" * i)
+    for i in range(70):
+        (tmp_path / f"d{i}").mkdir()
+    found = listing.tree(spark, str(tmp_path), {"scan"})
+    assert sorted(r.size for r in found.where("kind = 'file'").collect()) == list(range(12))
+    assert found.where("kind = 'expanded'").count() == 1 + 12 + 70 and found.where("kind = 'folder'").count() == 82
+
+
+def scans(spark, *hosts, **changes):
+    return spark.createDataFrame([(json.dumps(changed(machine__hostname=h, scanId=f"0b9c3e0e-5a0c-4f67-9f55-3d1f2e8a7c{i:02}", **changes)),) for i, h in enumerate(hosts)], "scan string")
+
+
+def test_published_by_a_commit(spark, tmp_path):
+    """All containers or none; a failing task, two scans of one name or another file of the name leave the folder as it was."""
+    container_source.save(scans(spark, "A", "B", "C"), str(tmp_path))
+    names = sorted(f.name for f in tmp_path.iterdir())
+    assert names == [f"{h}_20260102-080000Z.zip" for h in "ABC"]
+    assert container.read_files(spark, str(tmp_path), "zip").where("part = 'scan' and error is null").count() == 3
+    container_source.save(scans(spark, "A", "B", "C"), str(tmp_path))  # the same again is no fault
+    for bad in (scans(spark, "D", " "), scans(spark, "E", "E"), scans(spark, "F", "A", machine__domain="other.example"), spark.createDataFrame([("{",)], "scan string")):
+        with pytest.raises(Exception):  # noqa: B017
+            container_source.save(bad, str(tmp_path))
+        assert sorted(f.name for f in tmp_path.iterdir()) == names
+
+
+def test_attempts_that_do_not_count_leave_nothing(tmp_path):
+    """A repeated attempt writes elsewhere; only the one whose message is committed is published."""
+    writer = container_source.Writer(str(tmp_path), "zip")
+    batch = pa.RecordBatch.from_pydict({"scan": [json.dumps(SCAN)]})
+    broken = pa.RecordBatch.from_pydict({"scan": [json.dumps(SCAN), "{"]})
+    with pytest.raises(ValueError):
+        writer.write(iter([broken]))
+    lost, kept = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert lost.folder != kept.folder and lost.names == kept.names
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".job-")] == []
+    writer.commit([kept, None])
+    assert [f.name for f in tmp_path.iterdir()] == kept.names
+    other = container_source.Writer(str(tmp_path), "zip")
+    other.write(iter([batch]))
+    other.abort([None])
+    assert [f.name for f in tmp_path.iterdir()] == kept.names
+
+
+def test_state_of_imports(spark, tmp_path):
+    """Versions add up, a damaged file is tried again, two imports at once conflict, one version holds all after compact()."""
+    (tmp_path / "in").mkdir()
+    put = lambda name, **x: (tmp_path / "in" / name).write_bytes(container.to_bytes(changed(**x)))
+    ids = [f"0b9c3e0e-5a0c-4f67-9f55-3d1f2e8a7c{i:02}" for i in range(9)]
+    state = import_state.ImportState(spark, f"file://{tmp_path}/state")
+    outcomes = lambda limit=None: {r.file.rpartition("/")[2]: r.outcome for r in state.take_up(container.read_files(spark, str(tmp_path / "in"), "zip"), limit).collect()}
+    put("a.zip", scanId=ids[0], machine__hostname="A")
+    (tmp_path / "in" / "b.zip").write_bytes(b"damaged")
+    put("c.zip", scanId=ids[1], machine__hostname="C")
+    assert state.table().count() == 0 and outcomes(1) == {"a.zip": "accepted", "b.zip": "error", "c.zip": "overLimit"}
+    put("b.zip", scanId=ids[0], machine__hostname="A")
+    put("0.zip", scanId=ids[2], machine__hostname="a")
+    assert outcomes(1) == {"0.zip": "accepted", "a.zip": "alreadyLoaded", "b.zip": "duplicate", "c.zip": "overLimit"}
+    assert outcomes(2) == {"0.zip": "alreadyLoaded", "a.zip": "alreadyLoaded", "b.zip": "alreadyLoaded", "c.zip": "accepted"}
+    before = sorted(map(tuple, state.table().collect()))
+    state.compact()
+    assert sorted(map(tuple, state.table().collect())) == before and state.version() == 4 and state.vacuum() == 3 and state.vacuum() == 0
+    assert sorted(map(tuple, state.table().collect())) == before and set(outcomes(2).values()) == {"alreadyLoaded"}
+    late = import_state.ImportState(spark, f"file://{tmp_path}/state")
+    late.version = lambda: state.version() - 1  # as if another import had come between
+    with pytest.raises(import_state.Conflict):
+        late.take_up(container.read_files(spark, str(tmp_path / "in"), "zip"))
+    assert not [f for f in (tmp_path / "state").iterdir() if f.name.startswith("_aside")]
 
 
 def test_written_once(spark, tmp_path):
@@ -172,16 +272,18 @@ def test_listing_and_reading(spark, tmp_path):
     for name in ("a.VBS", "d/b.vbs", "d/c.txt", "d/scripts.ini", "OneDrive - X/e.vbs"):
         (tmp_path / name).write_bytes(b"x = 1")
     (tmp_path / "loop").symlink_to(tmp_path)
-    found, errors, entries = files.walk([str(tmp_path), str(tmp_path / "none")], {"vbs"}, frozenset({"scripts.ini"}))
-    assert [f.rpartition("/")[2] for f, _ in found] == ["e.vbs", "a.VBS", "b.vbs", "scripts.ini"] and [e for _, e in errors] == ["FileNotFoundError"] and entries == 8
-    assert files.on_demand(SimpleNamespace(st_file_attributes=0x400020)) and not files.on_demand(SimpleNamespace(st_file_attributes=0x20))
-    listed = [(0, f, s) for f, s in found] + [(0, str(tmp_path / "gone.vbs"), 1), (0, str(tmp_path / "big.vbs"), 1 << 40)]
-    got = {r.path.rpartition("/")[2]: r for r in files.read_listed(spark, listed).collect()}
-    assert set(got) == {"a.VBS", "b.vbs", "scripts.ini", "e.vbs", "big.vbs"} and got["big.vbs"].problem == "tooLarge" and bytes(got["a.VBS"].content) == b"x = 1"
+    found, entries = files.listed(spark, [str(tmp_path), str(tmp_path / "none")], {"vbs"}, frozenset({"scripts.ini"}))
+    rows = found.orderBy("path").collect()
+    assert [r.path.rpartition("/")[2] for r in rows if not r.problem] == ["e.vbs", "a.VBS", "b.vbs", "scripts.ini"] and [r.problem for r in rows if r.problem] == ["FileNotFoundError"]
+    assert {r.entries for r in entries.collect()} == {8}
+    assert stores.on_demand(SimpleNamespace(st_file_attributes=0x400020)) and not stores.on_demand(SimpleNamespace(st_file_attributes=0x20))
+    more = [(str(tmp_path / "gone.vbs"), 1, None), (str(tmp_path / "big.vbs"), 1 << 40, None), (str(tmp_path / "loop"), 1, None), ("d/b.vbs", 1, None), ("//fs01/share/b.vbs", 1, None), ("\\\\.\\pipe\\x", 1, None), ("\\\\fs01\\s\\b.vbs", 1, None)]
+    listed = found.union(spark.createDataFrame(more, found.schema)).withColumn("load_idx", F.lit(0))
+    got = {re.split(r"[/\\]", r.path)[-1] if r.path.startswith(str(tmp_path)) else r.path: r for r in files.read_listed(listed).collect()}
+    assert bytes(got["a.VBS"].content) == b"x = 1" and "gone.vbs" not in got and "none" not in got
+    assert {k: r.problem for k, r in got.items() if r.problem} == {"big.vbs": "tooLarge", "loop": "corrupt", "d/b.vbs": "corrupt", "//fs01/share/b.vbs": "networkLocation", "\\\\.\\pipe\\x": "corrupt", "\\\\fs01\\s\\b.vbs": "networkLocation"}
     stored = files.read_store(spark, str(tmp_path / "d"), {"vbs", "ini"}).collect()
     assert sorted(r.path.rpartition("/")[2] for r in stored) == ["b.vbs", "scripts.ini"]
-    from pyspark.sql import functions as F
-
     kinds = ["PermissionError", "FileNotFoundError", None, "Odd", "Encrypted"]
     rows = spark.createDataFrame([(k,) for k in kinds], "e string").select(files.reason_column(F.col("e"))).collect()
     assert [r[0] for r in rows] == [files.reason(k) for k in kinds] == ["accessDenied", None, None, "corrupt", "encrypted"]
