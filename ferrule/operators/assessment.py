@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..runtime import Descending, materialize, numbered
+from ..runtime import Descending, counted, materialize, numbered
 from ..sources import catalog
 
 
@@ -55,15 +55,21 @@ def newest_scans(scans: DataFrame, machine_limit: int | None = None) -> tuple[Da
     return chosen, aside
 
 
-def occurrences(findings: DataFrame) -> DataFrame:
+def stored(findings: DataFrame) -> DataFrame:
+    """(load_idx, sha256): contents that lie in a component store."""
+    likely = F.lower("loc_path").contains("winsxs") & (F.col("loc_kind") == "file") & F.col("sha256").isNotNull()  # spares most paths the whole rule
+    return findings.where(likely).where(paths.in_component_store(paths.normalize("loc_path"))).select("load_idx", "sha256")
+
+
+def occurrences(findings: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Findings with their normalised path and target, origin, and the key of the item that they belong to.
 
     A file whose content lies in a component store on any machine is the
-    operating system's own wherever it is.
+    operating system's own wherever it is; store (sha256) has these contents,
+    usually those of the findings themselves.
     """
     f = findings.withColumns({"path": paths.normalize("loc_path"), "n_target": paths.normalize("target"), "is_file": F.col("loc_kind") == "file"})
-    likely = F.lower("loc_path").contains("winsxs")  # spares most paths the whole rule
-    store = f.where(likely & F.col("is_file") & paths.in_component_store("path") & F.col("sha256").isNotNull()).select(F.col("sha256").alias("_store")).distinct()
+    store = (stored(findings) if store is None else store).select(F.col("sha256").alias("_store")).distinct()
     f = f.join(store, f["sha256"] == store["_store"], "left")
     f = f.withColumn("windows", F.col("is_file") & (F.col("_store").isNotNull() | paths.is_windows_location("path")))
     windows = F.col("windows")
@@ -82,18 +88,27 @@ def occurrences(findings: DataFrame) -> DataFrame:
     return f.withColumns({"origin": F.when(windows, "windows").otherwise("own"), "item_key": F.unhex(F.md5(key)), "act_rank": rank("activation")}).drop("_store", "_place", "_item", "_local", "windows", "is_file")
 
 
-def drafts(occ: DataFrame) -> DataFrame:
-    """One row an item: what was seen first, what represents it, how it runs, how many machines have it."""
+def by_machine(occ: DataFrame) -> DataFrame:
+    """What each machine adds to each item: states that fold() merges."""
     first = F.struct("load_idx", "pos", "kind", "loc_kind", "status")
     shown = F.struct(
         "load_idx", "loc_path", "loc_item", "pos", "finding_id", "rule", "kind", "classification", "status", "reason", "target", "file_size", "sha256"
     )
     insertion = F.struct("act_rank", "load_idx", "pos", "activation")
     display = F.struct("act_rank", "load_idx", "loc_path", "loc_item", "pos", "activation")
-    by_machine = occ.groupBy("item_key", "load_idx").agg(
+    return occ.groupBy("item_key", "load_idx").agg(
         F.min(first).alias("first"), F.min(shown).alias("shown"), F.max(insertion).alias("strongest"), F.max(display).alias("displayed"), F.max("origin").alias("origin"), F.count("*").alias("n")
     )
-    item = by_machine.groupBy("item_key").agg(
+
+
+def drafts(occ: DataFrame) -> DataFrame:
+    """One row an item: what was seen first, what represents it, how it runs, how many machines have it."""
+    return fold(by_machine(occ))
+
+
+def fold(parts: DataFrame) -> DataFrame:
+    """The items of by_machine()'s states."""
+    item = parts.groupBy("item_key").agg(
         F.min("first").alias("first"),
         F.min("shown").alias("shown"),
         F.max("strongest").alias("strongest"),
@@ -114,45 +129,98 @@ def drafts(occ: DataFrame) -> DataFrame:
     )
 
 
-def links(occ: DataFrame, items: DataFrame) -> DataFrame:
-    """(src, dst): which items start which scripts.
+def is_script() -> Column:
+    """Items that others can start."""
+    return F.col("seen_kind").isin("scriptFile", "scriptInvocation") & (F.col("seen_loc_kind") == "file") & (F.col("seen_status") == "detected")
+
+
+def is_starter() -> Column:
+    return ~F.col("seen_kind").isin("scriptFile", "hardcodedCredential")
 
-    A target on the network is that path on any machine; an absolute one is the
-    path on the same machine; any other is a file name that only one script of
-    the machine has.
+
+def _ends(occ: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scripts (dst, load_idx, path) and starters (src, load_idx, n_target).
+
+    Occurrences meet only those items that can be one or the other, and only
+    those that name a target can start something.
     """
-    seen = items.select("item_key", "seen_kind", "seen_loc_kind", "seen_status")
-    o = occ.select("item_key", "load_idx", "path", "n_target").join(seen, "item_key")
-    script = F.col("seen_kind").isin("scriptFile", "scriptInvocation") & (F.col("seen_loc_kind") == "file") & (F.col("seen_status") == "detected")
-    scripts = o.where(script).select(F.col("item_key").alias("dst"), "load_idx", "path").distinct()
-    starters = o.where(~F.col("seen_kind").isin("scriptFile", "hardcodedCredential") & F.col("n_target").isNotNull()).select(F.col("item_key").alias("src"), "load_idx", "n_target").distinct()
-    shared = starters.where(paths.is_network("n_target")).select("src", F.col("n_target").alias("path")).distinct().join(scripts.where(paths.is_network("path")).select("dst", "path").distinct(), "path")
+    files = occ.where("loc_kind = 'file'").select("item_key", "load_idx", "path")
+    scripts = files.join(items.where(is_script()).select("item_key"), "item_key", "left_semi").select(F.col("item_key").alias("dst"), "load_idx", "path").distinct()
+    named = occ.where("n_target is not null").select("item_key", "load_idx", "n_target")
+    starters = named.join(items.where(is_starter()).select("item_key"), "item_key", "left_semi").select(F.col("item_key").alias("src"), "load_idx", "n_target").distinct()
+    return scripts, starters
+
+
+def _shared(scripts: DataFrame, starters: DataFrame) -> DataFrame:
+    targets = starters.where(paths.is_network("n_target")).select("src", F.col("n_target").alias("path")).distinct()
+    return targets.join(scripts.where(paths.is_network("path")).select("dst", "path").distinct(), "path").where("src <> dst").select("src", "dst")
+
+
+def _local(scripts: DataFrame, starters: DataFrame) -> DataFrame:
     local = starters.where(~paths.is_network("n_target"))
     absolute = local.where(paths.is_absolute("n_target")).withColumnRenamed("n_target", "path").join(scripts.where(~paths.is_network("path")), ["load_idx", "path"])
     names = scripts.select("load_idx", paths.file_name("path").alias("name"), "dst").groupBy("load_idx", "name").agg(F.min("dst").alias("dst"), F.max("dst").alias("other")).where("dst = other")
     relative = local.where(~paths.is_absolute("n_target")).select("src", "load_idx", paths.file_name("n_target").alias("name")).join(names, ["load_idx", "name"])
-    return shared.select("src", "dst").union(absolute.select("src", "dst")).union(relative.select("src", "dst")).where("src <> dst").distinct()
+    return absolute.select("load_idx", "src", "dst").union(relative.select("load_idx", "src", "dst")).where("src <> dst")
+
+
+def local_links(occ: DataFrame, items: DataFrame) -> DataFrame:
+    """(load_idx, src, dst): which items start which scripts on a machine.
+
+    An absolute target is the path on the same machine; any other is a file
+    name that only one script of the machine has.
+    """
+    return _local(*_ends(occ, items)).distinct()
+
+
+def shared_links(occ: DataFrame, items: DataFrame) -> DataFrame:
+    """(src, dst): a target on the network is that path on any machine."""
+    share = occ.where(paths.is_network("path") | paths.is_network("n_target"))
+    return _shared(*_ends(share, items)).distinct()
+
+
+def links(occ: DataFrame, items: DataFrame) -> DataFrame:
+    """(src, dst): which items start which scripts, on their machine or through the network."""
+    scripts, starters = _ends(occ, items)
+    return _shared(scripts, starters).union(_local(scripts, starters).select("src", "dst")).distinct()
+
+
+#: Rounds of propagate() after which their tables are merged.
+MERGED = 8
 
 
 def propagate(items: DataFrame, edges: DataFrame) -> DataFrame:
     """items with `activation`: a script runs at least as readily as what starts it, through any chain.
 
-    edges is read once a round, so it should be a written table.  Each round joins it once, and only items whose rank rose in the last
-    round are followed.  A label changes only for a stronger one, so ranks only
-    rise, and the rounds end.
+    edges is read once a round, so it should be a written table.  A round offers
+    the labels of the items that rose in the one before, and writes those whose
+    rank rises by an offer, and nothing else; what an item has risen to is the
+    last that was written of it.  A label changes only for a stronger one, so
+    an item rises five times at most, and the rounds end.  After every
+    MERGED rounds what they have written is put together, so that a round reads
+    few tables however long the chains are.
     """
-    touched = edges.select(F.col("src").alias("item_key")).union(edges.select(F.col("dst").alias("item_key"))).distinct()
-    state = materialize(items.join(touched, "item_key", "left_semi").select("item_key", "first_seen", F.col("own_activation").alias("activation"), rank("own_activation").alias("r")), "activation")
-    rose = state
-    while True:
-        offer = edges.join(rose.select(F.col("item_key").alias("src"), F.struct((-F.col("r")).alias("down"), "first_seen", "activation").alias("offer")), "src").groupBy("dst").agg(F.min("offer").alias("offer"))
-        joined = state.join(offer, state["item_key"] == offer["dst"], "left")
-        up = F.coalesce(-F.col("offer.down") > F.col("r"), F.lit(False))
-        after = materialize(joined.select("item_key", "first_seen", F.when(up, F.col("offer.activation")).otherwise(F.col("activation")).alias("activation"), F.when(up, -F.col("offer.down")).otherwise(F.col("r")).alias("r"), up.alias("up")), "activation")
-        state, rose = after.drop("up"), after.where("up")
-        if rose.isEmpty():
-            break
-    return items.join(state.select("item_key", F.col("activation").alias("_through")), "item_key", "left").withColumn("activation", F.coalesce("_through", "own_activation")).drop("_through")
+    ends = edges.select(F.col("src").alias("item_key")).union(edges.select(F.col("dst").alias("item_key"))).distinct()
+    base, rows = counted(items.join(ends, "item_key", "left_semi").select("item_key", "first_seen", F.col("own_activation").alias("activation"), rank("own_activation").alias("r")), "ends")
+    rose, risen, rounds = base, None, 0
+    while rows:
+        rounds += 1
+        label = rose.select(F.col("item_key").alias("src"), F.struct((-F.col("r")).alias("down"), "first_seen", "activation").alias("offer"))
+        offers = edges.join(label, "src").groupBy(F.col("dst").alias("item_key")).agg(F.min("offer").alias("offer"))
+        now = offers.join(base.select("item_key", "first_seen", "r"), "item_key")
+        had = F.col("r")
+        if risen is not None:
+            now = now.join(risen.groupBy("item_key").agg(F.max("r").alias("_risen")), "item_key", "left")
+            had = F.greatest("r", F.coalesce("_risen", "r"))
+        up = now.where(-F.col("offer.down") > had).select("item_key", "first_seen", F.col("offer.activation").alias("activation"), (-F.col("offer.down")).alias("r"))
+        rose, rows = counted(up, "risen")
+        risen = rose if risen is None else risen.union(rose)
+        if rounds % MERGED == 0:
+            risen = materialize(risen.groupBy("item_key").agg(F.max_by(F.struct("first_seen", "activation", "r"), "r").alias("x")).select("item_key", "x.*"), "merged")
+    if risen is None:
+        return items.withColumn("activation", F.col("own_activation"))
+    last = risen.groupBy("item_key").agg(F.max_by("activation", "r").alias("_through"))
+    return items.join(last, "item_key", "left").withColumn("activation", F.coalesce("_through", "own_activation")).drop("_through")
 
 
 def risk() -> Column:
@@ -200,9 +268,9 @@ def effort(items: DataFrame, occ: DataFrame, edges: DataFrame, rules: DataFrame)
     low, high = catalog.UNKNOWN_EFFORT
     ruled = items.join(F.broadcast(rules.select("rule", "min_hours", "max_hours", "basis", "hint")), "rule", "left")
     typical = next(((r[3], r[4]) for r in catalog.RULES if r[0] == "VBS-101"), (1.0, 4.0))
-    counted = (F.col("origin") == "own") & F.col("same_as").isNull()
+    own = (F.col("origin") == "own") & F.col("same_as").isNull()
     starters = edges.select(F.col("src").alias("item_key")).distinct()
-    entries = ruled.where(counted & (F.col("basis") == "entry") & (F.col("status") == "detected")).join(starters, "item_key", "left_anti").select("item_key", "number")
+    entries = ruled.where(own & (F.col("basis") == "entry") & (F.col("status") == "detected")).join(starters, "item_key", "left_anti").select("item_key", "number")
     missing = occ.where(paths.is_script_file("n_target")).select("item_key", F.when(paths.is_absolute("n_target"), F.col("n_target")).otherwise(paths.file_name("n_target")).alias("script")).distinct().join(entries, "item_key")
     first = missing.groupBy("script").agg(F.min("number").alias("number"))
     carries = first.select("number").distinct().withColumn("_typical", F.lit(True))
@@ -212,9 +280,9 @@ def effort(items: DataFrame, occ: DataFrame, edges: DataFrame, rules: DataFrame)
     return out.withColumns(
         {
             "effort_kind": F.when(F.col("origin") != "own", "windows").when(F.col("same_as").isNotNull(), "sameAs").otherwise("hours"),
-            "size_factor": F.when(counted, factor),
-            "min_hours": F.when(counted, F.coalesce("min_hours", F.lit(low)) * factor + extra(typical[0])),
-            "max_hours": F.when(counted, F.coalesce("max_hours", F.lit(high)) * factor + extra(typical[1])),
+            "size_factor": F.when(own, factor),
+            "min_hours": F.when(own, F.coalesce("min_hours", F.lit(low)) * factor + extra(typical[0])),
+            "max_hours": F.when(own, F.coalesce("max_hours", F.lit(high)) * factor + extra(typical[1])),
         }
     ).drop("_typical", "basis")
 
@@ -243,14 +311,18 @@ class Assessment:
 
 def assess(scans: DataFrame, findings: DataFrame, rules: DataFrame | None = None, machine_limit: int | None = None) -> Assessment:
     """Newest scans, items, links, activation, risk, numbers and effort."""
-    rules = catalog.rules(scans.sparkSession) if rules is None else rules
     chosen, aside = newest_scans(scans, machine_limit)
-    counts = findings.groupBy("load_idx").agg(F.count_if(F.col("status") != "notCheckable").alias("detected"), F.count_if(F.col("status") == "notCheckable").alias("not_checkable"))
-    machines = chosen.join(counts, "load_idx", "left").fillna(0, ["detected", "not_checkable"])
     occ = materialize(occurrences(findings.join(chosen.select("load_idx"), "load_idx", "left_semi")), "occurrences")
-    draft = materialize(drafts(occ), "drafts")
-    edges = materialize(links(occ, draft), "edges")
-    items = numbered(propagate(draft, edges).withColumn("risk", risk()), priority_order(), rows=draft.count())
+    draft, rows = counted(drafts(occ), "drafts")
+    return ranked(chosen, aside, occ, draft, rows, materialize(links(occ, draft), "edges"), rules)
+
+
+def ranked(chosen: DataFrame, aside: DataFrame, occ: DataFrame, draft: DataFrame, rows: int, edges: DataFrame, rules: DataFrame | None = None) -> Assessment:
+    """What follows from items and links, which are written tables: activation, risk, numbers and effort."""
+    rules = catalog.rules(chosen.sparkSession) if rules is None else rules
+    counts = occ.groupBy("load_idx").agg(F.count_if(F.col("status") != "notCheckable").alias("detected"), F.count_if(F.col("status") == "notCheckable").alias("not_checkable"))
+    machines = chosen.join(counts, "load_idx", "left").fillna(0, ["detected", "not_checkable"])
+    items = numbered(propagate(draft, edges).withColumn("risk", risk()), priority_order(), rows=rows)
     items = materialize(same_content(items), "numbered")
     items = materialize(effort(items, occ, edges, rules), "items")
     number = items.select("item_key", "number")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import assessment, coverage, finding_list, summary
+from ..operators import assessment, coverage, finding_list, summary, upkeep
 from ..sources import catalog
 from . import fleet
 from .oracles import norm, over
@@ -37,6 +37,17 @@ def assessment_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(*ITEM.split(", "), "activation_rank", "hint", F.coalesce("same_as", F.lit(0)).alias("same_as"))
 
 
+@query(over(f"select {ITEM}, rr as activation_rank, hint, coalesce(same_as, 0) as same_as from items"))
+def assessment_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items after nine tenths of the scans were assessed and the others came in, in two updates."""
+    scans, findings = fleet.scans(spark, sf_dir), fleet.findings(spark, sf_dir)
+    kept = upkeep.Upkeep()
+    for part in ("load_idx % 10 > 1", "load_idx % 10 = 0", "load_idx % 10 = 1"):
+        kept = kept.update(scans.where(part), findings.where(part))
+    items = kept.assess().items.withColumn("activation_rank", assessment.rank("activation"))
+    return items.select(*ITEM.split(", "), "activation_rank", "hint", F.coalesce("same_as", F.lit(0)).alias("same_as"))
+
+
 @query(over("select load_idx, hostname, domain, started_at from chosen"))
 def newest_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.newest_scans(fleet.scans(spark, sf_dir))[0].select("load_idx", "hostname", "domain", "started_at")

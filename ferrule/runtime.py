@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,6 +49,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """materialize(), and the number of rows, which are counted as they are written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return written, seen.get["n"]
+
+
 #: Rows that one task may sort and number.
 FEW_ROWS = 250_000
 

@@ -1,8 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from ferrule.operators import coverage, finding_list, summary
+from ferrule.operators import coverage, finding_list, summary, upkeep
 from ferrule.operators.assessment import assess, newest_scans, propagate
 from ferrule.sources import catalog
 
@@ -87,6 +88,53 @@ def test_chains_of_any_length(spark):
     assert {r.activation for r in propagate(items, edges).collect()} == {"automatic"}
 
 
+@pytest.fixture
+def few_rows(spark):
+    """Many plans over few rows: compiling and replanning them would take most of the time."""
+    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    had = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in had.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_kept_up_to_date(spark, few_rows):
+    """Updates in any order of hosts: contents that enter and leave component stores, names that cease to be unique, items that change their kind."""
+    rng = random.Random(2)
+    store = script(r"C:\Windows\WinSxS\p\t.vbs", "1")
+
+    def some(i):
+        out = [script(rf"C:\s{rng.randrange(3)}\x{rng.randrange(2)}.vbs", str(rng.randrange(4))) for _ in range(rng.randrange(4))]
+        out += [script(rf"\\fs\s\{rng.randrange(3)}.vbs", "9")] * rng.randrange(2) + [store] * (rng.random() < 0.2)
+        out += [task(rf"\T{rng.randrange(3)}", rng.choice([r"x0.vbs", r"%D%\x1.vbs", r"C:\s1\x0.vbs", r"\\FS\S\1.vbs", r"C:\none.vbs", None]), rng.choice(["automatic", "dormant"])) for _ in range(rng.randrange(3))]
+        # one item, of a kind that depends on who has it first
+        return out + [("VBS-201", rng.choice(["scriptInvocation", "hardcodedCredential", "shortcut"]), "breaks", "detected", None, "manual", "file", r"C:\odd.bat", None, "x0.vbs", 5, "o")] * rng.randrange(2)
+
+    scans, findings = [], []
+    for i in range(24):
+        host = f"H{rng.randrange(9)}"
+        scans.append((i, f"{i:03}.zip", f"s{i}", host, None, None, T + timedelta(hours=rng.randrange(30)), T + timedelta(hours=40), "full"))
+        findings += [(i, k, f"f{k + 1}", *f) for k, f in enumerate(some(i))]
+    columns = ["number", "origin", "machines", "occurrences", "risk", "activation", "reported_activation", "rule", "kind", "loc_path", "target", "same_as", "min_hours", "machine", "first_seen"]
+    kept, last = upkeep.Upkeep(), 0
+    for end in (16, 20, 24):
+        kept = kept.update(spark.createDataFrame(scans[last:end], SCAN), spark.createDataFrame([f for f in findings if last <= f[0] < end], FINDING))
+        last = end
+        if end == 24:
+            want, got = assess(spark.createDataFrame(scans[:end], SCAN), spark.createDataFrame([f for f in findings if f[0] < end], FINDING)), kept.assess()
+            rows = lambda a: sorted(map(tuple, a.items.select(*columns).collect()))
+            assert rows(got) == rows(want) and sorted(map(tuple, got.links.collect())) == sorted(map(tuple, want.links.collect()))
+            assert sorted(map(tuple, got.machines.select("load_idx", "detected").collect())) == sorted(map(tuple, want.machines.select("load_idx", "detected").collect()))
+            assert got.set_aside.distinct().count() == want.set_aside.count() == end - len({s[3] for s in scans[:end]})
+        if end == 20:
+            kept = kept.compact()
+    # an update writes what has changed: the layer of one machine has that machine's rows only
+    more = kept.update(spark.createDataFrame([(90, "090.zip", "s90", "NEW", None, None, T, T, "full")], SCAN), spark.createDataFrame([(90, 0, "f1", *script(r"C:\new.vbs", "n"))], FINDING))
+    assert more.occurrences.layers[-1][0].count() == more.parts.layers[-1][0].count() == more.drafts.layers[-1][0].count() == 1
+
+
 def test_only_unique_names_link(build):
     own = [script(r"C:\a\x.vbs", "1"), script(r"C:\b\x.vbs", "2"), script(r"C:\b\y.vbs", "3"), task(r"\T1", r"%Dir%\x.vbs"), task(r"\T2", r"%Dir%\y.vbs"), task(r"\T3", r"C:\b\Y.VBS")]
     a = build([("A", T, own)])
