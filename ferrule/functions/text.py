@@ -74,6 +74,17 @@ def cell(text: str, most: int = CELL_BYTES) -> str:
     return text if len(raw) <= most else raw[: most - 3].decode("utf-8", "ignore") + "…"
 
 
+def cell_column(text, most: int = CELL_BYTES) -> Column:
+    """cell() of a column."""
+    c = F.col(text) if isinstance(text, str) else text
+    raw, keep = F.encode(c, "UTF-8"), most - 3
+    # a character has up to three bytes after its first, which begin with the bits 10
+    within = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")
+    end = F.when(~within(keep), keep).when(~within(keep - 1), keep - 1).when(~within(keep - 2), keep - 2).otherwise(keep - 3)
+    cut = F.concat(F.decode(F.substring(raw, F.lit(1), end), "UTF-8"), F.lit("…"))
+    return F.when(F.octet_length(c) > most, cut).otherwise(c)
+
+
 def lines_column(text) -> Column:
     """Lines as an array, as lines() splits them."""
     parts = F.split(F.col(text) if isinstance(text, str) else text, LINE_END, -1)

@@ -72,12 +72,18 @@ def _grouped(events: DataFrame, keys: dict[str, Column], shown: dict[str, Column
     )
 
 
-def alerts(events: DataFrame) -> DataFrame:
-    """Deprecation alerts by program and process tree."""
+def alert_rows(events: DataFrame) -> DataFrame:
+    """Deprecation alerts with `key` (program and process tree, whatever their case), `program` and `process_tree`."""
     some = events.where((F.col("event_id") == ALERT_EVENT) & (ascii_lower(F.col("provider")) == ALERT_PROVIDER.lower()))
     some = alert_process(some)
     key = F.concat_ws("|", ascii_lower(F.col("process")), ascii_lower(F.coalesce("tree", F.lit(""))))
-    return _grouped(some, {"key": key}, {"program": F.col("process"), "process_tree": F.col("tree")}).withColumn("rule", F.lit("VBS-501"))
+    return some.select("load_idx", "record_id", "time", key.alias("key"), F.col("process").alias("program"), F.col("tree").alias("process_tree"))
+
+
+def alerts(events: DataFrame) -> DataFrame:
+    """Deprecation alerts by program and process tree."""
+    shown = {n: F.col(n) for n in ("program", "process_tree")}
+    return _grouped(alert_rows(events), {"key": F.col("key")}, shown).withColumn("rule", F.lit("VBS-501"))
 
 
 _USE = T.StructType([T.StructField("found", T.BooleanType()), T.StructField("script", T.StringType())])

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import catalog
+from .search_index import SearchIndex
 
 USUAL, MOST = 100, 500
 SHOWN_OCCURRENCES = 200
@@ -26,8 +27,8 @@ class Query:
     limit: int = 0
 
 
-def matching(items: DataFrame, occurrences: DataFrame, machines: DataFrame, query: Query) -> DataFrame:
-    """Items that pass the filters.  A search matches the rule, or place, target or machine of any occurrence."""
+def matching(items: DataFrame, occurrences: DataFrame, machines: DataFrame, query: Query, index: SearchIndex | None = None) -> DataFrame:
+    """Items that pass the filters.  A search matches the rule, or place, target or machine of any occurrence; through the index if there is one."""
     out = items
     if query.origin != "all":
         out = out.where(F.col("origin") == ("windows" if query.origin == "windows" else "own"))
@@ -35,7 +36,9 @@ def matching(items: DataFrame, occurrences: DataFrame, machines: DataFrame, quer
         out = out.where(F.col("risk") == query.risk)
     if query.kind:
         out = out.where(F.col("kind") == query.kind)
-    if text := (query.search or "").strip().lower():
+    if (text := (query.search or "").strip().lower()) and index is not None:
+        out = out.join(index.numbers(text), "number", "left_semi")
+    elif text:
         hosts = occurrences.join(machines.select("load_idx", "hostname"), "load_idx")
         has = [F.coalesce(F.lower(c).contains(text), F.lit(False)) for c in ("loc_path", "loc_item", "target", "hostname")]
         found = hosts.where(has[0] | has[1] | has[2] | has[3]).select("number").distinct().withColumn("_found", F.lit(True))
@@ -43,9 +46,9 @@ def matching(items: DataFrame, occurrences: DataFrame, machines: DataFrame, quer
     return out
 
 
-def page(items: DataFrame, occurrences: DataFrame, machines: DataFrame, query: Query, effort: bool = True) -> tuple[int, DataFrame]:
+def page(items: DataFrame, occurrences: DataFrame, machines: DataFrame, query: Query, effort: bool = True, index: SearchIndex | None = None) -> tuple[int, DataFrame]:
     """How many items match, and those of the page in order.  Without effort its columns are null."""
-    found = matching(items, occurrences, machines, query)
+    found = matching(items, occurrences, machines, query, index)
     total = found.count()
     limit = min(query.limit or USUAL, MOST)
     rows = found.orderBy("number").offset(min(query.offset, total)).limit(limit)

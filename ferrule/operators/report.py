@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..runtime import numbered
 from . import coverage, finding_list, summary
 from .assessment import Assessment
 
-#: Rows and bytes that a sheet and a cell take.
-MOST_ROWS, MOST_CELL = 1_048_000, 32_000
+#: Rows of a sheet.
+MOST_ROWS = 1_048_000
 
 
-def _cell(column: str):
-    return F.when(F.length(column) > MOST_CELL, F.concat(F.substring(column, 1, MOST_CELL - 1), F.lit("…"))).otherwise(F.col(column)).alias(column)
+def dealt(rows: DataFrame, number: str, most: int) -> DataFrame:
+    """rows with `sheet`, from 1: `most` rows of the total order that `number` (from 1, without gaps) gives are on each."""
+    return rows.withColumn("sheet", (F.floor((F.col(number) - 1) / most) + 1).cast("int"))
 
 
-def sheets(a: Assessment, rules: DataFrame, edition: finding_list.Edition = finding_list.ORGANIZATION, sources: DataFrame | None = None) -> dict[str, DataFrame]:
-    """A table for each sheet; that of scans set aside only if there are any."""
+def sheets(a: Assessment, rules: DataFrame, edition: finding_list.Edition = finding_list.ORGANIZATION, sources: DataFrame | None = None, most_rows: int = MOST_ROWS) -> dict[str, DataFrame]:
+    """A table for each sheet; that of scans set aside only if there are any.
+
+    Findings and locations have as many sheets as they need (column `sheet`),
+    so no row is left out; cells are cut at 32,000 bytes, between characters.
+    """
     names = summary.machine_names(a.occurrences, a.machines)
     findings = finding_list.masked(a.items, edition).join(names, "number", "left").withColumn("names", F.array_join("names", ", "))
+    findings = findings.select(*[text.cell_column(c).alias(c) if t == "string" else F.col(c) for c, t in findings.drop("item_key", "first_seen").dtypes])
+    # dealt by the whole order of the items, own ones first, so the number of a finding tells its sheet
+    places = summary.locations(a.occurrences, a.machines)
+    order = [F.col("number"), F.col("load_idx"), F.col("loc_path"), F.coalesce("loc_item", F.lit("")), F.col("pos")]
+    places = numbered(places, order, "row")
+    places = places.select(*[text.cell_column(c).alias(c) if t == "string" else F.col(c) for c, t in places.dtypes])
     out = {
         "summary": summary.summary(a.items, a.machines.count()),
-        "findings": findings.select(*[_cell(c) if t == "string" else F.col(c) for c, t in findings.drop("item_key", "first_seen").dtypes]).orderBy("number").limit(MOST_ROWS),
-        "locations": summary.locations(a.occurrences, a.machines).limit(MOST_ROWS),
+        "findings": dealt(findings, "number", most_rows).orderBy("number"),
+        "locations": dealt(places, "row", most_rows).orderBy("row"),
         "machines": summary.machine_rows(a.machines).orderBy("load_idx"),
         "rules": rules.orderBy("rule"),
     }
@@ -35,10 +48,11 @@ def sheets(a: Assessment, rules: DataFrame, edition: finding_list.Edition = find
 
 
 def write_sheets(tables: dict[str, DataFrame], folder: str) -> None:
-    """One folder of CSV a sheet; nothing that is there is written over."""
+    """One folder of CSV a sheet, those of a table with `sheet` below it; nothing that is there is written over."""
     for name, df in tables.items():
-        flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-        flat.write.mode("errorifexists").option("header", "true").csv(f"{folder}/{name}")
+        flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map", "variant")) else F.col(c) for c, t in df.dtypes])
+        writer = flat.write.mode("errorifexists").option("header", "true")
+        (writer.partitionBy("sheet") if "sheet" in flat.columns else writer).csv(f"{folder}/{name}")
 
 
 def overview(a: Assessment, edition: finding_list.Edition = finding_list.ORGANIZATION) -> DataFrame:

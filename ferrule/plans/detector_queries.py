@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import command, masking, text
+from ..functions import command, masking, script_lines, text
 from ..operators import detect
 from ..runtime import ship
 from .queries import query
@@ -82,3 +82,39 @@ def file_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"content": F.encode("content", "utf-8"), "size": F.octet_length("content").cast("long")})
     found = detect.detect_files(rows)
     return found.select("load_idx", F.col("loc_path").alias("path"), "rule", "status", F.coalesce("reason", F.lit("")).alias("reason"), "activation", F.coalesce("target", F.lit("")).alias("target"))
+
+
+# lines of an order's script, by language; block comments span items, blank and long lines are there too
+_SCRIPT_LINES = """
+select l_orderkey, l_linenumber as n, l_orderkey % 4 as lang, case l_partkey % 12 when 0 then '<# a block' when 1 then 'in block #> Run-It' when 2 then '  ' when 3 then '# only a note' when 4 then '; note'
+  when 5 then concat('REM part ', cast(l_partkey as string)) when 6 then concat('@echo  done ', cast(l_partkey as string)) when 7 then '<# one line #> x' when 8 then concat(chr(39), ' note') when 9 then concat('set o = CreateObject("a', cast(l_suppkey as string), '")')
+  else concat('  call job', cast(l_partkey as string)) end as line
+from (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as l_linenumber, l_partkey, l_suppkey from {lineitem}) x
+"""
+_LANGUAGES = ("batch", "powershell", "kixtart", "vbscript")
+_CODE = f"""
+with x as ({_SCRIPT_LINES.replace("{lineitem}", "lineitem")}),
+e as (select *, trim(line) as bare, case when lang = 1 and contains(line, '#>') then 0 when lang = 1 and starts_with(trim(line), '<#') then 1 end as event from x),
+s as (select *, coalesce(last_value(event ignore nulls) over (partition by l_orderkey order by n rows between unbounded preceding and 1 preceding), 0) as inside from e),
+code as (
+  select l_orderkey, n as number, line from s where bare <> '' and inside = 0 and case lang when 0 then not regexp_matches(lower(bare), '^@*(rem( |$)|::|echo( |$))') when 1 then not starts_with(bare, '#') and not starts_with(bare, '<#')
+    when 2 then not starts_with(bare, ';') else not starts_with(bare, chr(39)) and not regexp_matches(lower(bare), '^rem( |$)') end
+)
+"""
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.sql(_SCRIPT_LINES, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    texts = lines.groupBy("l_orderkey", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\r\n").alias("text"))  # an order has a few items
+    return texts.select("l_orderkey", F.get(F.array(*[F.lit(x) for x in _LANGUAGES]), F.col("lang").cast("int")).alias("language"), "text")
+
+
+@query(f"{_CODE} select l_orderkey, number, line from code")
+def script_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script_lines.code_lines(_scripts(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", F.col("number").cast("long").alias("number"), "line")
+
+
+@query(f"{_CODE} select l_orderkey, number, line from code qualify row_number() over (partition by l_orderkey order by contains(lower(line), 'createobject') desc, number) <= 2")
+def script_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = script_lines.code_lines(_scripts(spark, sf_dir), ["l_orderkey"])
+    return script_lines.evidence(code, ["l_orderkey"], most=2).select("l_orderkey", F.col("number").cast("long").alias("number"), "line")

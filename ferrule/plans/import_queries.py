@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import details
 from ..runtime import materialize, shared_dir, ship
 from ..sources import container, container_source, files, listing, stores
 from ..sources.import_state import ImportState
@@ -240,3 +241,38 @@ def listed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         found, _ = files.listed(spark, folder, {"vbs", "vbe"})
         rows = materialize(files.read_listed(listing.planned(found).withColumn("load_idx", F.lit(0)), most=30), "contents")
     return rows.select(F.expr(f"substring(path, {len(folder) + 2})").alias("path"), "size", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
+@query("""select concat('f', lpad(cast(o_orderkey as varchar), 9, '0'), '.zip') as file, cast(o_custkey as bigint) as calls, case when o_orderkey % 3 = 0 then concat('via "', o_custkey % 5, '" é') end as via,
+  case when o_orderkey % 4 < 2 then o_orderkey % 4 = 1 end as encoded, case o_orderkey % 3 when 0 then 'text' when 1 then 'number' end as via_kind, case when o_orderkey % 3 < 2 then 'calls,' else 'calls' end as x, from orders""".replace("case when o_orderkey % 3 < 2 then 'calls,' else 'calls' end as x, from", "array_to_string(list_filter(['calls', case when o_orderkey % 4 < 3 then 'encoded' end, case when o_orderkey % 3 < 2 then 'via' end], lambda n: n is not null), ',') as names from"))
+def container_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of one finding a file: a number that the file has twice (the last counts), a text or number, a truth value or null."""
+    raw = """select concat('f', lpad(cast(o_orderkey as string), 9, '0'), '.zip') as file, concat(chr(123), '"calls": ', o_orderkey, case when o_orderkey % 3 = 0 then concat(', "via": "via \\\\"', o_custkey % 5, '\\\\" é"') when o_orderkey % 3 = 1 then ', "via": 7' else '' end,
+      case o_orderkey % 4 when 0 then ', "encoded": false' when 1 then ', "encoded": true' when 2 then ', "encoded": 1' else '' end, ', "calls": ', o_custkey, chr(125)) as details, o_orderkey, cast(o_orderdate as string) as day from {orders}"""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                finding = {"id": "f1", "rule": "VBS-101", "kind": "scriptFile", "classification": "breaks", "status": "detected", "activation": "dormant", "location": {"type": "file", "path": "C:\\a.vbs"}, "details": "DETAILS"}
+                scan = {
+                    "format": container.WRITTEN_TYPE, "schemaVersion": 1, "scanId": f"00000000-0000-4000-8000-{r.o_orderkey:012}", "startedAt": f"{r.day[:10]}T08:00:00Z", "finishedAt": f"{r.day[:10]}T08:05:00Z",
+                    "generator": {"product": "p", "component": "c", "version": "1", "rulesAsOf": "2026-01-01", "platform": "windows"}, "machine": {"hostname": "h", "os": {"family": "windows"}},
+                    "scope": {"localDrives": True, "systemSources": True}, "coverage": {"mode": "full", "elevated": True}, "findings": [finding],
+                }
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr(container.MIMETYPE, container.WRITTEN_TYPE)
+                    z.writestr(container.RESULT, json.dumps(scan).replace('"DETAILS"', r.details))
+                rows.append((r.file, out.getvalue()))
+            yield pd.DataFrame(rows, columns=["file", "content"])
+
+    ship(spark)
+    made = spark.sql(raw, orders=_orders(spark, sf_dir)).mapInPandas(run, "file string, content binary")
+    rows = materialize(container.read_contents(made), "scans")
+    loaded = container.load_order(container.imported(rows))
+    found = container.tables(loaded, rows)["findings"].join(loaded.select("load_idx", "file"), "load_idx")
+    return found.select(
+        "file", details.number("details", "calls").alias("calls"), details.text("details", "via").alias("via"), details.flag("details", "encoded").alias("encoded"), details.kind("details", "via").alias("via_kind"),
+        F.array_join(details.names("details"), ",").alias("names"),
+    )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
-from ..operators import assessment, coverage, finding_list, summary, upkeep
+from ..functions import messages, paths
+from ..operators import assessment, coverage, finding_list, report, search_index, summary, upkeep
 from ..sources import catalog
 from . import fleet
 from .oracles import norm, over
@@ -143,10 +144,24 @@ _FOUND = """select number from items where origin = 'own' and risk = 'high' and
 @query(over(f"select number, risk, rule, kind, origin, machines, hostname as first_machine, i.loc_path, i.min_hours from items i join chosen c on i.machine = c.load_idx where number in ({_FOUND} order by number limit 50 offset 10)"))
 def finding_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assessed(spark, sf_dir)
-    _, rows = finding_list.page(a.items, a.occurrences, a.machines, finding_list.Query(risk="high", search="JOB1", offset=10, limit=50))
+    _, rows = finding_list.page(a.items, a.occurrences, a.machines, finding_list.Query(risk="high", search="JOB1", offset=10, limit=50), index=search_index.build(a))
     return rows.select("number", "risk", "rule", "kind", "origin", "machines", "first_machine", "loc_path", "min_hours")
 
 
+_TERMS = ("host-12", "c", "netlogon", "vbs-3", "\\\\fs01", " Nightly ", "absent")
+_MATCH = " or ".join(f"contains(lower(coalesce({c}, '')), trim(lower(s)))" for c in ("x.loc_path", "x.loc_item", "x.target", "c.hostname", "x.rule"))
+
+
+@query(over(f"""select s as search, number from (values {', '.join(f"('{t}')" for t in _TERMS)}) terms(s), items i where item_key in (
+  select x.item_key from o x join chosen c on x.load_idx = c.load_idx where {_MATCH})"""))
+def finding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items that each of some searches finds, through the index."""
+    a = assessed(spark, sf_dir)
+    index = search_index.build(a)
+    found = [index.numbers(t).select(F.lit(t).alias("search"), "number") for t in _TERMS]
+    return functools.reduce(DataFrame.union, found)
+
+
 @query(over("select number, risk, machines, loc_path from items where origin = 'windows' and kind = 'scriptFile'"))
 def finding_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assessed(spark, sf_dir)
@@ -230,3 +245,30 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hours_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return rows.select("l_orderkey", "l_linenumber", "l_quantity", summary.format_hours(F.col("l_quantity") * 0.375).alias("hours"))
+
+
+_SHEET = "cast((n - 1) // 1000 + 1 as integer) as sheet"
+
+
+@query(over(f"select number, host as hostname, loc_path, n as row, {_SHEET} from (select number, c.hostname as host, o.loc_path, row_number() over (order by number, o.load_idx, o.loc_path, coalesce(o.loc_item, ''), o.pos) as n from o join items using (item_key) join chosen c on o.load_idx = c.load_idx)"))
+def location_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every location on its sheet, a thousand rows each."""
+    a = assessed(spark, sf_dir)
+    return report.sheets(a, catalog.rules(spark), most_rows=1000)["locations"].select("number", "hostname", "loc_path", "row", "sheet")
+
+
+_LOCALES = ("en_US.UTF-8", "de-AT", "fr_CA@euro", "pl", "PL_pl", "pt-PT", "ja-JP", "", "DE")
+_LANG = "case l when 0 then 'en' when 1 then 'de' when 2 then 'fr' when 3 then 'pl' when 4 then 'pl' when 5 then 'pt-BR' when 8 then 'de' else 'en' end"
+
+
+@query(f"""select o_orderkey, lang, case lang when 'de' then concat(n, ' Rechner') when 'fr' then concat(n, case when n <= 1 then ' machine' else ' machines' end)
+    when 'pl' then concat(n, case when n = 1 then ' maszyna' when n % 10 between 2 and 4 and n % 100 not between 12 and 14 then ' maszyny' else ' maszyn' end)
+    else concat(n, case when n = 1 then ' machine' else ' machines' end) end as machines,
+  concat(n, case when lang = 'de' then case when n = 1 then ' Fund auf ' else ' Funde auf ' end else case when n = 1 then ' finding on ' else ' findings on ' end end, host) as findings
+  from (select o_orderkey, o_custkey % 131 as n, {_LANG} as lang, concat(chr(123), 'n', chr(125), ' H', o_custkey) as host from (select *, o_orderkey % 9 as l from orders))""")
+def messages_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in the languages of locales; values that look like placeholders stay as they are."""
+    locales = F.array(*[F.lit(x) for x in _LOCALES])
+    n = F.col("o_custkey") % 131
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", n.alias("n"), messages.negotiate(F.get(locales, (F.col("o_orderkey") % 9).cast("int"))).alias("lang"), F.concat(F.lit("{n} H"), F.col("o_custkey").cast("string")).alias("host"))
+    return rows.select("o_orderkey", "lang", messages.REPORT.counted("lang", F.lit("machines"), "n").alias("machines"), messages.REPORT.counted("lang", F.lit("findings"), "n", host=F.col("host")).alias("findings"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import masking, text
+from ..functions import details, masking, text
 from ..operators import assessment
 from ..runtime import materialize, numbered, ship
 from . import catalog, listing
@@ -145,12 +145,12 @@ def check_structure(scan: dict) -> None:
             raise FormatError("invalid", f"finding {name}: rule {f['rule']!r}")
         if (f["status"] == "notCheckable") != (f.get("reason") is not None):
             raise FormatError("invalid", f"finding {name}: a reason belongs to what can't be checked, and only to that")
-        details, evidence = f.get("details") or {}, f.get("evidence", [])
-        for value in details.values():
+        more, evidence = f.get("details") or {}, f.get("evidence", [])
+        for value in more.values():
             if not isinstance(value, (str, bool, int)):
                 raise FormatError("invalid", f"finding {name}: details")
-        texts = [f["location"]["path"], f["location"].get("item") or "", f.get("target") or "", *details, *[v for v in details.values() if isinstance(v, str)]]
-        if any(len(t) > text.TEXT_CHARS for t in texts) or len(details) > text.DETAILS:
+        texts = [f["location"]["path"], f["location"].get("item") or "", f.get("target") or "", *more, *[v for v in more.values() if isinstance(v, str)]]
+        if any(len(t) > text.TEXT_CHARS for t in texts) or len(more) > text.DETAILS:
             raise FormatError("limitExceeded", f"finding {name}: texts or details")
         if len(evidence) > text.EVIDENCE_LINES_READ or any(len(e["text"]) > text.EVIDENCE_CHARS_READ for e in evidence):
             raise FormatError("limitExceeded", f"finding {name}: evidence")
@@ -259,8 +259,8 @@ def rows_of(path: str, content: bytes, media_type: str = MEDIA_TYPE) -> Iterator
     yield _times(scan, "startedAt", "finishedAt") | {"file": path, "part": "scan", "unknown_values": unknown_values(scan), "n_findings": len(found)}
     for i, f in enumerate(found):
         file = f.get("file")
-        details = json.dumps(f.get("details") or {}, ensure_ascii=False, sort_keys=True)
-        yield {"file": path, "part": "finding", "pos": i, "finding": f | {"file": file and _times(file, "modifiedAt"), "details": details}}
+        more = json.dumps(f.get("details") or {}, ensure_ascii=False, sort_keys=True)
+        yield {"file": path, "part": "finding", "pos": i, "finding": f | {"file": file and _times(file, "modifiedAt"), "details": more}}
     for i, x in enumerate(coverage.get("sources", [])):
         yield {"file": path, "part": "source", "pos": i, "source": x | {"timeRange": x.get("timeRange") and _times(x["timeRange"], "from", "to")}}
     for i, x in enumerate(coverage.get("limitations", [])):
@@ -376,7 +376,7 @@ def tables(loaded: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     findings = part(
         f, "pos", F.col(f"{f}.id").alias("finding_id"), f"{f}.rule", f"{f}.kind", f"{f}.classification", f"{f}.status", f"{f}.reason", f"{f}.activation",
         F.col(f"{f}.location.type").alias("loc_kind"), F.col(f"{f}.location.path").alias("loc_path"), F.col(f"{f}.location.item").alias("loc_item"), f"{f}.target",
-        F.col(f"{f}.file.size").alias("file_size"), F.col(f"{f}.file.sha256").alias("sha256"), F.col(f"{f}.evidence").alias("evidence"), F.col(f"{f}.details").alias("details"),
+        F.col(f"{f}.file.size").alias("file_size"), F.col(f"{f}.file.sha256").alias("sha256"), F.col(f"{f}.evidence").alias("evidence"), details.parsed(f"{f}.details").alias("details"),
     )
     sources = part(
         "source", "source.source", "source.status", "source.reason", *[F.coalesce(f"source.{c}", F.lit(0)).alias(c) for c in ("entries", "inspected", "errors", "skipped")],

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from ferrule.operators import coverage, finding_list, summary, upkeep
+from ferrule.operators import coverage, finding_list, report, search_index, summary, upkeep
 from ferrule.operators.assessment import assess, newest_scans, propagate
 from ferrule.sources import catalog
 
@@ -231,3 +231,27 @@ def test_catalog():
         bad["rules"][0] |= change
         with pytest.raises(ValueError):
             catalog.parse(json.dumps(bad))
+
+
+def test_search_through_the_index(spark, build):
+    """Same rows as a search through all occurrences, for long and short texts, blanks, cases and characters beyond ASCII."""
+    a = build([
+        ("PC-Äpfel", T, [script(r"C:\Jobs\straße.vbs", "1"), task(r"\Nightly", r"C:\Jobs\straße.vbs")]),
+        ("srv-2", T, [script(r"C:\jobs\JOB1.vbs", "2"), finding("VBS-601", "macro", "file", r"D:\a.xlsm", item="Module One")]),
+    ])
+    index = search_index.build(a)
+    for text in ("job", "JOBS\\", "äpfel", "straße", "vbs-3", "module one", "x", "pc", "aaa", "job1.vbs ", "s.v", "e.vb"):
+        rows = [sorted(r.number for r in finding_list.matching(a.items, a.occurrences, a.machines, finding_list.Query(search=text), i).collect()) for i in (None, index)]
+        assert rows[0] == rows[1], text
+    total, page = finding_list.page(a.items, a.occurrences, a.machines, finding_list.Query(search="srv"), index=index)
+    assert total == 2 and page.count() == 2
+    assert "gram" in index.text_postings.columns and index.text_postings.where("gram = 'job'").count() == 3
+
+
+def test_sheets_lose_no_row(spark, build, tmp_path):
+    a = build([("A", T, [script(rf"C:\{i}.vbs", str(i)) for i in range(7)])])
+    tables = report.sheets(a, catalog.rules(spark), most_rows=3)
+    assert sorted((r.number, r.sheet) for r in tables["findings"].collect()) == [(i + 1, i // 3 + 1) for i in range(7)]
+    report.write_sheets(tables, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "locations").glob("sheet=*")) == ["sheet=1", "sheet=2", "sheet=3"]
+    assert spark.read.option("header", "true").csv(str(tmp_path / "locations")).count() == 7

@@ -211,6 +211,33 @@ def test_streamed_alerts_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select * from alerts_now").select(*key).collect())) == sorted(map(tuple, event_logs.alerts(batch).select(*key).collect()))
 
 
+def test_newest_groups_however_the_stream_is_cut():
+    """The kept records after any order, with repeats, are the newest ones; each change of a group is told."""
+    import random
+
+    import pandas as pd
+
+    from ferrule.streaming import event_state
+
+    rng = random.Random(6)
+    records = pd.DataFrame([(i, pd.Timestamp(2026, 1, 1) + pd.Timedelta(hours=rng.randrange(40)), rng.choice("abc"), f"P{i}", None) for i in range(60)], columns=event_state.COLUMNS)
+    want = records.sort_values(["time", "record_id"]).tail(9)
+    for _ in range(20):
+        order = [rng.randrange(60) for _ in range(30)] + rng.sample(range(60), 60)
+        processor, kept, known = event_state.NewestGroups(9), pd.DataFrame(columns=event_state.COLUMNS), {}
+        while order:
+            n = rng.randrange(1, 25)
+            had, kept = kept, event_state.merged(kept, records.iloc[order[:n]], 9).reset_index(drop=True)
+            order = order[n:]
+            for r in processor._changed(1, had, kept).itertuples():
+                known[r.key] = (r.events, r.first_seen, r.last_seen, r.program)
+        assert sorted(kept["record_id"]) == sorted(want["record_id"])
+        span = known.pop(None)
+        assert span[0] == 9 and (span[1], span[2]) == (want["time"].min(), want["time"].max())
+        groups = {k: (len(g), g["time"].min(), g["time"].max(), g["program"].iloc[-1]) for k, g in want.groupby("key")}
+        assert {k: v for k, v in known.items() if v[0]} == groups
+
+
 def test_source_status_and_limits(spark):
     rows = spark.createDataFrame(
         [(True, None, 0, False, True), (False, "skipped", 1, False, True), (False, None, 1, False, True), (False, None, 0, True, False), (False, None, 0, True, True)],

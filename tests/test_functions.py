@@ -1,10 +1,13 @@
 import base64
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from ferrule.functions import command, masking, paths, text
+from ferrule.functions import command, details, masking, messages, paths, script_lines, text
+from ferrule.functions import script as script_module
 
 
 def restated(path: str) -> str:
@@ -171,3 +174,55 @@ def test_rank(spark):
 
     got = spark.createDataFrame([("automatic",), ("dormant",), ("later",), (None,)], "a string").select(rank("a")).collect()
     assert [r[0] for r in got] == [6, 1, 3, 3]
+
+
+def test_script_lines_agree_with_those_of_one_text(spark):
+    """Block comments that open, close, nest and never end, in every language, over random scripts."""
+    rng = random.Random(4)
+    parts = ["<# open", "x <# not at the start", "close #> y", "<# both #> z", "  <#", "#>", "# note", "; note", "REM note", "rem", "remark", "@echo off", "echo.", "echo/x", ":: note", "' note", "", " \t ", "set o = CreateObject(\"x\")", "WScript.Echo 1", "copy a b", "　# wide", "x.Run \"y\""]
+    rows = []
+    for i in range(120):
+        text_ = "".join(rng.choice(parts) + rng.choice(["\n", "\r\n", "\r", "\n\n"]) for _ in range(rng.randrange(14)))
+        rows.append((i, rng.choice(list(script_module.LANGUAGES.values()) + ["vbscript"]), rng.choice([text_, text_ + "last line"])))
+    rows += [(900, "batch", None), (901, "powershell", "<#"), (902, "other", "x")]
+    files = spark.createDataFrame(rows, "i int, language string, text string")
+    got, shown = {}, {}
+    code = script_lines.code_lines(files, ["i"])
+    for r in code.collect():
+        got.setdefault(r.i, []).append((r.number, r.line))
+    for r in script_lines.evidence(code, ["i"], 3).collect():
+        shown.setdefault(r.i, []).append((r.number, r.line))
+    for i, language, t in rows:
+        want = script_module.code_lines(t or "", language) if language != "other" else []
+        assert sorted(got.get(i, [])) == want
+        assert sorted(shown.get(i, [])) == script_module.evidence(want, 3)
+
+
+def test_cells_are_cut_between_characters(spark):
+    rows = [(lead + c * 40,) for c in ("a", "é", "中", "\U0001f600") for lead in ("", "x", "xx", "xxx")] + [("short",), (None,), ("",)]
+    got = spark.createDataFrame(rows, "s string").select("s", text.cell_column("s", 50).alias("cut")).collect()
+    assert all(r.cut == (None if r.s is None else text.cell(r.s, 50)) and len((r.cut or "").encode()) <= 50 for r in got)
+
+
+def test_messages(spark):
+    locales = {"de-AT": "de", "de_DE.UTF-8": "de", "pt-PT": "pt-BR", "pt_br": "pt-BR", "fr-CA@euro": "fr", "ja-JP": "en", "": "en", None: "en", "DE": "de", "deutsch": "en"}
+    got = spark.createDataFrame([(x,) for x in locales], "x string").select("x", messages.negotiate("x").alias("lang")).collect()
+    assert {r.x: r.lang for r in got} == locales
+    forms = spark.range(140).select("id", *[messages.plural(F.lit(x), "id").alias(x.replace("-", "")) for x in ("pl", "fr", "en", "ptBR", "pt-BR")]).collect()
+    assert [forms[n].pl for n in (0, 1, 2, 4, 5, 12, 14, 21, 22, 25, 112, 122)] == ["many", "one", "few", "few", "many", "many", "many", "many", "few", "many", "many", "few"]
+    assert (forms[0].fr, forms[1].fr, forms[2].fr, forms[0].en, forms[1].en) == ("one", "one", "other", "other", "one")
+    rows = spark.createDataFrame([("{a} {b} {} {x-y} {a}{", 1, "{b}"), (None, 2, None)], "t string, a int, c string")
+    assert [r[0] for r in rows.select(messages.filled("t", {"a": F.col("a"), "c": F.col("c")})).collect()] == ["1 {b} {} {x-y} 1{", None]
+    own = messages.Messages({"en": {"k": "all {v}", "n.other": "{n} things"}, "de": {"k": "alle {v}"}})
+    rows = spark.createDataFrame([("de", "k"), ("fr", "k"), ("de", "none")], "lang string, key string")
+    assert [r[0] for r in rows.select(own.text("lang", "key", v=F.lit("{k}"))).collect()] == ["alle {k}", "all {k}", "none"]
+    assert [r[0] for r in rows.select(own.counted("lang", F.lit("n"), F.lit(1))).collect()] == ["1 things"] * 3
+
+
+def test_details_keep_their_types(spark):
+    rows = ['{"n": 5, "s": "5", "b": true, "z": null, "it\'s": "q"}', "{}", "no json", None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").withColumn("d", details.parsed("x"))
+    typed = [f("d", k).alias(f"{k}_{f.__name__}") for k in ("n", "s", "b", "z") for f in (details.number, details.text, details.flag)]
+    got = d.select("i", *typed, details.text("d", "it's").alias("q"), details.names("d").alias("names"), details.kind("d", "z").alias("kind")).orderBy("i").collect()
+    assert {k: v for k, v in got[0].asDict().items() if v is not None} == {"i": 0, "n_number": 5, "s_text": "5", "b_flag": True, "q": "q", "names": ["b", "it's", "n", "s", "z"]}
+    assert [r.names for r in got[1:]] == [[], None, None] and d.select(details.shown("d")).first()[0].startswith("{")
