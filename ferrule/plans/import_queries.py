@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import details
-from ..runtime import materialize, shared_dir, ship
+from ..runtime import materialize, session_dir, ship
 from ..sources import container, container_source, files, listing, stores
 from ..sources.import_state import ImportState
 from .queries import query
@@ -35,7 +35,7 @@ from {{orders}}
 @contextmanager
 def shared_folder(spark: SparkSession) -> Iterator[str]:
     """A new folder that the executors share, gone afterwards: what is read of it has to be written by then."""
-    where = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+    where = f"{session_dir(spark)}/files-{uuid.uuid4().hex[:12]}"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)

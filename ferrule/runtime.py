@@ -27,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, which is removed when the application ends."""
+    sc = spark.sparkContext
+    where = getattr(sc, "_ferrule_dir", None)
+    if where is None:
+        where = f"{shared_dir(spark).rstrip('/')}/ferrule-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._ferrule_dir = where
+    return where
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python once a session, for operators that parse text or binary formats."""
     sc = spark.sparkContext
@@ -43,8 +57,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
-    where = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing.
+
+    Tables last as long as the application, as what is returned is read later.
+    """
+    where = f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
