@@ -7,30 +7,16 @@ its running tasks.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import session_dir, ship
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set and all runs on this machine (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = kept.get() if kept.isDefined() else None
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="ferrule-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+__all__ = ["Scratch", "ascii_lower", "documents", "shards_for", "ship", "small_batches", "spread_join", "table"]
 
 
 def _path(spark: SparkSession, where: str):
@@ -39,10 +25,10 @@ def _path(spark: SparkSession, where: str):
 
 
 class Scratch:
-    """Tables of one run.  drop() removes one that is no longer read."""
+    """Tables of one run.  drop() removes one that is no longer read; what a result may still read goes with the application."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, f"{session_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         where = f"{self.base}/{name}"
@@ -56,21 +42,6 @@ class Scratch:
         fs.delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once a session."""
-    sc = spark.sparkContext
-    if getattr(sc, "_ferrule_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    if package.is_dir():
-        name = Path(tempfile.mkdtemp(prefix="ferrule-")) / "ferrule_code.zip"
-        with zipfile.ZipFile(name, "w") as z:
-            for file in sorted(package.rglob("*.py")):
-                z.write(file, os.path.join(package.name, file.relative_to(package)))
-        sc.addPyFile(str(name))
-    sc._ferrule_shipped = True
-
-
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
     """Arrow batches of about `size` bytes for the actions within; the session's own limit holds again afterwards.
