@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import command, markup, masking, paths, script, text
-from ..runtime import ship
+from ..runtime import materialize, ship
 from ..sources import catalog
 
 SCHEMA = (
@@ -346,6 +346,8 @@ def detect_tasks(files: DataFrame, scripts: DataFrame | None = None, variables:
     problem = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.length("content") > MOST_TASK, F.lit("tooLarge"))
     some = files.select("load_idx", "path", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
     found = some.mapInPandas(actions, "load_idx long, loc_path string, loc_item string, activation string, line string, analysed string, folder string, details string, reason string")
+    if scripts is not None:
+        found = materialize(found, "actions")  # read twice from here on, parsed once
     rules = {"loc_kind": F.lit("scheduledTask"), "breaks": F.lit("VBS-301"), "review": F.lit("VBS-302"), "source": F.lit("tasks")}
     return _report(found.withColumns(rules), scripts, variables)
 

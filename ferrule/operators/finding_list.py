@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,12 +58,21 @@ def page(items: DataFrame, occurrences: DataFrame, machines: DataFrame, query: Q
     return total, first.select("number", "risk", "classification", "status", "reason", "rule", "kind", "activation", "origin", "machines", "first_machine", "loc_path", "loc_item", "target", "min_hours", "max_hours").orderBy("number")
 
 
+def effort_note() -> Column:
+    """What an item's effort includes: windows, same_as, size_factor, typical_script, counted_once (on all of its machines)."""
+    hours = F.col("effort_kind") == "hours"
+    return F.struct(
+        (F.col("effort_kind") == "windows").alias("windows"), F.when(F.col("effort_kind") == "sameAs", F.col("same_as")).alias("same_as"), F.when(hours, F.col("size_factor")).otherwise(1).alias("size_factor"),
+        (hours & F.col("typical_script")).alias("typical_script"), (hours & (F.col("machines") > 1)).alias("counted_once"),
+    )
+
+
 def detail(items: DataFrame, occurrences: DataFrame, machines: DataFrame, links: DataFrame, number: int) -> dict[str, DataFrame]:
     """The item, its first occurrences and how many there are, what it starts and what starts it, and what is published about its rule."""
     own = occurrences.where(F.col("number") == number).join(machines.select("load_idx", "hostname"), "load_idx")
     at = F.row_number().over(W.partitionBy("number").orderBy("load_idx", "loc_path", F.col("loc_item").asc_nulls_first(), "pos"))
     return {
-        "item": items.where(F.col("number") == number),
+        "item": items.where(F.col("number") == number).withColumn("effort_note", effort_note()),
         "occurrences": own.withColumn("at", at).where(F.col("at") <= SHOWN_OCCURRENCES).select("at", "hostname", "loc_kind", "loc_path", "loc_item", "target", "activation"),
         "more": own.agg(F.greatest(F.count("*") - SHOWN_OCCURRENCES, F.lit(0)).alias("more")),
         "starts": links.where(F.col("starter") == number).select("script").orderBy("script"),

@@ -61,6 +61,7 @@ def called_files(spark: SparkSession, sf_dir: str) -> DataFrame:
   from orders) where denied or kind in (0, 1, 3, 4, 5)""")
 def task_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _run(spark, sf_dir, TASKS).withColumn("content", F.encode("content", "utf-8"))
+    tasks = tasks.repartition(4 * spark.sparkContext.defaultParallelism)  # definitions take far longer to read than orders
     return _shown(detect.detect_tasks(tasks, called_files(spark, sf_dir)))
 
 

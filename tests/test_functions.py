@@ -226,3 +226,11 @@ def test_details_keep_their_types(spark):
     got = d.select("i", *typed, details.text("d", "it's").alias("q"), details.names("d").alias("names"), details.kind("d", "z").alias("kind")).orderBy("i").collect()
     assert {k: v for k, v in got[0].asDict().items() if v is not None} == {"i": 0, "n_number": 5, "s_text": "5", "b_flag": True, "q": "q", "names": ["b", "it's", "n", "s", "z"]}
     assert [r.names for r in got[1:]] == [[], None, None] and d.select(details.shown("d")).first()[0].startswith("{")
+
+
+def test_modules_name_rules_of_the_catalog():
+    from ferrule.sources import catalog
+
+    known = {r[0] for r in catalog.RULES}
+    assert len({m[0] for m in catalog.MODULES}) == len(catalog.MODULES)
+    assert {x for m in catalog.MODULES for x in (*m[2], m[3], catalog.CREDENTIAL_RULE)} <= known

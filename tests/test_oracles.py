@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+import ferrule.plans.coverage_queries
 import ferrule.plans.detector_queries
 import ferrule.plans.event_queries
 import ferrule.plans.import_queries
