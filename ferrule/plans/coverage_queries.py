@@ -120,7 +120,7 @@ def effort_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.withColumn("same_as", F.coalesce("same_as", F.lit(0)))
 
 
-_MODULES = ", ".join(f"('{name}', '{rule}', {str(admin).lower()})" for name, _, own, fallback, admin in catalog.MODULES for rule in (*own, catalog.CREDENTIAL_RULE, fallback))
+_MODULES = ", ".join(f"('{name}', '{rule}', {str(admin).lower()})" for name, _, own, fallback, admin in catalog.MODULES for rule in (*own, fallback))
 
 
 @query(fleet.plain(f"select module, count(*) as findings, count(distinct load_idx) as scans, bool_or(needs_admin) as needs_admin from ({fleet.FINDINGS}) f join (values {_MODULES}) m(module, rule, needs_admin) on f.rule = m.rule group by module"))

@@ -114,23 +114,22 @@ RULE_SOURCES = {
     "VBS-901": ("mitre-cwe-798",),
 }
 # Kinds in the order of reports, activations from the weakest, other closed vocabularies.
-# Modules with their id, the source of their system part, the rules that they report besides
-# that of credentials, the rule for what they can't check, and whether a whole result needs administrator rights.
+# Modules with their id, the source of their system part, the rules that they report report,
+# the rule for what they can't check, and whether a whole result needs administrator rights.
 MODULES = [
-    ("script-file", None, ("VBS-101", "VBS-102", "VBS-103", "VBS-104", "VBS-105"), "VBS-100", False),
-    ("script-invocation", None, ("VBS-201", "VBS-202"), "VBS-200", False),
-    ("shortcut", None, ("VBS-211", "VBS-212"), "VBS-200", False),
-    ("scheduled-task", "tasks.scheduled", ("VBS-301", "VBS-302"), "VBS-300", True),
-    ("autostart", "autostart.entries", ("VBS-311", "VBS-312"), "VBS-300", True),
-    ("service", "services.configuration", ("VBS-321", "VBS-322"), "VBS-300", False),
-    ("wmi-subscription", "wmi.subscriptions", ("VBS-331", "VBS-332"), "VBS-300", True),
-    ("logon-script", "policies.scripts", ("VBS-341", "VBS-342"), "VBS-300", False),
+    ("script-file", None, ("VBS-101", "VBS-102", "VBS-103", "VBS-104", "VBS-105", "VBS-901"), "VBS-100", False),
+    ("script-invocation", None, ("VBS-201", "VBS-202", "VBS-901"), "VBS-200", False),
+    ("shortcut", None, ("VBS-211", "VBS-212", "VBS-901"), "VBS-200", False),
+    ("scheduled-task", "tasks.scheduled", ("VBS-301", "VBS-302", "VBS-901"), "VBS-300", True),
+    ("autostart", "autostart.entries", ("VBS-311", "VBS-312", "VBS-901"), "VBS-300", True),
+    ("service", "services.configuration", ("VBS-321", "VBS-322", "VBS-901"), "VBS-300", False),
+    ("wmi-subscription", "wmi.subscriptions", ("VBS-331", "VBS-332", "VBS-901"), "VBS-300", True),
+    ("logon-script", "policies.scripts", ("VBS-341", "VBS-342", "VBS-901"), "VBS-300", False),
     ("event-log-deprecation-alert", "eventLog.vbscriptDeprecation", ("VBS-501",), "VBS-500", False),
-    ("event-log-sysmon", "eventLog.sysmon", ("VBS-502", "VBS-503"), "VBS-500", True),
-    ("msi-custom-action", "installer.packages", ("VBS-401", "VBS-402"), "VBS-400", True),
-    ("office-macro", None, ("VBS-601", "VBS-611", "VBS-612", "VBS-621", "VBS-622", "VBS-632"), "VBS-600", False),
+    ("event-log-sysmon", "eventLog.sysmon", ("VBS-502", "VBS-503", "VBS-901"), "VBS-500", True),
+    ("msi-custom-action", "installer.packages", ("VBS-401", "VBS-402", "VBS-901"), "VBS-400", True),
+    ("office-macro", None, ("VBS-601", "VBS-611", "VBS-612", "VBS-621", "VBS-622", "VBS-632", "VBS-901"), "VBS-600", False),
 ]
-CREDENTIAL_RULE = "VBS-901"
 
 KINDS = (
     "scriptFile", "scriptInvocation", "shortcut", "scheduledTask", "autostart", "service",
@@ -201,7 +200,7 @@ def parse(text: str) -> list[tuple]:
 
 def modules(spark: SparkSession) -> DataFrame:
     """A row a module: module, system_source, rules, fallback_rule, needs_admin."""
-    rows = [(name, source, [*own, CREDENTIAL_RULE], fallback, admin) for name, source, own, fallback, admin in MODULES]
+    rows = [(name, source, list(own), fallback, admin) for name, source, own, fallback, admin in MODULES]
     return spark.createDataFrame(rows, "module string, system_source string, rules array<string>, fallback_rule string, needs_admin boolean")
 
 

@@ -233,4 +233,4 @@ def test_modules_name_rules_of_the_catalog():
 
     known = {r[0] for r in catalog.RULES}
     assert len({m[0] for m in catalog.MODULES}) == len(catalog.MODULES)
-    assert {x for m in catalog.MODULES for x in (*m[2], m[3], catalog.CREDENTIAL_RULE)} <= known
+    assert {x for m in catalog.MODULES for x in (*m[2], m[3])} <= known
