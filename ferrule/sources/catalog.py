@@ -114,7 +114,7 @@ RULE_SOURCES = {
     "VBS-901": ("mitre-cwe-798",),
 }
 # Kinds in the order of reports, activations from the weakest, other closed vocabularies.
-# Modules with their id, the source of their system part, the rules that they report report,
+# Modules with their id, the source of their system part, the rules that they report,
 # the rule for what they can't check, and whether a whole result needs administrator rights.
 MODULES = [
     ("script-file", None, ("VBS-101", "VBS-102", "VBS-103", "VBS-104", "VBS-105", "VBS-901"), "VBS-100", False),
