@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, ascii_lower, shards_for
+from .store import Scratch, ascii_lower, shards_for, spread_join
 
 VERIFIED = ["text_sha256", "n_bytes", "check"]
 
@@ -62,13 +62,14 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", run_rows: int = 100
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    entries = scratch.keep(_entries(docs), "entries")
+    entries = scratch.keep(_entries(docs).withColumn("_row", F.monotonically_increasing_id()), "entries")
     depth = (shards_for(entries.count(), run_rows, 64) - 1).bit_length()
     runs = entries.select(F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(1 << depth)).cast("int").alias("run"), *VERIFIED, F.col("doc_id").alias("keep_id"))
     runs = _merge(runs, keep, F.count("*"))
     for low in range(0, depth, fan):
         runs = _round(runs, low, min(fan, depth - low), keep)
-    return entries.join(runs.drop("run"), VERIFIED).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # the commonest text has a large share of the rows
+    return spread_join(entries, runs.drop("run"), VERIFIED, ["doc_id", "_row"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, *, keep: str = "smallest", run_rows: int = 100_000, fan: int = 3) -> DataFrame:

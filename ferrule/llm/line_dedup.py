@@ -101,8 +101,8 @@ def drop_boilerplate(pages: DataFrame, *, ratio: float = 0.3) -> DataFrame:
     parsed = scratch.keep(parsed.withColumn("keys", F.transform("lines", _key)), "parsed")
     total = parsed.groupBy("host").agg(F.count("*").alias("pages"))
     each = parsed.select("host", F.explode(F.transform(F.array_distinct("lines"), _key)).alias("key"))
-    count = each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
-    boiler = count.join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("boiler"))
+    count = scratch.keep(each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1"), "count")
+    boiler = spread_join(count, total, ["host"], ["key"]).where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("boiler"))
     found = spread_join(parsed, scratch.keep(boiler, "boiler"), ["host"], ["_row"], "left").select("page_id", "host", "lines", "keys", F.coalesce("boiler", F.array().cast(KEY)).alias("boiler"))
     return found.mapInArrow(_drop, f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, n_lines long, n_dropped long, text string")
 
