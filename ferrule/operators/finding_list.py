@@ -76,7 +76,7 @@ def detail(items: DataFrame, occurrences: DataFrame, machines: DataFrame, links:
         "occurrences": own.withColumn("at", at).where(F.col("at") <= SHOWN_OCCURRENCES).select("at", "hostname", "loc_kind", "loc_path", "loc_item", "target", "activation"),
         "more": own.agg(F.greatest(F.count("*") - SHOWN_OCCURRENCES, F.lit(0)).alias("more")),
         "starts": links.where(F.col("starter") == number).select("script").orderBy("script"),
-        "sources": items.where(F.col("number") == number).join(F.broadcast(catalog.rule_sources(items.sparkSession)), "rule").select("place", "publisher", "title", "url", "checked").orderBy("place"),
+        "sources": items.where(F.col("number") == number).join(F.broadcast(catalog.rule_sources(items.sparkSession)), "rule").select("place", "publisher", "title", "url", "checked", "published").orderBy("place"),
         "started_by": links.where(F.col("script") == number).select("starter").orderBy("starter"),
     }
 

@@ -129,3 +129,14 @@ def findings_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = catalog.module_rules(spark).join(catalog.modules(spark).select("module", "needs_admin"), "module")
     found = fleet.findings(spark, sf_dir).select("load_idx", "rule").join(F.broadcast(rules), "rule")  # rows of the catalog
     return found.groupBy("module").agg(F.count("*").alias("findings"), F.count_distinct("load_idx").alias("scans"), F.bool_or("needs_admin").alias("needs_admin"))
+
+
+_PUBLISHED = ", ".join(f"('{rule}', '{catalog.PUBLISHED.get(name, '')}')" for rule, names in catalog.RULE_SOURCES.items() for name in names)
+
+
+@query(over(f"select number, count(*) as sources, max(published) as newest from items i join (values {_PUBLISHED}) p(rule, published) on i.rule = p.rule group by number"))
+def finding_source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sources speak of each item's rule, and when the newest dated one was published."""
+    sources = catalog.rule_sources(spark)
+    found = assessed(spark, sf_dir).items.select("number", "rule").join(F.broadcast(sources), "rule")  # rows of the catalog
+    return found.groupBy("number").agg(F.count("*").alias("sources"), F.coalesce(F.max("published"), F.lit("")).alias("newest"))

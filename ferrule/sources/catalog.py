@@ -74,6 +74,8 @@ SOURCES = [
     ("ms-offcrypto", "Microsoft", "[MS-OFFCRYPTO]: Office Document Cryptography Structure", "https://learn.microsoft.com/en-us/openspecs/office_file_formats/ms-offcrypto/3c34d72a-1a61-4b52-a893-196f9157f083", "2026-09-26"),
     ("mitre-cwe-798", "MITRE", "CWE-798: Use of Hard-coded Credentials", "https://cwe.mitre.org/data/definitions/798.html", "2026-09-26"),
 ]
+# when a source was published, of those that tell
+PUBLISHED = {"ms-vbscript-timeline": "2024-05-22", "ms-vba-vbscript": "2025-09-10"}
 RULE_SOURCES = {
     "VBS-100": ("ms-vbscript-timeline",),
     "VBS-101": ("ms-deprecated-features", "ms-vbscript-timeline",),
@@ -157,10 +159,10 @@ def rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
 
 
 def rule_sources(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    """What is published about each rule: rule, place (from 0), publisher, title, url, checked."""
-    known = spark.createDataFrame(SOURCES, "id string, publisher string, title string, url string, checked string")
+    """What is published about each rule: rule, place (from 0), publisher, title, url, checked, published (null where it isn't known)."""
+    known = spark.createDataFrame([(*s, PUBLISHED.get(s[0])) for s in SOURCES], "id string, publisher string, title string, url string, checked string, published string")
     each = rules(spark, rows).select("rule", F.posexplode("sources").alias("place", "id"))
-    return each.join(F.broadcast(known), "id").select("rule", F.col("place").cast("long").alias("place"), "publisher", "title", "url", "checked")  # two dozen rows
+    return each.join(F.broadcast(known), "id").select("rule", F.col("place").cast("long").alias("place"), "publisher", "title", "url", "checked", "published")  # two dozen rows
 
 
 def load(path: str) -> list[tuple]:
