@@ -10,66 +10,42 @@ is new; compact() puts all versions into one that later readers begin with.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from ..versions import Conflict, Versions
 from . import container
 
-SCHEMA = "file string, outcome string, error string, scan_id string, _m0 string, _m1 string, _m2 string"
-
+__all__ = ["Conflict", "ImportState"]
 
-class Conflict(Exception):
-    """Another import has extended the state meanwhile; import again."""
+SCHEMA = "file string, outcome string, error string, scan_id string, _m0 string, _m1 string, _m2 string"
+ALL = "-all"  # marks a version that holds all before it
 
 
 class ImportState:
     """The versions in a folder of a store that has atomic renames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._jvm = spark._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path(self.folder).getFileSystem(self._conf)
+        self.spark, self.versions = spark, Versions(spark, folder)
 
     def _names(self) -> list[tuple[int, str]]:
-        """Number and name of each version; one that holds all before it ends in -all."""
-        if not self._fs.exists(self._path(self.folder)):
-            return []
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted((int(n[1:].partition("-")[0]), n) for n in found if n.startswith("v") and n[1:].partition("-")[0].isdigit())
+        """The versions that are read: the last that holds all before it, and those after."""
+        names = self.versions.names()
+        return names[max((i for i, (_, n) in enumerate(names) if n.endswith(ALL)), default=0) :]
 
     def version(self) -> int:
-        names = self._names()
-        return names[-1][0] if names else 0
+        return self.versions.latest()
 
     def table(self) -> DataFrame:
         """All files that imports have taken up, by their last outcome if they were tried again."""
-        names = self._names()
-        start = max((i for i, (_, n) in enumerate(names) if n.endswith("-all")), default=0)
         out = self.spark.createDataFrame([], f"{SCHEMA}, version long")
-        for number, name in names[start:]:
-            own = self.spark.read.schema(f"{SCHEMA}, version long").parquet(f"{self.folder}/{name}")
+        for number, name in self._names():
+            own = self.spark.read.schema(f"{SCHEMA}, version long").parquet(f"{self.versions.folder}/{name}")
             out = out.unionByName(own.withColumn("version", F.coalesce("version", F.lit(number).cast("long"))))
         last = F.max_by(F.struct(*[F.col(c.split()[0]) for c in SCHEMA.split(", ")]), "version")
         return out.groupBy(F.col("file").alias("_file")).agg(last.alias("x"), F.max("version").alias("version")).select("x.*", "version")
 
-    def _publish(self, rows: DataFrame, name: str) -> None:
-        aside = f"{self.folder}/_aside-{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), self._conf)
-        plain = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            if any(n == int(name[1:].partition("-")[0]) for n, _ in self._names()):
-                raise Conflict(name)
-            context.rename(self._path(aside), self._path(f"{self.folder}/{name}"), plain)
-        except Exception as e:
-            self._fs.delete(self._path(aside), True)
-            raise e if isinstance(e, Conflict) or "FileAlreadyExists" not in str(e) else Conflict(name) from e
-
     def take_up(self, rows: DataFrame, machine_limit: int | None = None) -> DataFrame:
         """Imports the scans of read_files' rows (a written table) into the state.
 
@@ -84,17 +60,17 @@ class ImportState:
         out = materialize(container.imported(rows, machine_limit, done, known), "imported")
         keys = [c.alias(m) for c, m in zip(container._machine(), container.MACHINE, strict=True)]
         new = out.where("outcome <> 'alreadyLoaded'").select("file", "outcome", "error", F.col("scanId").alias("scan_id"), *keys, F.lit(None).cast("long").alias("version"))
-        self._publish(new, f"v{number:09d}")
+        self.versions.publish(new, number)
         return out
 
     def compact(self) -> None:
         """Writes one version that holds all; versions before it stay for those who read them, until vacuum()."""
-        self._publish(self.table(), f"v{self.version() + 1:09d}-all")
+        self.versions.publish(self.table(), self.version() + 1, ALL)
 
     def vacuum(self) -> int:
         """Removes the versions that one of compact() holds; how many there were."""
-        names = self._names()
-        start = max((i for i, (_, n) in enumerate(names) if n.endswith("-all")), default=0)
-        for _, name in names[:start]:
-            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
-        return start
+        read = {n for _, n in self._names()}
+        old = [n for _, n in self.versions.names() if n not in read]
+        for name in old:
+            self.versions.remove(name)
+        return len(old)
