@@ -25,8 +25,27 @@ def query(sql: str | None = None):
     return add
 
 
+_KEPT: dict[tuple, assessment.Assessment] = {}
+
+
+def forget() -> None:
+    """Assess anew from now on, as for measuring."""
+    _KEPT.clear()
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def assessed(spark: SparkSession, sf_dir: str) -> assessment.Assessment:
-    return assessment.assess(fleet.scans(spark, sf_dir), fleet.findings(spark, sf_dir))
+    """The fleet's assessment.  Its tables last as long as the application, so queries over the same files share one."""
+    key = (spark.sparkContext.applicationId, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")))
+    if key not in _KEPT:
+        _KEPT[key] = assessment.assess(fleet.scans(spark, sf_dir), fleet.findings(spark, sf_dir))
+    return _KEPT[key]
 
 
 ITEM = "number, risk, rule, kind, classification, status, reason, origin, machines, occurrences, loc_path, loc_item, target, effort_kind, typical_script, min_hours, max_hours"

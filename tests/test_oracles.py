@@ -14,7 +14,6 @@ import ferrule.plans.detector_queries
 import ferrule.plans.event_queries
 import ferrule.plans.import_queries
 import ferrule.plans.system_queries  # noqa: F401
-from ferrule.plans import queries
 from ferrule.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -42,14 +41,6 @@ def duck():
     return functools.cache(connected)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def assessed_once():
-    """One assessment of the fleet serves all queries over it."""
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(queries, "assessed", functools.cache(queries.assessed))
-        yield
-
-
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in REGISTRY.items() if sql))
 def test_query_agrees_with_its_sql(spark, duck, name):
     run, sql = REGISTRY[name]
