@@ -17,7 +17,6 @@ import os
 import re
 import shutil
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -45,8 +44,9 @@ class Part(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """The folder of an attempt that counts; its names stay there, so messages don't grow with them."""
+
     folder: str
-    names: list[str]
 
 
 def _listed(file: str) -> Iterator[tuple[str, str | None, bytes | None]]:
@@ -92,38 +92,46 @@ class Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         own = os.path.join(self.job, uuid.uuid4().hex)  # another attempt has another
         os.makedirs(own)
-        names = []
         for batch in iterator:
             for value in batch.column("scan"):
                 scan = json.loads(value.as_py())
-                name = name_of(scan, self.extension)
-                with open(os.path.join(own, name), "xb") as f:
-                    f.write(container.to_bytes(scan))
-                names.append(name)
-        return Written(own, names)
-
-    def _publish(self, message: Written, name: str) -> str | None:
-        """Links a container to its name; the name if it wasn't there already with the same content."""
-        made, there = os.path.join(message.folder, name), os.path.join(self.folder, name)
-        try:
-            os.link(made, there)
-            return there
-        except FileExistsError:
-            with open(made, "rb") as one, open(there, "rb") as other:
-                if one.read() != other.read():
-                    raise
-        return None
+                path, data = os.path.join(own, name_of(scan, self.extension)), container.to_bytes(scan)
+                try:
+                    with open(path, "xb") as f:
+                        f.write(data)
+                except FileExistsError:
+                    with open(path, "rb") as f:
+                        if f.read() != data:
+                            raise
+        return Written(own)
+
+    def _publish(self, folder: str) -> None:
+        """Links an attempt's containers to their names, one after another; one that is there with the same content is no fault."""
+        with os.scandir(folder) as made:
+            for e in made:
+                there = os.path.join(self.folder, e.name)
+                try:
+                    os.link(e.path, there)
+                except FileExistsError:
+                    with open(e.path, "rb") as one, open(there, "rb") as other:
+                        if one.read() != other.read():
+                            raise
+
+    def _withdraw(self, folder: str) -> None:
+        """Removes what _publish() has linked: names that are the same file as the attempt's."""
+        with os.scandir(folder) as made:
+            for e in made:
+                there = os.path.join(self.folder, e.name)
+                if os.path.exists(there) and os.path.samefile(e.path, there):
+                    os.remove(there)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        done = [(m, n) for m in messages if m is not None for n in m.names]
-        if twice := {n for n, k in Counter(n for _, n in done).items() if k > 1}:
-            raise FileExistsError(f"two scans are named {min(twice)}")
+        folders = [m.folder for m in messages if m is not None]
         with ThreadPoolExecutor(16) as pool:
-            links = [pool.submit(self._publish, *x) for x in done]
-        if failed := next((e for e in (x.exception() for x in links) if e), None):
-            for x in links:
-                if not x.exception() and x.result():
-                    os.remove(x.result())
+            done = [pool.submit(self._publish, f) for f in folders]
+        if failed := next((e for e in (x.exception() for x in done) if e), None):
+            for f in folders:
+                self._withdraw(f)
             raise failed
         shutil.rmtree(self.job, ignore_errors=True)
 
@@ -164,8 +172,8 @@ def load(spark: SparkSession, planned: DataFrame, media_type: str = container.ME
 def save(rows: DataFrame, folder: str, extension: str = "zip") -> None:
     """Writes each row's `scan` (JSON) as a container into an existing folder, all or none.
 
-    Fails, and leaves nothing, if one can't be written, if two have one name or
-    if another file has it; a file of the same content is no fault.
+    Fails, and leaves nothing, if one can't be written, or if two of different
+    content have one name, or a file that is there has it.
     """
     _registered(rows.sparkSession)
     rows.select("scan").write.format(FORMAT).mode("append").option("path", folder).option("extension", extension).save()
