@@ -42,6 +42,7 @@ from .kernel import U, Words, ascii_lower, buffers, from_blob, pieces, shingle_s
 from .store import Scratch, shards_for, ship, small_batches, spread_join
 
 FLUSH = 1 << 22  # tokens that a counting task holds before it deals them out
+SEEN = 1 << 18  # sets that a task remembers, not to hand their tokens on again
 TILE = 64  # groups of a token that are dealt out together
 MEMBERS = "array<struct<v:binary,copies:long,tokens:binary>>"
 
@@ -54,6 +55,18 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, *shingle_sets(words, k)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits in ascending order, as steps byte by byte: of high bytes, which are mostly alike, little is left."""
+    steps = np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(np.ascontiguousarray(steps.T).tobytes()) + coder.flush()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(bytes(blob), -15), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0], dtype=np.uint32)
+
+
 def _count_tokens(k: int, bits: int):
     """Tokens of the texts, dealt by their leading bits: 32 further bits of each, and how often those repeat."""
 
@@ -71,8 +84,8 @@ def _count_tokens(k: int, bits: int):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([i for i, _, _ in rows], pa.int32()),
-                pa.array([r.tobytes() for _, r, _ in rows], pa.binary()),
-                pa.array([r[t > 1].tobytes() for _, r, t in rows], pa.binary()),
+                pa.array([packed(r) for _, r, _ in rows], pa.binary()),
+                pa.array([packed(r[t > 1]) for _, r, t in rows], pa.binary()),
                 pa.array([(t[t > 1] - 1).astype(np.uint32).tobytes() for _, _, t in rows], pa.binary()),
             ],
             ["bucket", "rest", "again", "more"],
@@ -100,8 +113,9 @@ def _levels(bits: int, table_bits: int):
     """Counts of a bucket's tokens -> its slice of the table: log2 of the largest count in each cell, 0 for counts of one."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = np.concatenate([from_blob(x, np.uint32) for x in [*pdf["rest"], *pdf["again"]]])
-        weight = np.concatenate([np.ones(sum(len(x) // 4 for x in pdf["rest"]), np.int64), *[from_blob(x, np.uint32).astype(np.int64) for x in pdf["more"]]])
+        once = np.concatenate([unpacked(x) for x in pdf["rest"]])
+        rest = np.concatenate([once, *[unpacked(x) for x in pdf["again"]]])
+        weight = np.concatenate([np.ones(len(once), np.int64), *[from_blob(x, np.uint32).astype(np.int64) for x in pdf["more"]]])
         order = np.argsort(rest, kind="stable")
         rest, weight = rest[order], weight[order]
         first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
@@ -136,11 +150,11 @@ def size_classes(n: np.ndarray, percent: int) -> np.ndarray:
 def _prefixes(k: int, percent: int, table_bits: int, shared):
     """Each text's set size and identity; the prefix, group key, size class and tokens of those that may have a partner.
 
-    Columns after the text pass.
+    Of equal sets that a task meets one after another, the first has these, the others not.  Columns after the text pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        table, done = np.frombuffer(zlib.decompress(shared.value), np.uint8), set()
         for batch in batches:
             for a, b, tokens, first in _sets(batch, k):
                 n = np.diff(first)
@@ -152,7 +166,8 @@ def _prefixes(k: int, percent: int, table_bits: int, shared):
                 alone = alone[first[1:]] - alone[first[:-1]]
                 length = n - (-(-percent * n // 100)) + 1
                 prefix, key, sets = [None] * (b - a), [None] * (b - a), [None] * (b - a)
-                done = set()
+                if len(done) > SEEN:
+                    done = set()
                 for d in np.flatnonzero((n > 0) & (alone < length)).tolist():
                     if v[d] in done:
                         continue
@@ -345,18 +360,24 @@ def _links(docs: DataFrame, scratch: Scratch, every: bool, words: int, percent:
     kept = scratch.keep(kept, "sets")
 
     # groups: sets of one class with the same smallest shared token, split to a bounded size by their own hash
-    copies = kept.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"))
-    found = kept.where("tokens is not null").select("v", "n", "key", "class", "prefix", "tokens").dropDuplicates(["v"]).join(copies, "v")
-    found = scratch.keep(found, "candidates")
-    width = found.groupBy("key", "class").agg(F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_tokens)).alias("parts"))
-    found = spread_join(found, width, ["key", "class"], ["v"]).withColumn("g", F.xxhash64("key", "class", F.pmod(F.xxhash64("v"), "parts")))
-    found = scratch.keep(found.select("g", "class", "v", "copies", "n", "prefix", "tokens"), "grouped")
-    scratch.drop("candidates")
-
-    group = found.groupBy("g").agg(F.min("n").alias("least"), F.collect_list(F.struct("v", "copies", "tokens")).alias("members"))
+    light = kept.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("key").alias("key"), F.max("class").alias("class"))
+    light = scratch.keep(light.where("key is not null"), "candidates")
+    # only groups that are split have a row here, so tokens stay where they are until they meet in their group
+    width = light.groupBy("key", "class").agg(F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_tokens)).alias("parts"))
+    width = scratch.keep(width.where("parts > 1"), "width")
+
+    def grouped(sets: DataFrame) -> DataFrame:
+        return sets.join(width, ["key", "class"], "left").withColumn("g", F.xxhash64("key", "class", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))))
+
+    found = grouped(kept.where("tokens is not null"))
+    none = F.lit(None).cast("binary").alias("tokens")
+    member = found.select("g", "v", F.lit(0).cast("long").alias("copies"), "n", "tokens").union(grouped(light).select("g", "v", "copies", "n", none))
+    member = member.repartition("g").groupBy("g", "v").agg(F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("tokens").alias("tokens"))
+    group = member.groupBy("g").agg(F.min("n").alias("least"), F.collect_list(F.struct("v", "copies", "tokens")).alias("members"))
     group = scratch.keep(group.mapInArrow(_unions, f"g long, least long, members {MEMBERS}, tokens array<long>"), "groups")
     pairs = scratch.keep(_meetings(found, scratch), "pairs")
-    for name in ("grouped", "matrix"):
+    kept = scratch.keep(kept.select("doc_id", "t0", "t1", "n", "v"), "rows")
+    for name in ("sets", "candidates", "width", "matrix"):
         scratch.drop(name)
 
     one, two = (group.select(F.col("g").alias(f"g{i}"), F.col("least").alias(f"least{i}"), F.col("tokens").alias(f"tokens{i}"), *extra) for i, extra in ((1, []), (2, ["members"])))
@@ -375,16 +396,15 @@ def _links(docs: DataFrame, scratch: Scratch, every: bool, words: int, percent:
 def _linked(docs: DataFrame, scratch: Scratch, words: int, percent: int, table_bits: int, group_members: int, group_tokens: int) -> DataFrame:
     """Each row's doc_id, hashes of its text, set, and of each set its component's label, smallest doc_id and number of linked rows."""
     kept, edges = _links(docs, scratch, False, words, percent, table_bits, group_members, group_tokens)
-    light = kept.select("doc_id", "t0", "t1", "n", "v")
     label = components(edges.where("b is not null").select("a", "b"), scratch)
     count = edges.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "v")
-    named = light.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
+    named = kept.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
     named = named.join(label, named["v"] == label["vertex"], "left").join(count, "v", "left")
     named = scratch.keep(named.select("v", "own", F.coalesce("label", "v").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     reached = scratch.keep(spread_join(named, least, ["label"], ["v"]), "reached")
     scratch.drop("named")
-    return spread_join(light, reached.drop("own"), ["v"], ["doc_id", "t0"], "left")
+    return spread_join(kept, reached.drop("own"), ["v"], ["doc_id", "t0"], "left")
 
 
 def ngram_jaccard_components(

@@ -1,5 +1,6 @@
 """Operators that find copies: n-gram join, exact dedup, substring dedup, decontamination, lines."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,21 @@ def test_lines_by_brute_force(spark):
     df = spark.createDataFrame([(i, f"http://{site}/", "<li>".join(own)) for i, site, own in rows] + [(3000, "http://broken/", "<a '" * 100_000 + "<script " * 50_000)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
     assert got.pop(3000) == "" and got == expected and "at the ratio" in got[1000] and "above" not in got[1000]
+
+
+def test_counted_tokens_take_few_bytes():
+    x = np.sort(np.random.default_rng(5).integers(0, 1 << 32, 32_768, dtype=np.uint64).astype(np.uint32))
+    for some in (x, x[:1], x[:0], np.array([0, 0, 2**32 - 1], np.uint32)):
+        assert (ngram_join.unpacked(ngram_join.packed(some)) == some).all()
+    assert len(ngram_join.packed(x)) < 3 * len(x)
+
+
+def test_equal_sets_of_a_task_move_once(spark):
+    """Tokens of copies are handed on once a task, however many batches they come in; their number is still counted."""
+    rows = [(i, "one two three four five six seven") for i in range(50)] + [(50, "one two three four five six seven eight")]
+    frame = fx.frame(spark, rows).coalesce(1)
+    table = spark.sparkContext.broadcast(ngram_join.rarity_table(frame.select("doc_id", "text"), 5, 24, 51))
+    with ngram_join.small_batches(spark, 256):
+        kinds = "doc_id long, n long, v binary, prefix array<long>, key long, class int, tokens binary"
+        assert frame.select("doc_id", "text").mapInArrow(ngram_join._prefixes(5, 75, 24, table), kinds).where("tokens is not null").count() == 2
+    assert {r.n_links for r in ngram_join.ngram_jaccard_components(frame, percent=75).collect()} == {50}
