@@ -289,3 +289,26 @@ def test_listing_and_reading(spark, tmp_path):
     kinds = ["PermissionError", "FileNotFoundError", None, "Odd", "Encrypted"]
     rows = spark.createDataFrame([(k,) for k in kinds], "e string").select(files.reason_column(F.col("e"))).collect()
     assert [r[0] for r in rows] == [files.reason(k) for k in kinds] == ["accessDenied", None, None, "corrupt", "encrypted"]
+
+
+def test_names_of_files_are_not_broadcast(spark):
+    """Joins by file or scan stay joins by exchange, however small Spark takes their tables to be."""
+    rows = container.read_contents(spark.createDataFrame([("a.zip", bytearray(packed(SCAN))), ("b.zip", bytearray(b"x"))], "file string, content binary")).localCheckpoint()
+    loaded = container.imported(rows)
+    plan = loaded._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.file, r.outcome) for r in loaded.collect()) == [("a.zip", "accepted"), ("b.zip", "error")]
+    order = loaded.where("outcome = 'accepted'").withColumn("load_idx", F.lit(0))
+    plan = container.tables(order, rows)["findings"]._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_alike_files_share_their_content(spark, tmp_path):
+    from ferrule.plans.import_queries import put
+
+    rows = spark.createDataFrame([(f"d{i % 3}/f{i}", bytearray(b"x" * (i % 4))) for i in range(40)], "file string, content binary").coalesce(1)
+    assert put(rows, str(tmp_path), alike=3) == 40
+    found = {os.path.relpath(p, tmp_path): os.stat(p) for p in map(str, tmp_path.rglob("f*"))}
+    assert {n: s.st_size for n, s in found.items()} == {f"d{i % 3}/f{i}": i % 4 for i in range(40)}
+    assert len({s.st_ino for s in found.values()}) == 3 + 10, "a content more than it remembers is written each time"
+    assert sorted(r["size"] for r in listing.files(listing.tree(spark, str(tmp_path))).collect()) == sorted(i % 4 for i in range(40))
