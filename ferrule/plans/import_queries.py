@@ -45,16 +45,31 @@ def shared_folder(spark: SparkSession) -> Iterator[str]:
         fs.delete(path, True)
 
 
-def put(rows: DataFrame, folder: str) -> int:
-    """Writes files (file, content) below a shared folder, in tasks; how many."""
+def put(rows: DataFrame, folder: str, alike: int = 0) -> int:
+    """Writes files (file, content) below a shared folder, in tasks; how many.
+
+    A small file takes a block.  Of contents that a task met before, `alike` of
+    them at most, files are further names of the one that is there.
+    """
 
     def run(batches):
+        folders, made = set(), {}
         for batch in batches:
             for name, content in zip(batch["file"], batch["content"], strict=True):
                 path = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                if (above := os.path.dirname(path)) not in folders:
+                    os.makedirs(above, exist_ok=True)
+                    folders.add(above)
+                if content in made:
+                    try:
+                        os.link(made[content], path)
+                        continue
+                    except OSError:  # it has as many names as the file system gives it
+                        pass
                 with open(path, "wb") as f:
                     f.write(content)
+                if content in made or len(made) < alike:
+                    made[content] = path
             yield pd.DataFrame({"n": [len(batch)]})
 
     return rows.select("file", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -228,7 +243,7 @@ union all select 'expanded', parent, count(*) from child group by parent""")
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of two extensions in a tree, and the number of entries of each folder."""
     with shared_folder(spark) as folder:
-        put(tree(spark, sf_dir), folder)
+        put(tree(spark, sf_dir), folder, alike=1_000)
         found = listing.tree(spark, folder, {"vbs", "vbe"})
     return found.where("kind in ('file', 'expanded')").select("kind", F.expr(f"substring(path, {len(folder) + 2})").alias("path"), "size")
 
@@ -237,7 +252,7 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of those files within a limit of 30 bytes."""
     with shared_folder(spark) as folder:
-        put(tree(spark, sf_dir), folder)
+        put(tree(spark, sf_dir), folder, alike=1_000)
         found, _ = files.listed(spark, folder, {"vbs", "vbe"})
         rows = materialize(files.read_listed(listing.planned(found).withColumn("load_idx", F.lit(0)), most=30), "contents")
     return rows.select(F.expr(f"substring(path, {len(folder) + 2})").alias("path"), "size", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"), F.coalesce("problem", F.lit("")).alias("problem"))
@@ -271,7 +286,7 @@ def container_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spark.sql(raw, orders=_orders(spark, sf_dir)).mapInPandas(run, "file string, content binary")
     rows = materialize(container.read_contents(made), "scans")
     loaded = container.load_order(container.imported(rows))
-    found = container.tables(loaded, rows)["findings"].join(loaded.select("load_idx", "file"), "load_idx")
+    found = container.tables(loaded, rows)["findings"].join(container.many(loaded.select("load_idx", "file")), "load_idx")
     return found.select(
         "file", details.number("details", "calls").alias("calls"), details.text("details", "via").alias("via"), details.flag("details", "encoded").alias("encoded"), details.kind("details", "via").alias("via_kind"),
         F.array_join(details.names("details"), ",").alias("names"),
