@@ -312,3 +312,20 @@ def test_alike_files_share_their_content(spark, tmp_path):
     assert {n: s.st_size for n, s in found.items()} == {f"d{i % 3}/f{i}": i % 4 for i in range(40)}
     assert len({s.st_ino for s in found.values()}) == 3 + 10, "a content more than it remembers is written each time"
     assert sorted(r["size"] for r in listing.files(listing.tree(spark, str(tmp_path))).collect()) == sorted(i % 4 for i in range(40))
+
+
+def test_containers_in_portions(spark, monkeypatch):
+    """Results are the same in however many portions containers lie on the disk, and no folder is left."""
+    from ferrule.plans import import_queries
+    from ferrule.runtime import session_dir
+
+    sf_dir = "/root/testdata/sf0.001"
+    at_once = []
+    put = import_queries.put
+    monkeypatch.setattr(import_queries, "put", lambda rows, folder, alike=0: at_once.append(put(rows, folder, alike)) or at_once[-1])
+    key = lambda q: sorted(map(tuple, q(spark, sf_dir).collect()))
+    whole = key(import_queries.container_files), key(import_queries.container_written)
+    monkeypatch.setattr(import_queries, "PORTION", 600)
+    assert (key(import_queries.container_files), key(import_queries.container_written)) == whole
+    assert len(at_once) > 2 and sum(at_once[1:]) == at_once[0] > 600 and max(at_once[1:]) < 900
+    assert not [n for n in os.listdir(stores.local_path(session_dir(spark))) if n.startswith("files-")]
