@@ -72,9 +72,10 @@ def event_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.pmod(F.xxhash64("record_id"), F.lit(3))
     with shared_folder(spark) as folder:
         place = f"file://{folder}" if folder.startswith("/") else folder
-        for part in range(3):  # a file a micro-batch; the first comes again with each
-            rows.where((n == part) | (n == 0)).coalesce(1).write.mode("append").parquet(f"{place}/in")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        files = spark.sparkContext.defaultParallelism
+        for part in range(3):  # some files a micro-batch, as many as there are cores; the first third comes again with each
+            rows.where((n == part) | (n == 0)).repartition(files).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
         with event_state.rocksdb(spark):
             query = event_state.kept_in(event_state.newest_groups(stream, most=5, late="10000 days"), f"{place}/out", f"{place}/state").trigger(availableNow=True).start()
             query.awaitTermination()

@@ -6,17 +6,19 @@ is handed on.  A record that was pushed out and comes again is older than all
 that are kept, and is pushed out again, so repeats never count.  So the last
 state of all groups is that of the batch operators over the newest records,
 however the stream is cut.  A machine's state has at most `most` records, and a
-micro-batch is merged into it chunk by chunk.
+micro-batch is merged into it record by record.
 """
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+import json
+import zlib
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,23 +27,51 @@ from ..runtime import ship
 
 COLUMNS = ["record_id", "time", "key", "program", "process_tree"]
 OUT = "load_idx long, key string, events long, first_seen timestamp, last_seen timestamp, program string, process_tree string, capped boolean"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+CHANGE = Row(*NAMES)
+#: Records that a merge takes beyond those it keeps, before it drops the oldest.
+ROOM = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def merged(kept: pd.DataFrame, more: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The newest `most` records of both, each record_id once, oldest first."""
-    both = pd.concat([kept, more], ignore_index=True) if len(kept) else more
-    return both.drop_duplicates("record_id").sort_values(["time", "record_id"], ignore_index=True).tail(most)
+def kept_of(kept: Iterable[tuple], more: Iterable[tuple], most: int) -> list[tuple]:
+    """The newest `most` of both (tuples of COLUMNS), each record_id once, oldest first; one without a time is older than all."""
+    found: dict = {}
+    for record in chain(kept, more):
+        found.setdefault(record[0], record)
+        if len(found) > 2 * most + ROOM:
+            found = {r[0]: r for r in _newest(found, most)}
+    return _newest(found, most)
+
+
+def _newest(found: dict, most: int) -> list[tuple]:
+    return sorted(found.values(), key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))[-most:]
+
 
+def groups_of(kept: list[tuple]) -> dict[str, tuple]:
+    """key -> (events, first_seen, last_seen, program, process_tree); what is shown comes from its newest record."""
+    found: dict[str, tuple] = {}
+    for _, time, key, program, tree in kept:
+        events, first, _, _, _ = found.get(key, (0, None, None, None, None))
+        found[key] = (events + 1, time if first is None else first, time, program, tree)
+    return found
 
-def groups(kept: pd.DataFrame) -> pd.DataFrame:
-    """A row for each key; what is shown comes from its newest record."""
-    found = kept.groupby("key", sort=False).agg(events=("record_id", "size"), first_seen=("time", "min"), last_seen=("time", "max"), newest=("record_id", lambda x: x.index[-1]))
-    return found.join(kept[["program", "process_tree"]], on="newest").drop(columns="newest").reset_index()
+
+def changes_of(had: list[tuple], kept: list[tuple], most: int) -> list[tuple]:
+    """Rows (key, events, first_seen, last_seen, program, process_tree, capped) of groups that differ, and of the machine."""
+    before, now = groups_of(had), groups_of(kept)
+    out = [(key, *group, False) for key, group in now.items() if before.get(key) != group]
+    out += [(key, 0, None, None, None, None, False) for key in before if key not in now]
+    return [*out, (None, len(kept), kept[0][1], kept[-1][1], None, None, len(kept) >= most)]
+
+
+def merged(kept: pd.DataFrame, more: pd.DataFrame, most: int) -> pd.DataFrame:
+    """kept_of() of frames."""
+    return pd.DataFrame(kept_of(*(x[COLUMNS].itertuples(index=False, name=None) for x in (kept, more)), most), columns=COLUMNS)
 
 
 class NewestGroups(StatefulProcessor):
-    """State: a machine's kept records as one Parquet value."""
+    """State: a machine's kept records as one packed value.  Times are microseconds."""
 
     def __init__(self, most: int):
         self.most = most
@@ -49,28 +79,19 @@ class NewestGroups(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("kept", "records binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = pd.read_parquet(io.BytesIO(bytes(self.state.get()[0]))) if self.state.exists() else pd.DataFrame(columns=COLUMNS)
-        kept = had
-        for chunk in rows:
-            kept = merged(kept, chunk[COLUMNS], self.most).reset_index(drop=True)
-        packed = io.BytesIO()
-        kept.to_parquet(packed, index=False)
-        self.state.update((packed.getvalue(),))
-        yield self._changed(key[0], had, kept)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.state.get()
+        had = [tuple(r) for r in json.loads(zlib.decompress(bytes(state[0])))] if state else []
+        kept = kept_of(had, ((r["record_id"], r["at"], r["key"], r["program"], r["process_tree"]) for r in rows), self.most)
+        if kept != had:
+            self.state.update((zlib.compress(json.dumps(kept, separators=(",", ":")).encode(), 1),))
+        for change in changes_of(had, kept, self.most):
+            yield CHANGE(key[0], *change)
 
     def _changed(self, load_idx: int, had: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        now = groups(kept)
-        before = groups(had).set_index("key") if len(had) else None
-        gone = []
-        if before is not None:
-            old = before.reindex(now["key"]).reset_index()
-            same = (old["events"].eq(now["events"]) & old["first_seen"].eq(now["first_seen"]) & old["last_seen"].eq(now["last_seen"]) & old["program"].eq(now["program"])).to_numpy(bool)
-            gone = [k for k in before.index if k not in set(now["key"])]
-            now = now[~same]
-        span = {"key": None, "events": len(kept), "first_seen": kept["time"].min(), "last_seen": kept["time"].max(), "capped": len(kept) >= self.most}
-        out = pd.concat([now.assign(capped=False), pd.DataFrame([{"key": k, "events": 0, "capped": False} for k in gone] + [span])], ignore_index=True)
-        return out.assign(load_idx=load_idx)[[c.split()[0] for c in OUT.split(", ")]]
+        """changes_of() of frames."""
+        rows = changes_of(*(list(x[COLUMNS].itertuples(index=False, name=None)) for x in (had, kept)), self.most)
+        return pd.DataFrame([(load_idx, *r) for r in rows], columns=NAMES)
 
     def close(self) -> None:
         pass
@@ -85,8 +106,9 @@ def newest_groups(rows: DataFrame, most: int = MOST_EVENTS, late: str = "30 days
     dropped by the watermark.  Start queries over it under rocksdb().
     """
     ship(rows.sparkSession)
-    keyed = rows.withWatermark("time", late).groupBy("load_idx")
-    return keyed.transformWithStateInPandas(NewestGroups(most), OUT, "Update", "EventTime")
+    keyed = rows.withWatermark("time", late).withColumn("at", F.unix_micros("time")).groupBy("load_idx")
+    changes = keyed.transformWithState(NewestGroups(most), OUT.replace("timestamp", "long"), "Update", "EventTime")
+    return changes.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen")})
 
 
 def alert_groups(events: DataFrame, most: int = MOST_EVENTS, late: str = "30 days") -> DataFrame:
@@ -117,6 +139,5 @@ def kept_in(changes: DataFrame, folder: str, checkpoint: str):
 
 def current(changes: DataFrame) -> DataFrame:
     """The last of all changes that kept_in() has written: groups as they are, and a row without key a machine."""
-    columns = [c.split()[0] for c in OUT.split(", ")]
-    last = changes.groupBy("load_idx", F.col("key").alias("_key")).agg(F.max_by(F.struct(*columns), "batch").alias("x"))
+    last = changes.groupBy("load_idx", F.col("key").alias("_key")).agg(F.max_by(F.struct(*NAMES), "batch").alias("x"))
     return last.select("x.*").where("events > 0")

@@ -238,6 +238,31 @@ def test_newest_groups_however_the_stream_is_cut():
         assert {k: v for k, v in known.items() if v[0]} == groups
 
 
+def test_state_of_newest_groups_is_merged_by_rows():
+    """A machine's rows meet its packed state without a frame; records without a time are the oldest."""
+    from pyspark.sql import Row
+
+    from ferrule.streaming import event_state
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    processor, known = event_state.NewestGroups(3), {}
+    processor.state = State()
+    row = lambda i, at, key: Row(record_id=i, at=at, key=key, program=f"P{i}", process_tree=None)
+    for part in ([row(1, 10, "a"), row(2, None, "b")], [row(3, 30, "a"), row(1, 10, "a")], [row(4, 20, "c"), row(2, None, "b")]):
+        known |= {r.key: (r.load_idx, r.events, r.first_seen, r.last_seen, r.program, r.capped) for r in processor.handleInputRows((7,), iter(part), None)}
+    assert known == {"a": (7, 2, 10, 30, "P3", False), "b": (7, 0, None, None, None, False), "c": (7, 1, 20, 20, "P4", False), None: (7, 3, 10, 30, None, True)}
+    many = event_state.kept_of([], ((i, i % 977, "k", "p", None) for i in range(5000)), 3)
+    assert [(r[0], r[1]) for r in many] == [(i, 976) for i in (2930, 3907, 4884)]
+
+
 def test_source_status_and_limits(spark):
     rows = spark.createDataFrame(
         [(True, None, 0, False, True), (False, "skipped", 1, False, True), (False, None, 1, False, True), (False, None, 0, True, False), (False, None, 0, True, True)],
