@@ -262,3 +262,25 @@ def test_sheets_lose_no_row(spark, build, tmp_path):
     report.write_sheets(tables, str(tmp_path))
     assert sorted(p.name for p in (tmp_path / "locations").glob("sheet=*")) == ["sheet=1", "sheet=2", "sheet=3"]
     assert spark.read.option("header", "true").csv(str(tmp_path / "locations")).count() == 7
+
+
+def test_lines_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks take a bounded number of lines however small these are when they move; findings are the same."""
+    from ferrule.plans import fleet
+
+    sf = "/root/testdata/sf0.001"
+    usual = sorted(map(str, fleet.findings(spark, sf).collect()))
+    monkeypatch.setattr(fleet, "LINES", 500)
+    dealt = fleet.findings(spark, sf)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, dealt.collect())) == usual
+
+
+def test_newest_scans_and_their_findings_are_written_once(spark):
+    """Later queries over an assessment read neither all scans nor all findings again."""
+    from ferrule.plans import fleet
+
+    sf = "/root/testdata/sf0.001"
+    a = assess(fleet.scans(spark, sf), fleet.findings(spark, sf))
+    read = [*a.machines.inputFiles(), *a.occurrences.inputFiles()]
+    assert read and not [f for f in read if sf in f]
