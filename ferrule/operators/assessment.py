@@ -312,7 +312,10 @@ class Assessment:
 def assess(scans: DataFrame, findings: DataFrame, rules: DataFrame | None = None, machine_limit: int | None = None) -> Assessment:
     """Newest scans, items, links, activation, risk, numbers and effort."""
     chosen, aside = newest_scans(scans, machine_limit)
-    occ = materialize(occurrences(findings.join(chosen.select("load_idx"), "load_idx", "left_semi")), "occurrences")
+    # both are read several times, and what they come from is many times larger
+    chosen = materialize(chosen, "chosen")
+    found = materialize(findings.join(chosen.select("load_idx"), "load_idx", "left_semi"), "found")
+    occ = materialize(occurrences(found), "occurrences")
     draft, rows = counted(drafts(occ), "drafts")
     return ranked(chosen, aside, occ, draft, rows, materialize(links(occ, draft), "edges"), rules)
 
