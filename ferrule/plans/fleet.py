@@ -85,7 +85,7 @@ union all select o_orderkey, 'notElevated' from {orders} where o_orderkey % 8 =
 """
 
 
-#: Lines of a task.  What is shuffled of a line is a seventh of what it takes in a sort, so sizes don't tell.
+#: Lines of a task.  What is shuffled of a line is a small part of what it takes in a sort, so sizes don't tell.
 LINES = 250_000
 
 
