@@ -170,14 +170,29 @@ def fit(rows: list[np.ndarray], y: np.ndarray, natural: np.ndarray) -> Model:
     return model
 
 
+def fit_rows(got: list[tuple[int, bytes, int, bool]]) -> Model:
+    """fit() of rows (doc_id, features, y, natural), in an order that doesn't depend on how they come."""
+    got = sorted(got)
+    got = [got[i] for i in np.random.default_rng(11).permutation(len(got)).tolist()]
+    return fit([from_blob(x[1], np.uint32) for x in got], np.array([x[2] for x in got], np.int64), np.array([x[3] for x in got], bool))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m = fit_rows([row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+    columns = [[m.weight.tobytes()], [float(m.bias)], [float(m.slope)], [float(m.shift)]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["weight", "bias", "slope", "shift"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, *, most: int = 6000, most_of_class: int = 2000) -> Model:
-    """A model of `label`, from at most most + 2 * most_of_class labelled rows for which `allowed` holds."""
+    """A model of `label`, from at most most + 2 * most_of_class labelled rows for which `allowed` holds.
+
+    Those rows are fitted in one task; the driver gets the model alone.
+    """
     ship(docs.sparkSession)
     chosen = training_rows(docs, labels, label, allowed, most, most_of_class)
-    got = sorted((r["doc_id"], bytes(r["features"]), r["y"], r["natural"]) for r in chosen.mapInArrow(_blobs, "doc_id long, features binary, y int, natural boolean").collect())
-    rng = np.random.default_rng(11)
-    got = [got[i] for i in rng.permutation(len(got)).tolist()]
-    return fit([from_blob(x[1], np.uint32) for x in got], np.array([x[2] for x in got], np.int64), np.array([x[3] for x in got], bool))
+    found = chosen.mapInArrow(_blobs, "doc_id long, features binary, y int, natural boolean")
+    got = found.repartition(1).mapInArrow(_fitted, "weight binary, bias double, slope double, shift double").collect()
+    return Model(from_blob(got[0]["weight"], np.float64), got[0]["bias"], got[0]["slope"], got[0]["shift"]) if got else fit_rows([])
 
 
 def _score(model, names: list[str]):

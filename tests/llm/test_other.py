@@ -210,6 +210,18 @@ def test_classifiers_without_labels(spark, module, label):
     assert {r.score for r in module.score(docs, model).collect()} == {0.5}
 
 
+def test_quality_is_fitted_in_a_task(labelled_frames, monkeypatch):
+    docs, labels, _ = labelled_frames
+    here = quality.train(docs, labels, "quality", remainder(3) != 1)
+
+    def refuse(*_):
+        raise AssertionError("training rows came to the driver")
+
+    monkeypatch.setattr(quality, "fit", refuse)
+    again = quality.train(docs.repartition(7), labels, "quality", remainder(3) != 1)
+    assert again.weight.tobytes() == here.weight.tobytes() and (again.bias, again.slope, again.shift) == (here.bias, here.slope, here.shift)
+
+
 def test_naive_bayes_ratios_by_hand():
     rng = random.Random(2)
     rows = [sorted(rng.sample(range(40), rng.randint(0, 9))) for _ in range(60)]
