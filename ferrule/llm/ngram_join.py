@@ -372,20 +372,26 @@ def _links(docs: DataFrame, scratch: Scratch, every: bool, words: int, percent:
     found = grouped(kept.where("tokens is not null"))
     none = F.lit(None).cast("binary").alias("tokens")
     member = found.select("g", "v", F.lit(0).cast("long").alias("copies"), "n", "tokens").union(grouped(light).select("g", "v", "copies", "n", none))
-    member = member.repartition("g").groupBy("g", "v").agg(F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("tokens").alias("tokens"))
-    group = member.groupBy("g").agg(F.min("n").alias("least"), F.collect_list(F.struct("v", "copies", "tokens")).alias("members"))
-    group = scratch.keep(group.mapInArrow(_unions, f"g long, least long, members {MEMBERS}, tokens array<long>"), "groups")
     pairs = scratch.keep(_meetings(found, scratch), "pairs")
+    scratch.drop("matrix")
+    # a group that meets no other, or has no second member, is never opened: it isn't written, nor dealt out below
+    side = lambda i: pairs.select(F.col(f"g{i}").alias("g"), F.lit(i == 1).alias("first"), F.lit(i == 2).alias("second"))
+    met = side(1).union(side(2)).groupBy("g").agg(F.max("first").alias("first"), F.max("second").alias("second"))
+    member = member.repartition("g").groupBy("g", "v").agg(F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("tokens").alias("tokens")).join(met, "g", "left")
+    group = member.groupBy("g").agg(F.min("n").alias("least"), F.max("first").alias("first"), F.max("second").alias("second"), F.collect_list(F.struct("v", "copies", "tokens")).alias("members"))
+    group = group.where(F.col("first").isNotNull() | (F.size("members") > 1))
+    group = scratch.keep(group.mapInArrow(_unions, f"g long, least long, first boolean, second boolean, members {MEMBERS}, tokens array<long>"), "groups")
     kept = scratch.keep(kept.select("doc_id", "t0", "t1", "n", "v"), "rows")
-    for name in ("sets", "candidates", "width", "matrix"):
+    for name in ("sets", "candidates", "width"):
         scratch.drop(name)
 
-    one, two = (group.select(F.col("g").alias(f"g{i}"), F.col("least").alias(f"least{i}"), F.col("tokens").alias(f"tokens{i}"), *extra) for i, extra in ((1, []), (2, ["members"])))
+    sides = ((1, "first", []), (2, "second", ["members"]))
+    one, two = (group.where(side).select(F.col("g").alias(f"g{i}"), F.col("least").alias(f"least{i}"), F.col("tokens").alias(f"tokens{i}"), *extra) for i, side, extra in sides)
     common = F.size(F.array_intersect("tokens1", "tokens2"))
     enough = (100 * common >= percent * F.greatest("least1", "least2")) & ((100 + percent) * common >= percent * (F.col("least1") + F.col("least2")))
     bounded = pairs.join(one, "g1").join(two, "g2").where(enough).select("g1", "tokens1", "least1", "members")
     queries = scratch.keep(bounded.mapInArrow(_bound(percent), f"g long, queries {MEMBERS}"), "queries")
-    opened = queries.join(group.select("g", "members"), "g").select("queries", "members")
+    opened = queries.join(group.where("first").select("g", "members"), "g").select("queries", "members")
     links, within = "a binary, b binary, n long", group.where(F.size("members") > 1).select("members")
     edges = scratch.keep(opened.mapInArrow(_open(percent, every), links).union(within.mapInArrow(_open(percent, every), links)), "links")
     for name in ("groups", "pairs", "queries"):

@@ -302,3 +302,22 @@ def test_equal_sets_of_a_task_move_once(spark):
         kinds = "doc_id long, n long, v binary, prefix array<long>, key long, class int, tokens binary"
         assert frame.select("doc_id", "text").mapInArrow(ngram_join._prefixes(5, 75, 24, table), kinds).where("tokens is not null").count() == 2
     assert {r.n_links for r in ngram_join.ngram_jaccard_components(frame, percent=75).collect()} == {50}
+
+
+def test_groups_that_are_never_opened_are_not_written(spark, monkeypatch):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    whole, near = words("a", 100), words("b", 100)
+    # 2 holds all of 1 but is too long to be linked with it; 3 and 4 are linked; 5 and 6 are linked, of two classes
+    long = words("c", 154)
+    rows = [(1, whole), (2, whole + " " + words("z", 120)), (3, near), (4, near + " end"), (5, long), (6, long + " " + words("y", 32))]
+    written, keep = {}, Scratch.keep
+
+    def kept(self, df, name, *args):
+        out = keep(self, df, name, *args)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (3, 1), 4: (3, 1), 5: (5, 1), 6: (5, 1)}
+    assert written["pairs"] == 1 and written["groups"] == 3
