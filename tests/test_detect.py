@@ -354,3 +354,24 @@ def test_one_entry_does_not_stop_others(spark, monkeypatch):
         return []
 
     assert detect._safely(broken, "t", b"bad")[0][-1] == "internalError" and detect._safely(broken, "t", b"good") == []
+
+
+def test_equal_entries_are_worked_out_once(monkeypatch):
+    from ferrule.functions import command, markup, masking
+
+    calls = []
+    for module, name in ((markup, "tags"), (command, "_uses"), (command, "_callees")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real, name=name: (calls.append(name), real(*a))[1])
+    definition = b"<Task><Actions><Exec><Command>wscript</Command><Arguments>once-%d.vbs</Arguments></Exec></Actions></Task>"
+    got = [detect.inspect_task(f"T{i}", definition % (i % 3)) for i in range(300)]
+    assert [(x[0][0], x[0][3]) for x in got] == [(f"T{i}", f"wscript once-{i % 3}.vbs") for i in range(300)] and calls.count("tags") == 3
+    line = "wscript once.vbs & call once.cmd"
+    assert all(command.analyze(line) == command.analyze(line) and command.called_scripts(line) == ["once.cmd"] for _ in range(100))
+    assert calls.count("_uses") == 1 and calls.count("_callees") == 1
+    command.analyze(line).clear()
+    assert command.analyze(line)  # what callers do with a result stays theirs
+    # long ones aren't kept
+    calls.clear()
+    assert [command.analyze("wscript once.vbs " + "x" * 5000) for _ in range(2)] and calls.count("_uses") == 2
+    assert masking.mask_line("set DBPASSWORD=once") == masking.mask_line("set DBPASSWORD=once") == ("set DBPASSWORD=********", ["password"])
