@@ -48,8 +48,9 @@ def newest_scans(scans: DataFrame, machine_limit: int | None = None) -> tuple[Da
     newest = keyed.groupBy(*names).agg(F.max(F.struct(F.col("started_at"), (-F.col("load_idx")).alias("back"))).alias("top"))
     winners = newest.select((-F.col("top.back")).alias("load_idx"))
     inside = winners if machine_limit is None else winners.orderBy("load_idx").limit(machine_limit)
+    # all scans meet the few that stay once; why others don't matters to what is set aside only
+    chosen = scans.join(inside, "load_idx", "left_semi")
     flagged = scans.join(winners.withColumn("_newest", F.lit(True)), "load_idx", "left").join(inside.withColumn("_inside", F.lit(True)), "load_idx", "left")
-    chosen = flagged.where("_inside").drop("_newest", "_inside")
     why = F.when(F.col("_newest").isNull(), "superseded").otherwise("machineLimit")
     aside = flagged.where("_inside is null").select("file", "hostname", "started_at", why.alias("why"))
     return chosen, aside

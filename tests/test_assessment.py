@@ -284,3 +284,17 @@ def test_newest_scans_and_their_findings_are_written_once(spark):
     a = assess(fleet.scans(spark, sf), fleet.findings(spark, sf))
     read = [*a.machines.inputFiles(), *a.occurrences.inputFiles()]
     assert read and not [f for f in read if sf in f]
+
+
+def test_newest_scans_are_joined_once(spark):
+    """All scans are sorted for one join; what stays and what is set aside make up the scans as before."""
+    from ferrule.plans import fleet
+
+    scans = fleet.scans(spark, "/root/testdata/sf0.001")
+    for limit in (None, 20):
+        chosen, aside = newest_scans(scans, limit)
+        assert chosen._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        assert chosen.columns == scans.columns
+        files = [r.file for r in chosen.collect()], [r.file for r in aside.collect()]
+        assert sorted(files[0] + files[1]) == sorted(r.file for r in scans.collect())
+        assert limit is None or len(files[0]) == limit
