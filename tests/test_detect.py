@@ -286,6 +286,18 @@ def test_calls_are_followed_one_level(spark):
     }
 
 
+def test_all_files_that_a_command_names_are_followed(spark):
+    """However many there are; the first that runs the engine counts, wherever it stands."""
+    idle = [f"C:\\idle{i}.cmd" for i in range(40)]
+    rows = files(spark, ("C:\\run.cmd", b"wscript a.vbs\r\n", None), ("C:\\ask.bat", b"cscript %1\r\n", None), ("C:\\locked.ps1", None, "locked"), *[(p, b"dir\r\n", None) for p in idle])
+    lines = [" & ".join([*idle[:n], *more]) for n, more in ((3, ["C:\\run.cmd"]), (40, ["C:\\ask.bat", "C:\\run.cmd"]), (3, ["C:\\ask.bat"]), (3, ["C:\\locked.ps1"]), (40, []))]
+    got = detect.follow_calls(spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "load_idx long, entry long, line string"), rows).collect()
+    assert {r.entry: (r.called, r.usage, r.reason) for r in got} == {0: ("C:\\run.cmd", "vbscript", None), 1: ("C:\\run.cmd", "vbscript", None), 2: ("C:\\ask.bat", "unknown", None), 3: ("C:\\locked.ps1", None, "locked")}
+    entries = spark.createDataFrame([(0, "HKLM", "native", RUN, "A", lines[0], False)], REGISTRY)
+    found = detect.detect_commands(system.autostart(entries), "VBS-311", "VBS-312", "autostart", rows).collect()
+    assert [(r.rule, r.loc_item, r.target) for r in found] == [("VBS-311", "A", "C:\\run.cmd")]
+
+
 def called_files(spark):
     return files(
         spark,
