@@ -16,6 +16,7 @@ import json
 import os
 import re
 import shutil
+import threading
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -31,6 +32,7 @@ from pyspark.sql.types import StructType
 
 from ..runtime import ship
 from . import container, stores
+from .spare import Folder, give
 
 FORMAT = "ferrule-containers"
 
@@ -85,24 +87,24 @@ def name_of(scan: dict, extension: str) -> str:
 class Writer(DataSourceArrowWriter):
     """Scans (JSON) to containers in a folder that the executors share."""
 
-    def __init__(self, folder: str, extension: str):
-        self.folder, self.extension = folder, extension
+    def __init__(self, folder: str, extension: str, spare: str | None = None):
+        self.folder, self.extension, self.spare = folder, extension, spare
         self.job = os.path.join(folder, f".job-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         own = os.path.join(self.job, uuid.uuid4().hex)  # another attempt has another
-        os.makedirs(own)
+        files = Folder(own, self.spare)
         for batch in iterator:
             for value in batch.column("scan"):
                 scan = json.loads(value.as_py())
-                path, data = os.path.join(own, name_of(scan, self.extension)), container.to_bytes(scan)
+                name, data = name_of(scan, self.extension), container.to_bytes(scan)
                 try:
-                    with open(path, "xb") as f:
-                        f.write(data)
-                except FileExistsError:
-                    with open(path, "rb") as f:
+                    files.write(data, name)
+                except FileExistsError as e:
+                    with open(os.path.join(own, name), "rb") as f:
                         if f.read() != data:
-                            raise
+                            raise e
+        files.clear()
         return Written(own)
 
     def _publish(self, folder: str) -> None:
@@ -133,6 +135,9 @@ class Writer(DataSourceArrowWriter):
             for f in folders:
                 self._withdraw(f)
             raise failed
+        if self.spare:
+            for f in folders:
+                give(f, self.spare)
         shutil.rmtree(self.job, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -140,7 +145,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class ContainerSource(DataSource):
-    """Options: parts (JSON list of a listing's files) and mediaType to read; path and extension to write."""
+    """Options: parts (JSON list of a listing's files) and mediaType to read; path, extension and spare to write."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,12 +160,20 @@ class ContainerSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         if overwrite or schema.names != ["scan"]:
             raise ValueError("containers are appended, from a column `scan` of JSON")
-        return Writer(stores.local_path(self.options["path"]), self.options.get("extension", "zip"))
+        return Writer(stores.local_path(self.options["path"]), self.options.get("extension", "zip"), self.options.get("spare"))
+
+
+_registering = threading.Lock()
 
 
 def _registered(spark: SparkSession) -> None:
-    ship(spark)
-    spark.dataSource.register(ContainerSource)
+    """Once a session, as registering it anew fails those who are about to use it; found by name in the session active in a thread."""
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    with _registering:
+        ship(spark)
+        if not getattr(spark, "_ferrule_containers", False):
+            spark.dataSource.register(ContainerSource)
+            spark._ferrule_containers = True
 
 
 def load(spark: SparkSession, planned: DataFrame, media_type: str = container.MEDIA_TYPE) -> DataFrame:
@@ -169,11 +182,14 @@ def load(spark: SparkSession, planned: DataFrame, media_type: str = container.ME
     return spark.read.format(FORMAT).option("parts", json.dumps(planned.inputFiles())).option("mediaType", media_type).load()
 
 
-def save(rows: DataFrame, folder: str, extension: str = "zip") -> None:
+def save(rows: DataFrame, folder: str, extension: str = "zip", spare: str | None = None) -> None:
     """Writes each row's `scan` (JSON) as a container into an existing folder, all or none.
 
     Fails, and leaves nothing, if one can't be written, or if two of different
-    content have one name, or a file that is there has it.
+    content have one name, or a file that is there has it.  Who removes
+    containers again before writing others names a folder `spare` beside them:
+    it gets the files, and those of removed containers are written over.
     """
     _registered(rows.sparkSession)
-    rows.select("scan").write.format(FORMAT).mode("append").option("path", folder).option("extension", extension).save()
+    to = rows.select("scan").write.format(FORMAT).mode("append").option("path", folder).option("extension", extension)
+    (to.option("spare", spare) if spare else to).save()

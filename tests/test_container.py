@@ -2,6 +2,7 @@ import io
 import json
 import os
 import re
+import shutil
 import zipfile
 from types import SimpleNamespace
 
@@ -329,3 +330,135 @@ def test_containers_in_portions(spark, monkeypatch):
     assert (key(import_queries.container_files), key(import_queries.container_written)) == whole
     assert len(at_once) > 2 and sum(at_once[1:]) == at_once[0] > 600 and max(at_once[1:]) < 900
     assert not [n for n in os.listdir(stores.local_path(session_dir(spark))) if n.startswith("files-")]
+
+
+def test_small_containers_are_opened_without_zipfile(monkeypatch):
+    """Archives are packed as zipfile does, and opened as it does, whatever is odd about them."""
+    import random
+
+    def zipped(*entries, comment=b"", before=b"", date=(1980, 1, 1, 0, 0, 0)):
+        out = io.BytesIO(before)
+        out.seek(0, 2)
+        with zipfile.ZipFile(out, "w") as z:
+            z.comment = comment
+            for name, content, method in entries:
+                z.writestr(zipfile.ZipInfo(name, date), content, method)
+        return out.getvalue()
+
+    def got(content):
+        try:
+            return container.read(content)
+        except Exception as e:
+            return type(e), str(e)
+
+    result, kind = (container.RESULT, json.dumps(SCAN), zipfile.ZIP_DEFLATED), (container.MIMETYPE, container.WRITTEN_TYPE, zipfile.ZIP_STORED)
+    for entries in ((kind, result), (result, kind), (kind,), (), (kind, (container.RESULT, "é" * container.SMALL, zipfile.ZIP_DEFLATED))):
+        assert container.pack(*entries) == zipped(*entries)
+    plain = container.pack(kind, result)
+    odd = [plain, b"", b"PK", plain[:-1], plain + b"x", plain[1:], plain[:40], container.pack(result), container.pack(kind), container.pack((container.MIMETYPE, "text/plain", 0), result), container.pack((container.MIMETYPE, "x" * 257, 0), result)]
+    odd += [zipped(kind, result, comment=b"c"), zipped(kind, result, before=b"self extracting"), zipped(kind, result, ("é", "x", 0)), zipped(kind, kind, result), zipped(kind, (container.RESULT, json.dumps(SCAN), zipfile.ZIP_BZIP2)), zipped(kind, result, date=(2026, 1, 2, 3, 4, 6))]
+    odd += [container.pack(kind, result, *[(f"e{i}", "", 0) for i in range(n)]) for n in (14, 15)]
+    chance = random.Random(7)
+    for content in (plain, zipped((container.MIMETYPE, container.WRITTEN_TYPE, 8), (container.RESULT, json.dumps(SCAN), 0))):
+        for _ in range(1500):
+            changed_bytes = bytearray(content)
+            for _ in range(chance.choice((1, 1, 3))):
+                changed_bytes[chance.choice((chance.randrange(len(content)), -chance.randrange(1, 150), chance.randrange(60)))] = chance.choice((0, 1, 8, 255, chance.randrange(256)))
+            odd.append(bytes(changed_bytes))
+    quick = [got(x) for x in odd]
+    with monkeypatch.context() as m:
+        m.setattr(container, "_unpacked", lambda content: None)
+        assert [got(x) for x in odd] == quick
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    assert container.read(plain) == SCAN and container.to_bytes(SCAN), "the usual form goes without"
+
+
+def test_scans_are_checked_at_once_as_they_are_field_by_field():
+    """What the quick test lets pass is what the one that tells the place lets pass."""
+    full = changed(
+        machine__machineId="m", coverage__limitations=[{"code": "x"}],
+        coverage__sources=[{"source": "s", "status": "complete", "roots": ["r"], "entries": 1, "timeRange": {"from": "2026-01-02T08:00:00Z", "to": "2026-01-02T08:00:00Z"}}],
+        findings=[{"id": "f", "rule": "VBS-101", "kind": "scriptFile", "classification": "breaks", "status": "detected", "activation": "dormant", "location": {"type": "file", "path": "p"}, "file": {"size": 1}, "evidence": [{"line": 1, "text": "t", "masked": True}], "details": {"a": 1}}],
+    )
+    odd = [None, True, 1, -1, 1 << 63, 1.5, "", "x", "2026-01-02T08:00:00Z", "2026-13-02T08:00:00Z", [], [None], [1], ["x"], {}, {"code": "x"}]
+
+    def places(value, at=()):
+        yield at
+        for k in value if isinstance(value, dict) else range(len(value)) if isinstance(value, list) else ():
+            yield from places(value[k], (*at, k))
+
+    def accepted(check, scan):
+        try:
+            check(scan)
+            return True
+        except container.FormatError:
+            return False
+
+    seen = set()
+    for at in list(places(full))[1:]:
+        for new in [*odd, odd]:
+            scan = json.loads(json.dumps(full))
+            inner = scan
+            for k in at[:-1]:
+                inner = inner[k]
+            if new is odd:
+                del inner[at[-1]]
+            else:
+                inner[at[-1]] = new
+            assert container._fits(scan) == accepted(lambda s: container._check(s, container.SHAPE, ""), scan) == accepted(container.check, scan), (at, new)
+            seen.add(container._fits(scan))
+    assert seen == {True, False} and container._fits(full) and not container._fits([])
+
+
+def test_files_of_removed_containers_are_written_over(spark, tmp_path):
+    """A later portion makes no new files, and never writes over one that still has a name."""
+    from ferrule.plans.import_queries import put
+    from ferrule.sources.spare import Folder
+
+    folder, spare = tmp_path / "0", tmp_path / "0.spare"
+    scans = lambda day, n: spark.range(n).select(F.format_string(json.dumps(changed(machine__hostname="H%s")).replace("2026-01-02", f"2026-01-{day:02}"), F.col("id").cast("string")).alias("scan")).coalesce(2)
+    inodes = lambda: {p.stat().st_ino for p in folder.rglob("*") if p.is_file()}
+    folder.mkdir()
+    container_source.save(scans(2, 40), str(folder), spare=str(spare))
+    first = inodes()
+    assert len(first) == 40 and len(list(spare.iterdir())) == 2 and not [n for n in os.listdir(folder) if n.startswith(".")]
+    for p in sorted(folder.iterdir())[:30]:
+        p.unlink()
+    stay = {p.name: p.read_bytes() for p in folder.iterdir()}
+    container_source.save(scans(3, 30), str(folder), spare=str(spare))
+    assert {n: (folder / n).read_bytes() for n in stay} == stay and len(os.listdir(folder)) == 40
+    assert len(inodes() - first) <= 10, "but for those whose files are in use"
+    assert all(container.read(p.read_bytes())["startedAt"].startswith(f"2026-01-{3 if p.name not in stay else 2:02}") for p in folder.iterdir())
+
+    rows = lambda n, size: spark.createDataFrame([(f"d{i % 3}/f{i}", bytearray(b"%d" % i * (size - i % 5))) for i in range(n)], "file string, content binary").coalesce(1)
+    folder, spare = tmp_path / "1", tmp_path / "1.spare"
+    spare.mkdir()
+    for n, size in ((20, 9), (20, 30), (25, 6)):
+        folder.mkdir()
+        before = {p.stat().st_ino for p in spare.rglob("*") if p.is_file()}
+        assert put(rows(n, size), str(folder)) == n
+        assert {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("f*")} == {f"d{i % 3}/f{i}": b"%d" % i * (size - i % 5) for i in range(n)}
+        assert not before or len(inodes() - before) == n - 20
+        shutil.rmtree(folder)
+        for p in (tmp_path / "1.taken").iterdir():
+            p.rename(spare / p.name)
+
+    one = Folder(str(tmp_path / "own"), str(spare))
+    names = sorted(os.listdir(one.own))
+    one.left = [names[0], names[1]]
+    assert one.write(b"a", names[0]) != one.write(b"b", "n") and one.write(b"c") and {n: (tmp_path / "own" / n).read_bytes() for n in (names[0], "n")} == {names[0]: b"a", "n": b"b"}
+    with pytest.raises(FileExistsError):
+        one.write(b"x", "n")
+
+
+def test_a_portion_that_fails_ends_the_query(spark, monkeypatch):
+    from ferrule.plans import import_queries
+    from ferrule.runtime import session_dir
+
+    def broken(orders, folder):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(import_queries, "PORTION", 200)
+    with pytest.raises(RuntimeError, match="broken"):
+        import_queries._in_portions(spark, "/root/testdata/sf0.001", "a int", broken)
+    assert not [n for n in os.listdir(stores.local_path(session_dir(spark))) if n.startswith("files-")]
