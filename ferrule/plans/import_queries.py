@@ -251,7 +251,7 @@ def container_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def rows_of(orders: DataFrame, folder: str) -> DataFrame:
-        container_source.save(orders.select(F.to_json(scan).alias("scan")), folder)
+        container_source.save(orders.select(F.to_json(scan).alias("scan")), folder, spare=f"{folder}.spare")
         found = container.read_files(spark, folder, "zip").where("part = 'finding'")
         return found.select(F.substring_index("file", "/", -1).alias("file"), "pos", F.col("finding.id").alias("finding_id"), F.col("finding.location.path").alias("loc_path"), F.col("finding.file.size").alias("file_size"))
 
